@@ -1,0 +1,34 @@
+"""Queries on the operators of this subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.catalog import load
+from newsloom.llm import repeated_lines
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = load(spark, folder, "scraped_articles", "id", "source", "body")
+    return repeated_lines.repeated_lines(repeated_lines.chunks(articles))
+
+
+def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, its repeated chunks and how many documents hold them."""
+    articles = load(spark, folder, "scraped_articles", "id", "source", "body")
+    found = repeated_lines.repeated_chunks(repeated_lines.chunks(articles))
+    return found.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("n_ids").alias("n_uses"), F.max("n_ids").alias("most"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_sources": p4_sources}
+SQL = {
+    "p4_found": """
+        with lines as (
+            select distinct id, source, unnest(string_split(body, chr(10))) as line,
+                   unnest(range(len(string_split(body, chr(10)))))::int as line_no
+            from scraped_articles where source is not null and body is not null),
+        folded as (select id, source, line_no, regexp_replace(lower(line), '[^\\p{L}\\p{N}]', '', 'g') as k from lines),
+        often as (select source, k from folded where k <> '' group by all having count(distinct id) >= 5)
+        select distinct id, line_no from folded join often using (source, k)""",
+}
