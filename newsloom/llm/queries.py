@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import repeated_lines
+from newsloom.llm import near_duplicates, repeated_lines
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,3 +32,21 @@ SQL = {
         often as (select source, k from folded where k <> '' group by all having count(distinct id) >= 5)
         select distinct id, line_no from folded join often using (source, k)""",
 }
+
+
+def _title_body():
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), "body")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = load(spark, folder, "scraped_articles", "id", "title", "body").where(F.col("body").rlike(r"(?U)\S"))
+    return near_duplicates.near_duplicate_pairs(articles, "id", _title_body(), 0.5)
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per article with its class of equal texts, its group of near-duplicates and its links."""
+    articles = load(spark, folder, "scraped_articles", "id", "title", "body").where(F.col("body").rlike(r"(?U)\S"))
+    return near_duplicates.near_duplicate_groups(articles, "id", _title_body(), 0.8)
+
+
+QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups}
