@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import load
 from newsloom.llm import near_duplicates, repeated_lines
+from newsloom.llm.incremental import IncrementalIndex
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,3 +51,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups}
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    history = load(spark, folder, "cleaned_articles", "id", "url", "body")
+    index = IncrementalIndex.build(history)
+    rows = load(spark, folder, "incoming_articles", "batch_no", "arrival_no", "id", "url", "body")
+    decided = index.ingest(rows, history, ["batch_no", "arrival_no"])
+    return decided.where("repeats").select("batch_no", "id").distinct()
+
+
+QUERIES |= {"p6_found": p6_found}
