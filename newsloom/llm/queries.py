@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import near_duplicates, repeated_lines
+from newsloom.llm import main_content, near_duplicates, repeated_lines
 from newsloom.llm.incremental import IncrementalIndex
 
 
@@ -62,3 +62,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found}
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = load(spark, folder, "scraped_articles", "id", "url", "source", "body", "html")
+    return main_content.outside_lines(articles.where("html is not null and body is not null"))
+
+
+def p1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Each article's own text, also where its body is missing."""
+    articles = load(spark, folder, "scraped_articles", "id", "url", "source", "body", "html")
+    return main_content.main_text(articles).distinct()
+
+
+QUERIES |= {"p1_found": p1_found, "p1_main_text": p1_main_text}
