@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import main_content, near_duplicates, repeated_lines
+from newsloom.llm import main_content, near_duplicates, packing, repeated_lines, splitting
 from newsloom.llm.incremental import IncrementalIndex
 
 
@@ -76,3 +76,33 @@ def p1_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_main_text": p1_main_text}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = load(spark, folder, "scraped_articles", "id", "body")
+    cut = splitting.split_text(articles, "body").where("n_words > 512")
+    return cut.select("id", splitting.boundary(F.col("pieces")).alias("boundary")).distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every body, with its boundary and size."""
+    articles = load(spark, folder, "scraped_articles", "id", "body").distinct()
+    return splitting.pieces(articles, "body").select("id", "piece_no", "cut", "n_words", "n_overlap", F.length("text").alias("n_chars"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return packed.where("n_parts > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: containers, tokens and parts by twentieths of the capacity."""
+    packed = packing.pack(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    twentieth = F.ceil(F.col("tokens") * 20 / 1024).cast("int")
+    return full.groupBy(twentieth.alias("twentieths")).agg(
+        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts")
+    )
+
+
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_containers": p8_containers}
