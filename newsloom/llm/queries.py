@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import main_content, near_duplicates, packing, repeated_lines, splitting
+from newsloom.llm import main_content, mixing, near_duplicates, packing, repeated_lines, splitting
 from newsloom.llm.incremental import IncrementalIndex
 
 
@@ -106,3 +106,25 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_containers": p8_containers}
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = load(spark, folder, "documents", "doc_id", "text", "source")
+    return mixing.mix(documents, load(spark, folder, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1].where("not reachable").select("source")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, folder)[1]
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents used, and how often."""
+    return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"p9_found": p9_found, "p9_report": p9_report, "p9_selection": p9_selection}
