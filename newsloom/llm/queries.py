@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import main_content, mixing, near_duplicates, packing, repeated_lines, splitting
+from newsloom.llm import language, main_content, mixing, near_duplicates, packing, repeated_lines, splitting
 from newsloom.llm.incremental import IncrementalIndex
 
 
@@ -128,3 +128,28 @@ def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_report": p9_report, "p9_selection": p9_selection}
+
+
+def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = load(spark, folder, "documents", "doc_id", "text", "lang")
+    return documents, language.judged(documents, language.fit(documents))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents, parts = _judged(spark, folder)
+    labels = documents.select("doc_id", language.label_language(F.col("lang")).alias("label")).distinct()
+    lines = language.line_languages(parts).withColumnRenamed("id", "doc_id").join(labels, "doc_id")
+    return lines.where(F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "line_no", "lang").distinct()
+
+
+def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's language and confidence."""
+    return language.document_languages(_judged(spark, folder)[1]).withColumnRenamed("id", "doc_id")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stretch of a document in one language."""
+    return language.segments(_judged(spark, folder)[1]).withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
