@@ -2,14 +2,16 @@
 
 Tokens are five-word shingles. Two texts with similarity t or more share a token among the first
 n - ceil(t n) + 1 of each, whatever the order of the tokens, as long as it is one order; the rarest come
-first, so that those prefixes hardly ever meet by chance. How rare a shingle is follows from the
-frequencies of its words in a table of at most WORDS entries that is fitted when the index is built
-and then frozen, so that old and new postings stay in one order; words outside count as rarest.
+first, so that those prefixes hardly ever meet by chance. The order is fitted when the index is built and
+then frozen, so that old and new postings stay in one order: every task counts the shingles of its texts,
+those that it met at least twice are added up, and the HEAVY most frequent are kept. Shingles outside
+that table count as rarest; ties are ordered by hash.
 
-The index is a folder below the shared one: ``words``, ``postings`` and ``docs``. A posting block holds the
+The index is a folder below the shared one: ``heavy``, ``postings`` and ``docs``. A posting block holds the
 postings of one token bucket from one task as arrays; blocks are only ever appended. Probing a batch
-groups blocks and probes by bucket and joins them there, filters lengths, and verifies the candidates on
-whole shingle sets. The history's texts are read only for documents that are candidates.
+groups blocks and probes by bucket and joins them there, filters lengths and then, by a 32-byte sketch of
+each document's shingles, pairs whose similarity is 4.5 standard deviations below t or less, and verifies
+the remaining candidates on whole shingle sets. The history's texts are read only for documents that are candidates.
 
 ``ingest`` takes any set of pending rows, one batch or many, and decides them in order: a row repeats if
 something accepted before it, in the history or among earlier rows not themselves repeats, has a similar
@@ -35,51 +37,65 @@ from newsloom.llm.similarity import BROADCAST_ROWS, set_hash, slices, verified
 from newsloom.operators.urls import canonical_url
 from newsloom.session import checkpointed, shared_path
 
-#: Entries of the frozen word table: a bound on what is sent to every task (16 bytes each).
-WORDS = 65_536
+#: Entries of the frozen table of frequent shingles: a bound on what is sent to every executor (16 bytes each).
+HEAVY = 524_288
 #: Documents per token bucket, about; a bucket's postings of one probe are joined in one task.
 DOCS_PER_BUCKET = 2_000
 
-_BLOCK = "bucket int, token binary, doc binary, size binary, at binary"
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 5000):
-        w, _ = V.words(b.column(0).to_pylist())
-        u, n = np.unique(w, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(V.signed(u)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-
-def _cost(w: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(w), np.int64)
-    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-    return np.where(known[at] == w, weight[at], weight.max() + 1)
-
-
-def _scored_shingles(texts: list[str | None], known: np.ndarray, weight: np.ndarray, k: int = 5):
-    """Distinct shingles of each text, the rarest first, and their offsets."""
-    w, off = V.words(texts)
-    n = len(w) - k + 1
-    if n <= 0:
-        return np.empty(0, V.U), np.zeros(len(texts) + 1, np.int64)
-    rare = np.concatenate([[0], np.cumsum(_cost(w, known, weight))])
-    score = rare[k:] - rare[:-k]
-    h = np.zeros(n, V.U)
-    for i in range(k):
-        h = V.mix(h * V.P1 + w[i : i + n])
-    doc = np.searchsorted(off, np.arange(n), side="right") - 1
-    inside = np.arange(n) + k <= off[doc + 1]
-    h, doc, score = h[inside], doc[inside], score[inside]
-    order = np.lexsort((h, -score, doc))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    return h, np.searchsorted(doc, np.arange(len(texts) + 1))
-
-
-def _post(known: np.ndarray, weight: np.ndarray, buckets: int, threshold: float, describe: bool):
+_BLOCK = "bucket int, token binary, doc binary, size binary, sketch binary, at binary"
+_COLUMNS = [x.split()[0] for x in _BLOCK.split(", ")]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that this task met at least twice, summed up whenever many have come together."""
+
+    def out(parts):
+        u, n = np.unique(np.concatenate(parts), return_counts=True)
+        u, n = u[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(V.signed(u)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    parts, held = [], 0
+    for b in slices(batches, 1000):
+        h, _ = V.shingles(b.column(0).to_pylist())
+        parts.append(h)
+        held += len(h)
+        if held > 4_000_000:
+            yield out(parts)
+            parts, held = [], 0
+    if held:
+        yield out(parts)
+
+
+def _by_rarity(h: np.ndarray, off: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The shingles of each text, rarest first."""
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, count[at], 1)
+    else:
+        often = np.ones(len(h), np.int64)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    return h[np.lexsort((h, often, doc))]
+
+
+BINS = 64
+_NIBBLE = V.U(0x1111111111111111)
+
+
+def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(texts, 4) words: the least hash in each of 64 bins, cut to a nibble that is 0 only for empty bins."""
+    n = len(off) - 1
+    x = V.mix(h ^ V.P1)
+    least = np.full(n * BINS, ~V.U(0))
+    np.minimum.at(least, np.repeat(np.arange(n), np.diff(off)) * BINS + (x >> V.U(58)).astype(np.int64), x << V.U(6))
+    nibble = np.where(least == ~V.U(0), V.U(0), V.mix(least) % V.U(15) + V.U(1)).reshape(n, 4, 16)
+    return (nibble << (V.U(4) * np.arange(16, dtype=V.U))).sum(2, dtype=V.U)
+
+
+def _least_agreeing(threshold: float) -> int:
+    return int(BINS * (threshold + (1 - threshold) / 15) - 4.5 * np.sqrt(BINS * threshold * (1 - threshold)))
+
+
+def _post(table, buckets: int, threshold: float, describe: bool):
     """Posting blocks of a task, or the description (id, doc, n) of its texts."""
 
     def describing(batches):
@@ -92,15 +108,19 @@ def _post(known: np.ndarray, weight: np.ndarray, buckets: int, threshold: float,
             )
 
     def flush(parts):
-        token, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        token, doc = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        every, size, sketch = (np.concatenate([p[i] for p in parts]) for i in range(2, 5))
+        order = np.argsort(every)
+        every, size, sketch = every[order], size[order], sketch[order]
         bucket = (token >> V.U(32)) % V.U(buckets)
         low = token.astype(np.uint32)
         order = np.lexsort((low, bucket))
-        bucket, low, doc, size = bucket[order], low[order], doc[order], size[order]
+        bucket, low, doc = bucket[order], low[order], doc[order]
         ids, first = np.unique(bucket, return_index=True)
         for u, lo, hi in zip(ids, first, [*first[1:], len(bucket)]):
-            docs, where, at = np.unique(doc[lo:hi], return_index=True, return_inverse=True)
-            yield int(u), low[lo:hi].tobytes(), docs.tobytes(), size[lo:hi][where].tobytes(), at.astype(np.uint32).tobytes()
+            docs, at = np.unique(doc[lo:hi], return_inverse=True)
+            where = np.searchsorted(every, docs)
+            yield int(u), low[lo:hi].tobytes(), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.astype(np.uint32).tobytes()
 
     def posting(batches):
         parts, held = [], 0
@@ -108,20 +128,21 @@ def _post(known: np.ndarray, weight: np.ndarray, buckets: int, threshold: float,
         def out():
             rows = list(flush(parts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]],
-                names=["bucket", "token", "doc", "size", "at"],
+                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]],
+                names=_COLUMNS,
             )
 
         for b in slices(batches, 1000):
-            h, off = _scored_shingles(b.column(1).to_pylist(), known, weight)
+            h, off = V.shingles(b.column(1).to_pylist())
             n = np.diff(off)
             length = np.where(n > 0, n - np.ceil(threshold * n).astype(np.int64) + 1, 0)
             keep = np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(length, n)
-            # The set hash names the document; it is computed from the same shingles in any order.
-            doc = np.repeat(set_hash(h, off), n)[keep]
-            if len(doc):
-                parts.append((h[keep], doc, np.repeat(n, n)[keep].astype(np.int32)))
-                held += len(doc)
+            name = set_hash(h, off)
+            token = _by_rarity(h, off, *table.value)[keep]
+            if len(token):
+                some = n > 0
+                parts.append((token, np.repeat(name, n)[keep], name[some], n[some].astype(np.int32), sketches(h, off)[some]))
+                held += len(token)
             if held > 2_000_000:
                 yield out()
                 parts, held = [], 0
@@ -132,42 +153,50 @@ def _post(known: np.ndarray, weight: np.ndarray, buckets: int, threshold: float,
 
 
 def _unpack(table: pa.Table):
-    token, doc, size = [], [], []
-    for t, d, s, a in zip(*(table.column(c).to_pylist() for c in ("token", "doc", "size", "at"))):
-        at = np.frombuffer(a, np.uint32)
+    """(tokens, document of each) and (documents, sizes, sketches) of the blocks of one bucket."""
+    token, at, doc, size, sketch, n = [], [], [], [], [], 0
+    for t, d, s, k, a in zip(*(table.column(c).to_pylist() for c in _COLUMNS[1:])):
         token.append(np.frombuffer(t, np.uint32))
-        doc.append(np.frombuffer(d, V.U)[at])
-        size.append(np.frombuffer(s, np.int32)[at])
+        doc.append(np.frombuffer(d, V.U))
+        size.append(np.frombuffer(s, np.int32))
+        sketch.append(np.frombuffer(k, V.U).reshape(-1, 4))
+        at.append(np.frombuffer(a, np.uint32) + np.uint32(n))
+        n += len(doc[-1])
     if not token:
-        return np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32)
-    return np.concatenate(token), np.concatenate(doc), np.concatenate(size)
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32), np.empty((0, 4), V.U)
+    return tuple(np.concatenate(x) for x in (token, at, doc, size, sketch))
 
 
 def _match(threshold: float):
+    least = _least_agreeing(threshold)
+
     def run(probe: pa.Table, index: pa.Table) -> pa.Table:
-        tx, dx, nx = _unpack(probe)
-        ty, dy, ny = _unpack(index)
+        tx, ax, dx, nx, kx = _unpack(probe)
+        ty, ay, dy, ny, ky = _unpack(index)
         order = np.argsort(ty, kind="stable")
-        ty, dy, ny = ty[order], dy[order], ny[order]
+        ty, ay = ty[order], ay[order]
         lo, hi = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
-        got_a, got_b = [], []
         hits = np.flatnonzero(hi > lo)
-        n = hi[hits] - lo[hits]
-        step = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + 2_000_000, 2_000_000))
-        for i, j in zip(step[:-1], step[1:]):
-            h, c = hits[i:j], n[i:j]
-            if not len(h):
-                continue
-            left = np.repeat(h, c)
-            right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[h], c)
-            a, b = dx[left], dy[right]
-            fit = (np.minimum(nx[left], ny[right]) >= threshold * np.maximum(nx[left], ny[right])) & (a != b)
-            pair = np.unique(np.stack([a[fit], b[fit]], 1), axis=0)
-            got_a.append(pair[:, 0])
-            got_b.append(pair[:, 1])
-        a = np.concatenate(got_a) if got_a else np.empty(0, V.U)
-        b = np.concatenate(got_b) if got_b else np.empty(0, V.U)
-        return pa.table({"a": pa.array(V.signed(a)), "b": pa.array(V.signed(b))})
+        upto = np.cumsum(hi[hits] - lo[hits])
+        found = []
+        i = 0
+        while i < len(hits):  # about a million matches at a time
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 1_000_000)))
+            h = hits[i:j]
+            c = hi[h] - lo[h]
+            left = np.repeat(ax[h], c)
+            right = ay[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[h], c)]
+            m, n = nx[left], ny[right]
+            fit = np.minimum(m, n) >= threshold * np.maximum(m, n)
+            left, right = left[fit], right[fit]
+            x = kx[left] ^ ky[right]
+            x |= x >> V.U(1)
+            x |= x >> V.U(2)
+            fit = (np.bitwise_count(x & _NIBBLE).sum(1) <= BINS - least) & (dx[left] != dy[right])
+            found.append(np.unique(np.stack([dx[left[fit]], dy[right[fit]]], 1), axis=0))
+            i = j
+        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), V.U)
+        return pa.table({"a": pa.array(V.signed(np.ascontiguousarray(both[:, 0]))), "b": pa.array(V.signed(np.ascontiguousarray(both[:, 1])))})
 
     return run
 
@@ -177,12 +206,10 @@ class IncrementalIndex:
 
     def __init__(self, spark: SparkSession, path: str, threshold: float, buckets: int):
         self.spark, self.path, self.threshold, self.buckets = spark, path, threshold, buckets
-        table = spark.read.parquet(f"{path}/words").orderBy("word").toPandas()
-        known = table["word"].to_numpy().astype(np.int64).view(V.U)
+        table = spark.read.parquet(f"{path}/heavy").toPandas()  # at most HEAVY rows
+        known = table["shingle"].to_numpy().astype(np.int64).view(V.U)
         order = np.argsort(known)
-        self.known = known[order]
-        count = np.maximum(table["n"].to_numpy()[order], 1)
-        self.weight = np.round(16 * np.log2(max(count.sum(), 1) / count)).astype(np.int64) if len(count) else count
+        self.table = spark.sparkContext.broadcast((known[order], table["n"].to_numpy()[order]))
 
     @classmethod
     def build(cls, history: DataFrame, path: str | None = None, id: str = "id", url: str = "url", text: str = "body", threshold: float = 0.5):
@@ -190,8 +217,8 @@ class IncrementalIndex:
         spark = history.sparkSession
         path = path or shared_path(spark, "index")
         body = history.select(history[text].alias("text")).where("text is not null")
-        words = body.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        words.orderBy(F.desc("n"), "word").limit(WORDS).write.parquet(f"{path}/words")
+        counts = body.mapInArrow(_count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        counts.orderBy(F.desc("n"), "shingle").limit(HEAVY).write.parquet(f"{path}/heavy")
         buckets = max(16, history.count() // DOCS_PER_BUCKET)
         index = cls(spark, path, threshold, buckets)
         index.append(history.select(history[id].cast("string").alias("id"), history[url].alias("url"), history[text].alias("text")))
@@ -199,11 +226,11 @@ class IncrementalIndex:
 
     def described(self, rows: DataFrame) -> DataFrame:
         """(id, doc, n) of rows (id, text)."""
-        fn = _post(self.known, self.weight, self.buckets, self.threshold, True)
+        fn = _post(self.table, self.buckets, self.threshold, True)
         return rows.select("id", "text").mapInArrow(fn, "id string, doc long, n int")
 
     def blocks(self, rows: DataFrame) -> DataFrame:
-        fn = _post(self.known, self.weight, self.buckets, self.threshold, False)
+        fn = _post(self.table, self.buckets, self.threshold, False)
         return rows.select("id", "text").mapInArrow(fn, _BLOCK)
 
     def append(self, rows: DataFrame) -> None:
