@@ -25,6 +25,7 @@ empty history or batch gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ from newsloom.operators.urls import canonical_url
 from newsloom.session import checkpointed, shared_path
 
 #: Entries of the frozen table of frequent shingles: a bound on what is sent to every executor (16 bytes each).
-HEAVY = 524_288
+HEAVY = 262_144
 #: Documents per token bucket, about; a bucket's postings of one probe are joined in one task.
-DOCS_PER_BUCKET = 2_000
+DOCS_PER_BUCKET = 20_000
 
 _BLOCK = "bucket int, token binary, doc binary, size binary, sketch binary, at binary"
 _COLUMNS = [x.split()[0] for x in _BLOCK.split(", ")]
@@ -95,6 +96,17 @@ def _least_agreeing(threshold: float) -> int:
     return int(BINS * (threshold + (1 - threshold) / 15) - 4.5 * np.sqrt(BINS * threshold * (1 - threshold)))
 
 
+def _pack_tokens(low: np.ndarray) -> bytes:
+    """Sorted 32-bit tokens as deflated byte planes of their differences."""
+    step = np.diff(low, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack_tokens(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _post(table, buckets: int, threshold: float, describe: bool):
     """Posting blocks of a task, or the description (id, doc, n) of its texts."""
 
@@ -120,7 +132,8 @@ def _post(table, buckets: int, threshold: float, describe: bool):
         for u, lo, hi in zip(ids, first, [*first[1:], len(bucket)]):
             docs, at = np.unique(doc[lo:hi], return_inverse=True)
             where = np.searchsorted(every, docs)
-            yield int(u), low[lo:hi].tobytes(), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.astype(np.uint32).tobytes()
+            at = at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
+            yield int(u), _pack_tokens(low[lo:hi]), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.tobytes()
 
     def posting(batches):
         parts, held = [], 0
@@ -156,11 +169,11 @@ def _unpack(table: pa.Table):
     """(tokens, document of each) and (documents, sizes, sketches) of the blocks of one bucket."""
     token, at, doc, size, sketch, n = [], [], [], [], [], 0
     for t, d, s, k, a in zip(*(table.column(c).to_pylist() for c in _COLUMNS[1:])):
-        token.append(np.frombuffer(t, np.uint32))
+        token.append(_unpack_tokens(t))
         doc.append(np.frombuffer(d, V.U))
         size.append(np.frombuffer(s, np.int32))
         sketch.append(np.frombuffer(k, V.U).reshape(-1, 4))
-        at.append(np.frombuffer(a, np.uint32) + np.uint32(n))
+        at.append(np.frombuffer(a, np.uint16 if len(a) == 2 * len(token[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
         n += len(doc[-1])
     if not token:
         return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32), np.empty((0, 4), V.U)
@@ -219,7 +232,7 @@ class IncrementalIndex:
         body = history.select(history[text].alias("text")).where("text is not null")
         counts = body.mapInArrow(_count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         counts.orderBy(F.desc("n"), "shingle").limit(HEAVY).write.parquet(f"{path}/heavy")
-        buckets = max(16, history.count() // DOCS_PER_BUCKET)
+        buckets = max(8, history.count() // DOCS_PER_BUCKET)
         index = cls(spark, path, threshold, buckets)
         index.append(history.select(history[id].cast("string").alias("id"), history[url].alias("url"), history[text].alias("text")))
         return index
