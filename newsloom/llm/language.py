@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import textvec as V
@@ -173,10 +173,8 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
     """Profiles from a bounded sample of labelled rows and the seeds."""
     rows = df.select(df[text].alias("text"), label_language(df[lang]).alias("lang"), F.xxhash64(df[id], df[text]).alias("order"))
     rows = rows.where("text is not null and lang is not null").where(F.length("text") <= SAMPLE_CHARS)
-    chosen = None
-    for x in LANGUAGES:
-        some = rows.where(F.col("lang") == x).orderBy("order").limit(SAMPLE)
-        chosen = some if chosen is None else chosen.union(some)
+    w = Window.partitionBy("lang").orderBy("order")  # Spark keeps the first SAMPLE of each task before it shuffles
+    chosen = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE)
     sample = [(telling(r["text"]), r["lang"]) for r in chosen.collect()]  # at most SAMPLE rows a language
     profiles = Profiles({x: run_counts([SEEDS[x]] * 3) for x in LANGUAGES})
     for _ in range(2):
@@ -274,8 +272,6 @@ def segments(parts: DataFrame) -> DataFrame:
 
     The window runs over the stretches of one document.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("id").orderBy("part")
     changed = F.coalesce((F.col("lang") != F.lag("lang").over(w)).cast("int"), F.lit(0))
     numbered = parts.withColumn("changed", changed).withColumn("segment", F.sum("changed").over(w).cast("int"))

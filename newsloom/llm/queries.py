@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.llm import language, main_content, mixing, near_duplicates, packing, repeated_lines, splitting
+from newsloom.llm import language, main_content, mixing, near_duplicates, packing, qa_defects, repeated_lines, splitting
 from newsloom.llm.incremental import IncrementalIndex
 
 
@@ -153,3 +153,13 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = load(spark, folder, "augmented_qa", "qa_id", "answerable", "unanswerable", "answer")
+    profiles = language.fit(load(spark, folder, "documents", "doc_id", "text", "lang"))
+    found = qa_defects.defects(pairs, profiles).where("defect is not null")
+    return found.select(F.col("id").alias("qa_id"), "defect").distinct()
+
+
+QUERIES |= {"p3_found": p3_found}
