@@ -123,20 +123,22 @@ def normalise_timestamps(
         .select(F.col("source").alias("__source"), "zone")
     )
     kept = [c for c in df.columns if c not in (out, pattern)]
-    work = df.select(F.struct(*[df[f"`{c}`"] for c in kept]).alias("row"), df[source].alias("source"), df[text].alias("text"))
+    held = [f"__{i}" for i in range(len(kept))]  # whatever the columns are called
+    columns = [df[f"`{c}`"].alias(h) for c, h in zip(kept, held)]
+    work = df.select(*columns, df[source].alias("source"), df[text].alias("text"))
     work = work.join(look, F.col("source") == F.col("__source"), "left").select(
-        "row", F.col("zone")["home_tz"].alias("home"), F.col("zone")["date_order"].alias("order"), "text"
+        *held, F.col("zone")["home_tz"].alias("home"), F.col("zone")["date_order"].alias("order"), "text"
     )
 
     t = F.regexp_replace(F.col("text"), r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"^ | $", "")
     t = F.regexp_replace(t, r"(?i)^\p{L}[\p{L} ]{0,40}: ?", "")
     t = F.regexp_replace(t, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|sday|nesday|rsday|urday|s|r|rs)?\.?,? ", "")
-    work = staged(work.withColumn("text", t), ["row", "home", "order"], {"text": F.col("text")})
-    work = staged(work, ["row", "home", "order", "text"], {"got": F.split(_canonical(F.col("text")), "\u0001")})
+    work = staged(work.withColumn("text", t), [*held, "home", "order"], {"text": F.col("text")})
+    work = staged(work, [*held, "home", "order", "text"], {"got": F.split(_canonical(F.col("text")), "\u0001")})
     part = {k: F.col("got")[i + 1] for i, k in enumerate(SLOTS)}
     work = work.select(
-        "row", "home", "order", "text", F.col("got")[0].alias("name"), F.upper(F.trim(part["z"])).alias("zone"),
+        *held, "home", "order", "text", F.col("got")[0].alias("name"), F.upper(F.trim(part["z"])).alias("zone"),
         F.trim(part["z"]).alias("zone_text"), F.lower(F.substring(F.ltrim(part["p"]), 1, 1)).alias("half"),
         F.rpad(part["f"], 6, "0").substr(1, 6).alias("f"), F.length(part["c"]).alias("c_size"),
         F.try_element_at(_months(), F.lower(part["N"])).alias("named"), *[part[k].try_cast("int").alias(NUMBERS[k]) for k in NUMBERS],
@@ -144,7 +146,7 @@ def normalise_timestamps(
     c = F.col
     numeric, ymd = c("name") == "numeric", (c("order") == "ymd") & (c("c_size") == 2)
     work = work.select(
-        "row", "home", "text", "name", "zone", "zone_text",
+        *held, "home", "text", "name", "zone", "zone_text",
         F.when(~numeric, c("y")).when(ymd, c("a") + 2000).when(c("c_size") == 2, c("c") + 2000).otherwise(c("c")).alias("year"),
         F.when(~numeric, F.coalesce("named", "mon")).when(c("order") == "mdy", c("a")).otherwise(c("b")).alias("month"),
         F.when(~numeric, c("d")).when(c("order") == "mdy", c("b")).when(ymd, c("c")).otherwise(c("a")).alias("day"),
@@ -160,7 +162,7 @@ def normalise_timestamps(
     days = F.unix_date(F.try_to_date(text_date, "yyyy-MM-dd")).cast("long")
     seconds = (c("hour").cast("long") * 60 + c("minute")) * 60 + c("second")
     local = days * 86_400_000_000 + seconds * 1_000_000 + c("micros")
-    work = staged(work, ["row", "home", "text", "name", "zone", "zone_text"], {"local": local})
+    work = staged(work, [*held, "home", "text", "name", "zone", "zone_text"], {"local": local})
 
     numeral = F.regexp_extract(c("text"), r"^(\d+)", 1)
     scale = F.when(F.length(numeral) <= 10, 1_000_000).when(F.length(numeral) == 13, 1_000).otherwise(1)
@@ -183,7 +185,7 @@ def normalise_timestamps(
         .otherwise(local_to_utc_us(c("local"), named, ambiguous, nonexistent))
     )
     name = F.when(c("text").rlike(_EPOCH), F.lit("epoch")).otherwise(c("name"))
-    work = staged(work, ["row"], {"name": name, "us": F.coalesce(epoch, us)})
+    work = staged(work, held, {"name": name, "us": F.coalesce(epoch, us)})
     return work.select(
-        *[c("row")[k].alias(k) for k in kept], c("us").alias(out), F.when(c("us").isNotNull(), c("name")).alias(pattern)
+        *[c(h).alias(k) for k, h in zip(kept, held)], c("us").alias(out), F.when(c("us").isNotNull(), c("name")).alias(pattern)
     )
