@@ -55,21 +55,22 @@ def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) ->
     ``cut`` says where the piece ends: ``line``, ``sentence``, ``word``, or ``end`` at the end of the text.
     """
     names = list(df.columns)
-    rows = df.select(F.struct(*[df[f"`{c}`"] for c in names]).alias("row"), df[text].alias("text"))
-    rows = staged(rows, ["row", "text"], {"n": n_words(F.col("text"))})
+    held = [f"__{i}" for i in range(len(names))]  # whatever the columns are called
+    rows = df.select(*[df[f"`{c}`"].alias(h) for c, h in zip(names, held)], df[text].alias("text"))
+    rows = staged(rows, [*held, "text"], {"n": n_words(F.col("text"))})
     long = F.col("n") > limit
     raw = F.when(long, F.regexp_extract_all("text", F.lit(piece_pattern(limit, limit - overlap)), F.lit(0))).otherwise(
         F.array("text")
     )
-    rows = staged(rows, ["row", "text", "n"], {"raw": F.when(F.col("text").isNotNull(), raw)})
+    rows = staged(rows, [*held, "text", "n"], {"raw": F.when(F.col("text").isNotNull(), raw)})
     lead = rf"(?U)^{SPACE}+\z"
     # White space before the first word belongs to the first piece.
     first = (F.size("raw") > 1) & F.col("raw")[0].rlike(lead)
     merged = F.concat(F.array(F.concat(F.col("raw")[0], F.col("raw")[1])), F.slice("raw", 3, F.size("raw")))
-    rows = staged(rows, ["row", "n"], {"raw": F.when(first, merged).otherwise(F.col("raw"))})
+    rows = staged(rows, [*held, "n"], {"raw": F.when(first, merged).otherwise(F.col("raw"))})
     # Words of each piece with the white space after them; lookback reads them from its end.
     words = F.transform("raw", lambda p: F.regexp_extract_all(p, F.lit(rf"(?U){WORD}+{SPACE}*"), F.lit(0)))
-    rows = staged(rows, ["row", "n", "raw"], {"words": words})
+    rows = staged(rows, [*held, "n", "raw"], {"words": words})
 
     def piece(p: Column, i: Column) -> Column:
         mine = F.size(F.col("words")[i])
@@ -86,8 +87,8 @@ def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) ->
             i.alias("piece_no"), cut.alias("cut"), (mine + back).alias("n_words"), back.alias("n_overlap"), F.concat(taken, p).alias("text")
         )
 
-    made = staged(rows, ["row", "n"], {"pieces": F.transform("raw", piece)})
-    kept = [F.col("row")[c].alias(c) for c in names if c not in ("n_words", "pieces")]
+    made = staged(rows, [*held, "n"], {"pieces": F.transform("raw", piece)})
+    kept = [F.col(h).alias(c) for c, h in zip(names, held) if c not in ("n_words", "pieces")]
     return made.select(*kept, F.col("n").alias("n_words"), "pieces")
 
 
