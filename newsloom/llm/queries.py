@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import load
 from newsloom.llm import language, main_content, mixing, near_duplicates, packing, qa_defects, repeated_lines, splitting
 from newsloom.llm.incremental import IncrementalIndex
+from newsloom.llm.oracles import SQL as SQL
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,16 +24,6 @@ def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_sources": p4_sources}
-SQL = {
-    "p4_found": """
-        with lines as (
-            select distinct id, source, unnest(string_split(body, chr(10))) as line,
-                   unnest(range(len(string_split(body, chr(10)))))::int as line_no
-            from scraped_articles where source is not null and body is not null),
-        folded as (select id, source, line_no, regexp_replace(lower(line), '[^\\p{L}\\p{N}]', '', 'g') as k from lines),
-        often as (select source, k from folded where k <> '' group by all having count(distinct id) >= 5)
-        select distinct id, line_no from folded join often using (source, k)""",
-}
 
 
 def _title_body():
