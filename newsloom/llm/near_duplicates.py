@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import textvec as V
-from newsloom.llm.similarity import set_hash, slices, verified
+from newsloom.llm.similarity import BROADCAST_ROWS, set_hash, slices, verified
 from newsloom.operators.graphs import connected_components
 from newsloom.session import checkpointed
 
@@ -125,16 +125,14 @@ def class_pairs(described: DataFrame, texts: DataFrame, threshold: float) -> Dat
 
 
 def _texts_of(texts: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    from newsloom.llm.similarity import BROADCAST_ROWS
-
     chosen = F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen
     return texts.join(chosen, "id").groupBy("doc").agg(F.first("text").alias("text"))
 
 
 def near_duplicate_pairs(df: DataFrame, id: str, text, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of ids whose texts have at least this similarity, copies expanded."""
-    described = describe(df, id, text)
-    members = checkpointed(described.select("id", "doc").distinct())
+    described = checkpointed(describe(df, id, text))
+    members = described.select("id", "doc").distinct()
     texts = df.select(F.col(id).cast("string").alias("id"), text.alias("text"))
     pairs = class_pairs(described, texts, threshold).select("a", "b")
     left = members.select(F.col("doc").alias("a"), F.col("id").alias("ia"))
@@ -148,7 +146,7 @@ def near_duplicate_pairs(df: DataFrame, id: str, text, threshold: float = 0.8) -
 def near_duplicate_groups(df: DataFrame, id: str, text, threshold: float = 0.8) -> DataFrame:
     """(id, doc, group_id, n_links): one row per record with its class, its group and the number of links
     its class has to other texts. Records that resemble no other form their own group."""
-    described = describe(df, id, text)
+    described = checkpointed(describe(df, id, text))
     texts = df.select(F.col(id).cast("string").alias("id"), text.alias("text"))
     pairs = checkpointed(class_pairs(described, texts, threshold).select("a", "b"))
     groups = connected_components(pairs)
