@@ -12,8 +12,8 @@ hash of the id, and the sentences in SEEDS, so that a language without labelled
 noisy, so documents that the first fit puts elsewhere are left out of the second. The fit is a table of
 a fixed size (6 MB), sent to every executor; everything else covers all texts whole.
 
-Stretches are sentences, or parts of a line between them; neighbours of one language are joined. The language
-of a line is that of most of its words. Words are runs of two or more letters that touch no digit and are in
+Stretches are sentences, or parts of a line between them; neighbours of one language are joined. A stretch too
+close to call takes that of its two nearest languages of which its document has more. The language of a line is that of most of its words. Words are runs of two or more letters that touch no digit and are in
 no address.
 
 Cases: null and empty texts have no stretches and a null language; lines without words do not count; ties
@@ -38,6 +38,8 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
 #: Most labelled documents per language that the prototypes are fitted on, and their longest text.
 SAMPLE, SAMPLE_CHARS = 400, 4000
 DIMENSION = 8192
+#: Confidence below which a stretch is too close to call by itself.
+CLOSE = 0.65
 
 # Two- and three-letter ISO 639 codes and English names.
 LABELS = {
@@ -73,13 +75,16 @@ _TABLE: np.ndarray | None = None
 _BREAK = re.compile(r"(?<=[.!?…;:»”\"’'“)])\s+(?=[^a-z])|(?<=[.!?…])\s+")
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+")
 _WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
+_FIRST = re.compile(r"[^\w]*([^\W\d_]+)(?=\s+[a-zà-öø-ÿ])")
 _NAME = re.compile(r"(?<!\w)[^\W\d_a-zà-öø-ÿß][\w’'&-]*")
 
 
 def telling(text: str) -> str:
     """``text`` without its capitalised words, if three others remain: they are mostly names, the same in
-    all languages. Texts in capitals stay whole."""
-    plain = _NAME.sub(" ", text)
+    all languages. A capitalised word that only begins the text stays, and texts in capitals stay whole."""
+    first = _FIRST.match(text)
+    at = first.end(1) if first else 0
+    plain = text[:at] + _NAME.sub(" ", text[at:])
     return plain if len(_WORD.findall(plain)) >= 3 else text
 
 
@@ -147,9 +152,13 @@ class Profiles:
         self.table[(SPACE * K + SPACE) * K + SPACE] = 0
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages)."""
-        if not texts:
-            return np.empty((0, len(LANGUAGES)), np.float32)
+        """(texts, languages), in blocks of about 300,000 characters."""
+        upto = np.cumsum([len(t) for t in texts]) // 300_000
+        ends = [*(np.flatnonzero(np.diff(upto)) + 1), len(texts)] if texts else []
+        parts = [self._cosines(texts[i:j]) for i, j in zip([0, *ends], ends)]
+        return np.concatenate(parts) if parts else np.empty((0, len(LANGUAGES)), np.float32)
+
+    def _cosines(self, texts: list[str]) -> np.ndarray:
         g, off = encode(texts)
         total = np.add.reduceat(self.table[g], np.minimum(off[:-1], len(g) - 1), axis=0)
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
@@ -209,6 +218,23 @@ def stretches(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def settled(doc: np.ndarray, words: np.ndarray, c: np.ndarray, best: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """``best``, but a stretch too close to call takes that of its two nearest languages of which the rest of its
+    document has more words."""
+    close = np.flatnonzero(sure < CLOSE)
+    if not len(close):
+        return best
+    rest = np.zeros((int(doc.max()) + 1, len(LANGUAGES)))
+    clear = sure >= CLOSE
+    np.add.at(rest, (doc[clear], best[clear]), words[clear])
+    out = best.copy()
+    for i in close:
+        second, first = np.argsort(c[i])[-2:]
+        if rest[doc[i], second] > rest[doc[i], first]:
+            out[i] = second
+    return out
+
+
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
@@ -225,6 +251,7 @@ def _judge(shared):
             best = c.argmax(1) if len(flat) else np.empty(0, np.int64)
             margin = top[:, -1] - top[:, -2] if len(flat) else np.empty(0)
             sure = 1 / (1 + np.exp(-12.0 * margin * np.sqrt(np.maximum(words, 1) / 4))) if len(flat) else np.empty(0)
+            best = settled(np.asarray(doc, np.int64), np.asarray(words, np.int64), c, best, sure)
             lang = pa.array(np.array(LANGUAGES)[best] if len(flat) else [], pa.string())
             seq = np.arange(len(flat)) - np.searchsorted(doc, doc) if len(flat) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
