@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.stage import staged
 from newsloom.functions.text import tokens
 from newsloom.operators.graphs import connected_components
 from newsloom.session import checkpointed
@@ -21,9 +22,9 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """Distinct runs of ``k`` tokens; none for shorter texts."""
-    t = tokens(text)
+def shingles(t: Column, k: int = SHINGLE) -> Column:
+    """Distinct runs of ``k`` of the tokens; none for fewer. ``t`` must be a column, not an expression: a lambda
+    evaluates what it closes over for every element."""
     runs = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), " "))
     return F.when(F.size(t) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
@@ -41,7 +42,8 @@ def permutations(n: int = SIGNATURE, seed: int = SEED) -> list[tuple[int, int]]:
 def signatures(docs: DataFrame, n: int = SIGNATURE) -> DataFrame:
     """(doc, sig): MinHash signatures by ``n`` affine permutations of the shingle numbers. Texts without
     shingles have none. One explode and one combined aggregation."""
-    each = docs.select("doc", F.explode(shingles(F.col("text"))).alias("s")).select("doc", shingle_hash(F.col("s")).alias("h"))
+    cut = staged(docs, ["doc"], {"t": tokens(F.col("text"))})
+    each = cut.select("doc", F.explode(shingles(F.col("t"))).alias("s")).select("doc", shingle_hash(F.col("s")).alias("h"))
     mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(n))]
     return each.groupBy("doc").agg(*mins).select("doc", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 

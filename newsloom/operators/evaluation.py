@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.stage import staged
 from newsloom.functions.text import word_tokens
 
 
@@ -30,9 +31,10 @@ def rouge_n(df: DataFrame, id: str, label: str, predicted: str, n: int = 1) -> D
     """(id, precision, recall, f1) of n-gram overlap with clipped counts."""
 
     def grams(c: str) -> DataFrame:
-        t = word_tokens(F.col(c))
+        cut = staged(df.select(F.col(id).alias("id"), F.col(c).alias("c")), ["id"], {"t": word_tokens(F.col("c"))})
+        t = F.col("t")
         g = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-        some = df.select(F.col(id).alias("id"), F.explode(F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))).alias("g"))
+        some = cut.select("id", F.explode(F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))).alias("g"))
         return some.groupBy("id", "g").agg(F.count("*").alias("n"))
 
     a, b = grams(label), grams(predicted)

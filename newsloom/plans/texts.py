@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import load
 from newsloom.functions import text as T
+from newsloom.functions.stage import staged
 from newsloom.operators import curation, dedup, evaluation, topics
 from newsloom.operators.graphs import connected_components
 from newsloom.operators.urls import canonical_url
@@ -159,7 +160,8 @@ def epoch_days(spark: SparkSession, folder: str) -> DataFrame:
 def shingle_counts(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "cleaned_articles", "id", "body").where("body is not null").distinct()
     flat = F.regexp_replace("body", r"\s+", " ")
-    return t.select("id", F.size(T.tokens(flat)).cast("long").alias("tokens"), F.size(dedup.shingles(flat)).cast("long").alias("shingles"))
+    t = staged(t, ["id"], {"t": T.tokens(flat)})
+    return t.select("id", F.size("t").cast("long").alias("tokens"), F.size(dedup.shingles(F.col("t"))).cast("long").alias("shingles"))
 
 
 _MINHASH = """
