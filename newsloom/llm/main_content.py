@@ -2,7 +2,9 @@
 
 Every page is parsed into its element tree. Each element subtree with text of its own is hashed (tag and
 text folded to letters), the pages of a host that hold the same subtree are counted in Spark, and subtrees
-recurring on at least RECURS pages of the host are template. What recurs on no other page and reads
+recurring in at least RECURS different contents of the host, and in RECURS_SHARE of all its contents, are
+template. Pages with the same headline or the same longest paragraph hold one content, so copies of an article,
+however many, do not make its paragraphs template. What recurs on no other page and reads
 like sentences is prose; the element that holds most of a page's prose is the body. Everything outside
 is template and is deleted; so are subtrees inside that are nothing but a link (teasers and advertisement
 slots, which change from page to page but not in shape). Recurring subtrees inside the body that are
@@ -30,8 +32,9 @@ from newsloom.llm import textvec as V
 from newsloom.llm.similarity import slices
 from newsloom.session import checkpointed
 
-#: A subtree is template if it stands on at least so many pages of its host.
+#: A subtree is template if it stands in at least so many contents of its host, and in this share of them.
 RECURS = 5
+RECURS_SHARE = 0.005
 #: The body is the innermost element that holds at least this share of the prose.
 SHARE = 0.6
 
@@ -53,7 +56,13 @@ LINK, SENTENCE = 1, 2
 
 def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool]]]:
     """(parent of each element, blocks). A block is (element, text, whether all its text is a link)."""
-    parent, stack, blocks = [-1], [(0, "")], []
+    parent, _, blocks, _ = tree(html)
+    return parent, blocks
+
+
+def tree(html: str) -> tuple[list[int], list[str], list[tuple[int, str, bool]], str]:
+    """(parent of each element, tag of each element, blocks as in ``parse``, headline: the first h1, else the title)."""
+    parent, tags, stack, blocks, head = [-1], [""], [(0, "")], [], []
     text, linked, links, in_head = [], True, 0, False
 
     def flush():
@@ -68,7 +77,9 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool]]]:
     for m in _TOKEN.finditer(html):
         _, close, tag, _, piece = m.groups()
         if piece is not None:
-            if not in_head:
+            if in_head:
+                head.append(piece)
+            else:
                 text.append(piece)
                 if not links and not piece.isspace():
                     linked = False
@@ -100,9 +111,11 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool]]]:
             stack.pop()
             links = 0
         parent.append(stack[-1][0])
+        tags.append(tag)
         stack.append((len(parent) - 1, tag))
     flush()
-    return parent, blocks
+    headline = next((t for e, t, _ in blocks if tags[e] == "h1"), None)
+    return parent, tags, blocks, unescape("".join(head)) if headline is None else headline
 
 
 def _fold(texts: list[str], digits: bool) -> np.ndarray:
@@ -119,7 +132,7 @@ def _fold(texts: list[str], digits: bool) -> np.ndarray:
 
 
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
-_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, shape array<long>, text array<long>, line_no array<int>, line array<long>"
+_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, shape array<long>, text array<long>, line_no array<int>, line array<long>, headline long, lead long"
 
 
 def _lists(counts: list[int], values, type) -> pa.ListArray:
@@ -131,10 +144,12 @@ def _lists(counts: list[int], values, type) -> pa.ListArray:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
         parents, elements, flags, words, texts = [], [], [], [], []
-        n_parents, n_blocks = [], []
+        n_parents, n_blocks, headlines, leads = [], [], [], []
         for html in b.column(3).to_pylist():
-            parent, blocks = parse(html)
+            parent, _, blocks, headline = tree(html)
             parents += parent
+            headlines.append(headline)
+            leads.append(max((t for _, t, linked in blocks if not linked and t.count(" ") > 4 and _SENTENCE.search(t)), key=lambda t: (len(t), t), default=""))
             n_parents.append(len(parent))
             n_blocks.append(len(blocks))
             for e, t, linked in blocks:
@@ -151,6 +166,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.column(0), b.column(1), b.column(2), _lists(n_parents, parents, pa.int32()), _lists(n_blocks, elements, pa.int32()),
                 _lists(n_blocks, flags, pa.int32()), _lists(n_blocks, words, pa.int32()), _lists(n_blocks, _fold(texts, False), pa.int64()),
                 _lists(n_blocks, _fold(texts, True), pa.int64()), _lists(n_lines, line.astype(np.int32), pa.int32()), _lists(n_lines, h, pa.int64()),
+                pa.array(_fold(headlines, True), pa.int64()), pa.array(_fold(leads, True), pa.int64()),
             ],
             names=[x.split()[0] for x in _PAGE.split(", ")],
         )
@@ -231,20 +247,52 @@ def parsed_pages(df: DataFrame, id: str = "id", html: str = "html", url: str = "
     return rows.mapInArrow(_parse, _PAGE)
 
 
-def templates(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
-    """(host, shape, n_pages) of the subtrees that stand on at least ``recurs`` pages of a host.
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, by_headline, by_lead, n): whether headlines and longest paragraphs tell the host's contents apart, and
+    how many contents it has.
+
+    A headline or paragraph that the site puts on all its pages tells none apart: a mark counts where it takes
+    half as many values as both marks together.
+    """
+    marks = _marked(pages.select("host", "id", "headline", "lead")).groupBy("host", "headline", "lead").agg(F.lit(1).alias("x"))
+    both = marks.groupBy("host").agg(F.count("*").alias("n"))
+    for mark in ("headline", "lead"):
+        values = marks.groupBy("host", mark).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias(f"n_{mark}"))
+        both = both.join(values, "host")
+    told = [(F.col(f"n_{m}") * 2 >= F.col("n")).alias(f"by_{m}") for m in ("headline", "lead")]
+    least = F.least("n", *[F.when(F.col(f"n_{m}") * 2 >= F.col("n"), F.col(f"n_{m}")) for m in ("headline", "lead")])
+    return both.select("host", *told, least.alias("n"))
+
+
+def _marked(pages: DataFrame) -> DataFrame:
+    """``pages`` with a page's id as its mark where it has no headline or paragraph."""
+    own = lambda c: F.when(F.col(c) == 0, F.xxhash64("id")).otherwise(F.col(c)).alias(c)
+    return pages.select(*[own(c) if c in ("headline", "lead") else c for c in pages.columns])
+
+
+def templates(pages: DataFrame, recurs: int = RECURS, share: float = RECURS_SHARE) -> DataFrame:
+    """(host, shape, n_contents) of the subtrees that stand in at least ``recurs`` contents of a host and in ``share`` of them.
 
-    Pages are counted by distinct id; both aggregations combine before they shuffle.
+    Contents are counted by headline and by longest paragraph, and the lesser count holds, so that neither copies of
+    an article nor its re-edited versions count as several; all aggregations combine before they shuffle.
     """
-    one = pages.select("host", F.xxhash64("id").alias("page"), F.explode(F.array_distinct("shape")).alias("shape")).where("shape <> 0")
-    once = one.groupBy("host", "shape", "page").agg(F.lit(1).alias("x"))
-    return once.groupBy("host", "shape").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= recurs)
+    one = _marked(pages.select("host", "id", "headline", "lead", F.explode(F.array_distinct("shape")).alias("shape")).where("shape <> 0"))
+    once = one.groupBy("host", "shape", "headline", "lead").agg(F.lit(1).alias("x"))
+    # No subtree stands in more contents than in pairs of marks; only the few at the minimum are counted by each mark.
+    found = checkpointed(once.groupBy("host", "shape").agg(F.count("*").alias("n_contents")).where(F.col("n_contents") >= recurs))
+    some = once.join(found.select("host", "shape"), ["host", "shape"], "left_semi").drop("x")
+    for mark in ("headline", "lead"):
+        values = some.groupBy("host", "shape", mark).agg(F.lit(1).alias("x"))
+        found = found.join(values.groupBy("host", "shape").agg(F.count("*").alias(f"n_{mark}")), ["host", "shape"])
+    found = found.join(contents(pages), "host")
+    least = F.least("n_contents", *[F.when(F.col(f"by_{m}"), F.col(f"n_{m}")) for m in ("headline", "lead")])
+    return found.select("host", "shape", least.alias("n_contents"), "n").where((F.col("n_contents") >= recurs) & (F.col("n_contents") >= share * F.col("n"))).drop("n")
 
 
 def with_template(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
     """``pages`` with ``template``: the shapes on the page that recur on its host."""
     pairs = pages.select("host", "row", F.explode(F.array_distinct("shape")).alias("shape"))
-    hit = pairs.join(templates(pages, recurs).drop("n_pages"), ["host", "shape"], "left_semi")
+    hit = pairs.join(templates(pages, recurs).drop("n_contents"), ["host", "shape"], "left_semi")
     sets = hit.groupBy("row").agg(F.collect_set("shape").alias("template"))
     return pages.join(sets, "row", "left")
 
@@ -258,7 +306,7 @@ def outside_lines(df: DataFrame, recurs: int = RECURS, **columns: str) -> DataFr
 def main_text(df: DataFrame, recurs: int = RECURS, **columns: str) -> DataFrame:
     """(id, main_text): the article's own text of each page, from its html alone, paragraphs apart by a blank line."""
     html, id = columns.get("html", "html"), columns.get("id", "id")
-    pages = checkpointed(parsed_pages(df, **columns).select("row", "host", "id", "shape").dropDuplicates(["row"]))
+    pages = checkpointed(parsed_pages(df, **columns).select("row", "host", "id", "shape", "headline", "lead").dropDuplicates(["row"]))
     known = with_template(pages, recurs).select("row", "shape", "template")
     body = columns.get("body", "body")
     rows = df.where(df[html].isNotNull() & df[id].isNotNull()).select(

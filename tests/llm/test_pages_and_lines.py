@@ -33,6 +33,29 @@ def test_outside_lines_and_main_text(spark):
     assert main_content.outside_lines(df.limit(0)).count() == 0
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    """Six copies under other ids of the host, two with another headline or an edit, do not make its paragraphs template."""
+    rows = [(str(i), "https://s.example/x", "s", page(i), body(i)) for i in range(8)]
+    html, text = page(9), body(9)
+    edited = [html.replace("Title 9", "UPDATE Title 9"), html.replace("its plans", "new plans", 1)]
+    rows += [(f"c{n}", "https://s.example/c", "s", h.replace("Teaser about number j", f"Teaser of {chr(97 + n) * 3}"), text) for n, h in enumerate([html] * 6 + edited)]
+    df = spark.createDataFrame(rows, "id string, url string, source string, html string, body string")
+    got = {}
+    for r in main_content.outside_lines(df).collect():
+        got.setdefault(r["id"], set()).add(r["line_no"])
+    assert all(got[str(i)] == {0, 3, 7, 8} for i in range(8)) and all(got[f"c{n}"] == {0, 3, 7} for n in range(8))
+    assert all(PROSE.format("jjjj") in r["main_text"] and "reserved" not in r["main_text"] for r in main_content.main_text(df).where("id like 'c%'").collect())
+
+
+def test_a_share_of_the_host_is_required(spark):
+    """A paragraph quoted in six articles of a large host is no template."""
+    quoted = "<p>The notice of the regulator was quoted in full.</p>"
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(str(i), f"<h1>{word(i)}</h1><p>The story of {word(i)} is told here at its full length and with care.</p>" + (quoted if i < 6 else "")) for i in range(1500)]
+    pages = main_content.parsed_pages(spark.createDataFrame([(a, "https://s.example", "s", h, "") for a, h in rows], "id string, url string, source string, html string, body string"))
+    assert main_content.templates(pages).count() == 0 and main_content.templates(pages, share=0.0).count() == 1
+
+
 def test_tolerant_parser():
     for html in ("", "<", "</p></div>", "<div><p>a<p>b</div><td>c", "<!-- x", "<script>a<b", "<a href='x'>l</a><b>t", "<p " + "x" * 5000):
         parent, blocks = main_content.parse(html)
