@@ -1,14 +1,15 @@
 """The main body of web pages, by removing the template of their site.
 
-Every page is parsed into its element tree. Each element subtree with text of its own is hashed (tag and
-text folded to letters), the pages of a host that hold the same subtree are counted in Spark, and subtrees
+Every page is parsed into its element tree. Each leaf subtree is hashed (tag and text folded to letters; a
+larger subtree recurs only where all its leaves do, so deleting these deletes it too), the pages of a host that hold the same subtree are counted in Spark, and subtrees
 recurring in at least RECURS different contents of the host, and in RECURS_SHARE of all its contents, are
 template. Pages with the same headline or the same longest paragraph hold one content, so copies of an article,
 however many, do not make its paragraphs template. What recurs on no other page and reads
 like sentences is prose; the element that holds most of a page's prose is the body. Everything outside
-is template and is deleted; so are subtrees inside that are nothing but a link (teasers and advertisement
-slots, which change from page to page but not in shape). Recurring subtrees inside the body that are
-not links (bylines, agency notes, notices) belong to the article and stay.
+is template and is deleted; so are recurring subtrees inside that neither stand between the first and the last
+paragraph nor directly at its ends (cookie notices and footers, where the body is the whole page), and subtrees inside that are nothing but a link (teasers and advertisement
+slots, which change from page to page but not in shape). Recurring subtrees between or directly at the ends of
+the paragraphs that are not links (bylines, agency notes, notices) belong to the article and stay.
 
 Cases: rows without html have no template to remove and give no lines; a page without prose keeps its
 largest element by words that are no link; markup that is never closed, stray end tags, comments, scripts
@@ -20,6 +21,7 @@ named columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,6 +53,10 @@ _CLOSES = {
 }
 _BLOCK_CLOSES = {"p"}
 
+# At the ends of the article, subtrees below these are not of it; an element of these tags is a page, not an article.
+_AROUND = frozenset("nav footer aside header form".split())
+_PAGE_TAGS = frozenset(["", "html", "body"])
+
 LINK, SENTENCE = 1, 2
 
 
@@ -132,7 +138,7 @@ def _fold(texts: list[str], digits: bool) -> np.ndarray:
 
 
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
-_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, shape array<long>, text array<long>, line_no array<int>, line array<long>, headline long, lead long"
+_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, tags array<string>, shape array<long>, text array<long>, line_no array<int>, line array<long>, headline long, lead long"
 
 
 def _lists(counts: list[int], values, type) -> pa.ListArray:
@@ -143,11 +149,12 @@ def _lists(counts: list[int], values, type) -> pa.ListArray:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
-        parents, elements, flags, words, texts = [], [], [], [], []
-        n_parents, n_blocks, headlines, leads = [], [], [], []
+        parents, elements, flags, words, texts, own = [], [], [], [], [], []
+        n_parents, n_blocks, headlines, leads, tags = [], [], [], [], []
         for html in b.column(3).to_pylist():
-            parent, _, blocks, headline = tree(html)
+            parent, tag, blocks, headline = tree(html)
             parents += parent
+            tags += tag
             headlines.append(headline)
             leads.append(max((t for _, t, linked in blocks if not linked and t.count(" ") > 4 and _SENTENCE.search(t)), key=lambda t: (len(t), t), default=""))
             n_parents.append(len(parent))
@@ -155,8 +162,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e, t, linked in blocks:
                 elements.append(e)
                 texts.append(t)
+                own.append(zlib.crc32(tag[e].encode()))
                 words.append(t.count(" ") + 1)
                 flags.append(LINK * linked + SENTENCE * (_SENTENCE.search(t) is not None))
+        shapes = _fold(texts, False)
+        shapes = np.where(shapes == 0, 0, V.signed(V.mix(shapes.view(V.U) ^ V.mix(np.array(own, V.U)))))
         bodies = b.column(4).to_pylist()
         cp, doc, line, bounds = V.lines(bodies)
         h = V.signed(V.span_hashes(cp, bounds[:-1], bounds[1:])) if len(doc) else np.empty(0, np.int64)
@@ -164,7 +174,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0), b.column(1), b.column(2), _lists(n_parents, parents, pa.int32()), _lists(n_blocks, elements, pa.int32()),
-                _lists(n_blocks, flags, pa.int32()), _lists(n_blocks, words, pa.int32()), _lists(n_blocks, _fold(texts, False), pa.int64()),
+                _lists(n_blocks, flags, pa.int32()), _lists(n_blocks, words, pa.int32()), _lists(n_parents, tags, pa.string()), _lists(n_blocks, shapes, pa.int64()),
                 _lists(n_blocks, _fold(texts, True), pa.int64()), _lists(n_lines, line.astype(np.int32), pa.int32()), _lists(n_lines, h, pa.int64()),
                 pa.array(_fold(headlines, True), pa.int64()), pa.array(_fold(leads, True), pa.int64()),
             ],
@@ -172,8 +182,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def body_blocks(parent, element, flags, words, recurring) -> list[bool]:
+def body_blocks(parent, element, flags, words, recurring, tags=None) -> list[bool]:
     """For each block of a page, whether it belongs to the body."""
+    tags = tags or [""] * len(parent)
 
     def heaviest(weight: list[int]) -> int:
         total = [0] * len(parent)
@@ -206,7 +217,32 @@ def body_blocks(parent, element, flags, words, recurring) -> list[bool]:
             inside[e] = e == main or (e >= 0 and within(parent[e]))
         return inside[e]
 
-    return [main >= 0 and within(e) and not f & LINK for e, f in zip(element, flags)]
+    keep = [main >= 0 and within(e) and not f & LINK for e, f in zip(element, flags)]
+    inner = [i for i, (k, w) in enumerate(zip(keep, prose)) if k and w]
+    if not inner or all(r or not k for r, k in zip(recurring, keep)):
+        return keep  # no paragraph of the page's own: nothing tells the template's text from the article's
+    first, last = inner[0], inner[-1]
+    # An article's element has paragraphs as its children; elsewhere prose lies scattered, and the page is the body.
+    article = tags[main] not in _PAGE_TAGS and any(main in (element[i], parent[element[i]]) for i in inner)
+
+    def beside(e: int) -> bool:
+        while e != main:
+            if tags[e] in _AROUND:
+                return False
+            e = parent[e]
+        return True
+
+    for end, step in ((first, -1), (last, 1)):
+        near = parent[element[end]]
+        touching = True
+        for i in range(end + step, -1 if step < 0 else len(keep), step):
+            if not recurring[i]:
+                touching = touching and keep[i]
+                continue
+            touching = touching and (element[i] == element[end] or (parent[element[i]] == near and near >= 0))
+            if keep[i] and not (touching or (article and beside(element[i]))):
+                keep[i] = False
+    return keep
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +251,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             template = set(r["template"] or ())
             recurring = [x in template or not x for x in r["shape"]]
-            keep = body_blocks(r["parent"], r["element"], r["flags"], r["words"], recurring)
+            keep = body_blocks(r["parent"], r["element"], r["flags"], r["words"], recurring, r["tags"])
             article = {t for t, k in zip(r["text"], keep) if k}
             outside = {t for t, k in zip(r["text"], keep) if not k and t} - article
             for n, x in zip(r["line_no"], r["line"]):
@@ -229,10 +265,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
         out = []
         for html, shapes, template in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            parent, blocks = parse(html)
+            parent, tags, blocks, _ = tree(html)
             template = set(template or ())
             flags = [LINK * linked + SENTENCE * (_SENTENCE.search(t) is not None) for _, t, linked in blocks]
-            keep = body_blocks(parent, [e for e, _, _ in blocks], flags, [t.count(" ") + 1 for _, t, _ in blocks], [x in template or not x for x in shapes])
+            keep = body_blocks(parent, [e for e, _, _ in blocks], flags, [t.count(" ") + 1 for _, t, _ in blocks], [x in template or not x for x in shapes], tags)
             out.append("\n\n".join(" ".join(t.split()) for (_, t, _), k in zip(blocks, keep) if k))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "main_text"])
 

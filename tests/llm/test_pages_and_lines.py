@@ -56,6 +56,22 @@ def test_a_share_of_the_host_is_required(spark):
     assert main_content.templates(pages).count() == 0 and main_content.templates(pages, share=0.0).count() == 1
 
 
+def test_template_in_a_scattered_body_is_deleted(spark):
+    """Where the body is the whole page, cookie notices and footers go; notices at the article's ends stay."""
+    rows = []
+    for i in range(8):
+        a = chr(97 + i) * 3
+        lines = ["Cookies are used on this site.", "By Ann Author", f"The firm {a} said on Monday that it will close.", "This is no advice.", f"A teaser tells of {a} and of its many rivals.", "All rights are reserved."]
+        c, by, story, note, teaser, foot = lines
+        html = f"<body><div><p>{c}</p></div><div><p>{by}</p><p>{story}</p><p>{note}</p></div><div><p>{teaser}</p></div><div><p>{foot}</p></div></body>"
+        rows.append((str(i), "https://s.example", "s", html, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "id string, url string, source string, html string, body string")
+    got = {(r["id"], r["line_no"]) for r in main_content.outside_lines(df).collect()}
+    assert got == {(str(i), n) for i in range(8) for n in (0, 5)}
+    for r in main_content.main_text(df).collect():
+        assert "Cookies" not in r["main_text"] and "rights" not in r["main_text"] and "By Ann" in r["main_text"] and "no advice" in r["main_text"]
+
+
 def test_tolerant_parser():
     for html in ("", "<", "</p></div>", "<div><p>a<p>b</div><td>c", "<!-- x", "<script>a<b", "<a href='x'>l</a><b>t", "<p " + "x" * 5000):
         parent, blocks = main_content.parse(html)
