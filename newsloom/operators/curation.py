@@ -48,19 +48,42 @@ def noise_draws(docs: DataFrame, id: str, size: Column, want: int = 7, seed: str
     return drawn.join(rows.select("n", F.col("id").alias("other")), "n").select("id", "slot", "other")
 
 
-def with_noise(docs: DataFrame, id: str, chunks: Column, want: int = 7, seed: str = "noise") -> DataFrame:
-    """(id, kind, body): each document's first chunks in hashed order (og), and for short ones also padded with a
-    chunk of each drawn document (aug)."""
-    rows = docs.select(F.col(id).alias("id"), chunks.alias("chunks")).where(F.size("chunks") > 0)
+def pure_noise(rows: DataFrame, most: int = 7, share: float = 0.1, seed: str = "noise") -> DataFrame:
+    """(id, body) for a hashed ``share`` of (id, chunks): chunks of 1 to ``most`` other documents, hashed in number
+    and choice, and none of the document's own. Without other documents there are none."""
+    every = numbered(rows.select("id"), "id")
+    total = rows.agg(F.count("*").alias("total"))
+    named = F.col("id").cast("string")
+    chosen = every.where(hashed(named, seed + "-pure") < share * 2**28).crossJoin(F.broadcast(total)).where("total > 1")  # one row
+    count = F.pmod(hashed(named, seed + "-count"), F.lit(most)) + 1
+    slots = chosen.select("id", "n", "total", F.explode(F.sequence(F.lit(1), count.cast("int"))).alias("slot"))
+    key = lambda tag: hashed(named, F.col("slot").cast("string"), seed + tag)
+    drawn = slots.select("id", "slot", F.pmod(F.col("n") + F.pmod(key("-pure-other"), F.col("total") - 1) + 1, F.col("total")).alias("n"))
+    others = drawn.join(every.withColumnRenamed("id", "other"), "n").join(rows.select(F.col("id").alias("other"), F.col("chunks").alias("theirs")), "other")
+    pick = F.pmod(key("-pure-chunk"), F.size("theirs").cast("long")).cast("int")
+    bodies = others.select("id", F.struct("slot", F.col("theirs")[pick].alias("x")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return bodies.select("id", F.array_join("s.x", "\n\n").alias("body"))
+
+
+def with_noise(docs: DataFrame, id: str, chunks: Column, want: int = 7, seed: str = "noise", answer: Column | None = None, share: float = 0.1) -> DataFrame:
+    """(id, kind, body, response): each document's first chunks in hashed order (og), for short ones also padded
+    with a chunk of each drawn document (aug), and for a hashed ``share`` of all also chunks of other documents only
+    (noise), whose response is IMPOSSIBLE in place of ``answer``. Without an answer, which noise is there to
+    replace, the first two only and no response."""
+    given = F.lit(None).cast("string") if answer is None else answer
+    rows = docs.select(F.col(id).alias("id"), chunks.alias("chunks"), given.alias("response")).where(F.size("chunks") > 0)
     mine = F.slice("chunks", 1, want)
     order = lambda c, tag: F.array_join(F.transform(F.array_sort(F.transform(c, lambda x: F.struct(F.sha1(F.concat(x, F.lit(tag))).alias("h"), x.alias("x")))), lambda s: s["x"]), "\n\n")
-    og = rows.select("id", F.lit("og").alias("kind"), order(mine, "og").alias("body"))
+    og = rows.select("id", F.lit("og").alias("kind"), order(mine, "og").alias("body"), "response")
     draws = noise_draws(rows, "id", F.size("chunks"), want, seed)
     other = rows.select(F.col("id").alias("other"), F.col("chunks").alias("theirs"))
     pick = F.pmod(hashed(F.col("id").cast("string"), F.col("slot").cast("string"), seed + "-chunk"), F.size("theirs").cast("long")).cast("int")
     noise = draws.join(other, "other").select("id", F.col("theirs")[pick].alias("chunk")).groupBy("id").agg(F.collect_list("chunk").alias("noise"))
-    aug = rows.join(noise, "id").select("id", F.lit("aug").alias("kind"), order(F.concat(mine, "noise"), "aug").alias("body"))
-    return og.unionByName(aug)
+    aug = rows.join(noise, "id").select("id", F.lit("aug").alias("kind"), order(F.concat(mine, "noise"), "aug").alias("body"), "response")
+    if answer is None:
+        return og.unionByName(aug).drop("response")
+    pure = pure_noise(rows, want, share, seed).select("id", F.lit("noise").alias("kind"), "body", F.lit(IMPOSSIBLE).alias("response"))
+    return og.unionByName(aug).unionByName(pure)
 
 
 def augmented_docs(docs: DataFrame, rels: DataFrame, new_text: Column) -> tuple[DataFrame, DataFrame]:

@@ -242,8 +242,9 @@ def noise_draws(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def noise_injection(spark: SparkSession, folder: str) -> DataFrame:
-    t = load(spark, folder, "cleaned_articles", "id", "body").where("body is not null").groupBy("id").agg(F.min("body").alias("body"))
-    return curation.with_noise(t, "id", F.split("body", "\n\n"))
+    """Articles with their own chunks, padded with those of others, and of others only, with the summary as answer."""
+    t = load(spark, folder, "cleaned_articles", "id", "body", "summary").where("body is not null").groupBy("id").agg(F.min(F.struct("body", "summary")).alias("r"))
+    return curation.with_noise(t.select("id", "r.*"), "id", F.split("body", "\n\n"), answer=F.col("summary"))
 
 
 @query("""

@@ -91,6 +91,18 @@ def test_noise_and_augmentation(spark):
     assert sorted(x["doc_id"] for x in rs.collect()) == [5, 7]
 
 
+def test_pure_noise(spark):
+    """A tenth of the rows come again with 1 to 7 chunks of others only, and the answer that none is possible."""
+    docs = spark.range(400).select("id", F.expr("transform(sequence(1, 1 + int(id % 9)), j -> concat('c', id, '-', j))").alias("chunks"), F.concat(F.lit("a"), "id").alias("answer"))
+    out = curation.with_noise(docs, "id", F.col("chunks"), answer=F.col("answer")).collect()
+    noise = [r for r in out if r["kind"] == "noise"]
+    assert 20 < len(noise) < 60 and len({r["id"] for r in noise}) == len(noise)
+    parts = [r["body"].split("\n\n") for r in noise]
+    assert {len(p) for p in parts} == set(range(1, 8))
+    assert all(x.split("-")[0] != f"c{r['id']}" for r, p in zip(noise, parts) for x in p)
+    assert all(r["response"] == (T.IMPOSSIBLE if r["kind"] == "noise" else f"a{r['id']}") for r in out)
+
+
 def test_fusion_and_mmr(spark):
     lists = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 2, 2), (0, 1, 2, 1), (0, 1, 3, 2)], "fusion_id long, list_no int, doc_id long, rank int")
     got = {r["doc_id"]: r["score"] for r in retrieval.rag_fusion(lists).collect()}
