@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import load
 from newsloom.functions.text import STOPWORDS, jaccard, word_tokens
 from newsloom.operators import evaluation, language_tools, retrieval, topics, web
-from newsloom.session import shared_path
+from newsloom.session import checkpointed, shared_path
 from newsloom.streaming import news
 
 QUERIES: dict = {}
@@ -127,6 +127,19 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.ranked(f, ["query_id"], F.round("score", 12), ["doc_id"], 10).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 
 
+@query()
+def hybrid_retriever(spark: SparkSession, folder: str) -> DataFrame:
+    """Keywords by BM25 and all of the query by vectors of articles not older than two years before the last, fused, then made diverse."""
+    t = load(spark, folder, "cleaned_articles", "id", "title", "body", "published").groupBy(F.col("id").alias("doc_id"))
+    t = t.agg(F.min("title").alias("title"), F.min("body").alias("body"), F.max("published").alias("published"))
+    t = checkpointed(t)
+    fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in ("title", "body")]))
+    last = t.agg((F.max("published") - F.expr("interval 730 days")).alias("since"))
+    recent = t.crossJoin(F.broadcast(last)).where("published > since").select("doc_id", F.concat_ws(" ", "body", "title").alias("text"))  # one row
+    q = load(spark, folder, "incoming_articles", "arrival_no", "title").where("arrival_no % 50 = 0").select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
+    return retrieval.hybrid(q.where("text is not null"), recent, t.select("doc_id", fields).where("text is not null"))
+
+
 _FUSION = _KNN + """, l as (select query_id // 250 as fusion_id, query_id // 50 % 5 as list_no, doc_id, rank from r where rank <= 20),
     w as (select distinct fusion_id, list_no, case when list_no = 0 then 2.0::double else 1.0::double end as w from l),
     c as (select distinct fusion_id, doc_id from l),

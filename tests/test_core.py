@@ -115,6 +115,18 @@ def test_fusion_and_mmr(spark):
     assert picks(1.0) == [1, 2, 3] and picks(0.3) == [1, 3, 2]
 
 
+def test_hybrid_retriever(spark):
+    """The vector arm finds what has no keyword, and stands alone where the query has none; the filter is its own."""
+    texts = {"a": "Acme Corp opens plant", "b": "rising wheat prices in spring", "c": "wheat prices in spring rising again", "d": "nothing of it"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    q = spark.createDataFrame([(1, "Acme Corp rising wheat prices"), (2, "rising wheat prices"), (3, "")], "query_id long, text string")
+    fields = docs.select("doc_id", F.lit("body").alias("field"), "text")
+    got = {}
+    for r in retrieval.hybrid(q, docs.where("doc_id <> 'a'"), fields, fetch=2).orderBy("pick").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert set(got[1]) == {"a", "b"} and got[2] == ["b", "c"] and 3 not in got
+
+
 def test_nearest_blocks_agree(spark):
     rng = random.Random(1)
     v = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(40)]
