@@ -200,15 +200,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def opening_clusters(openings: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(opening, cluster) of distinct openings: pairs that share a band, verified on their words, joined."""
-    keys = openings.select("opening").mapInArrow(_bands, "opening string, key long")
-    hubs = keys.groupBy("key").agg(F.min("opening").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    # Each member is compared with the least of its bucket, in every band; the components join the rest.
-    pairs = keys.join(hubs, "key").where("opening <> hub").select("opening", "hub").distinct()
+    keys = checkpointed(openings.select("opening").mapInArrow(_bands, "opening string, key long"))
+    # All members of a bucket are compared; a pair that shares several bands once.
+    pairs = keys.join(keys.withColumnRenamed("opening", "other"), "key").where("opening < other").select("opening", "other").distinct()
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: ~w.isin("n", "9")))
-    common = F.size(F.array_intersect(words("opening"), words("hub")))
-    either = F.size(F.array_union(words("opening"), words("hub")))
+    common = F.size(F.array_intersect(words("opening"), words("other")))
+    either = F.size(F.array_union(words("opening"), words("other")))
     edges = pairs.where(common >= alike * either)
-    found = connected_components(edges, "opening", "hub")
+    found = connected_components(edges, "opening", "other")
     return openings.join(found, openings["opening"] == found["node"], "left").select("opening", F.coalesce("component", "opening").alias("cluster"))
 
 
