@@ -83,6 +83,20 @@ def opening(text: str) -> str:
     return " ".join(out[:OPENING])
 
 
+def templates(text: str) -> list[str]:
+    """What of the first sentence, longer than an opening and without names and numbers, may recur over prompts: the
+    words up to a cue of declining outside quotations, and all its words."""
+    first = _SENTENCE_END.split(text.strip(), maxsplit=1)[0]
+    cue = _CUE.search(_QUOTED.sub(lambda m: " " * len(m[0]), first))
+    out = []
+    for part in (first[: cue.end()] if cue else "", first):
+        words = _WORDS.findall(part)
+        named = any(_NUMBER.match(w) or (i and w[0].isupper() and w not in ("I", "I'm", "I’m", "AI")) for i, w in enumerate(words))
+        if len(words) > OPENING and not named:
+            out.append(" ".join(w.lower().replace("’", "'") for w in words))
+    return list(dict.fromkeys(out))
+
+
 def is_copy(answer: str, questions: tuple[str, ...]) -> bool:
     """Whether hardly a word of the answer is not of one of the questions, which it covers."""
     mine = _WORDS.findall(answer.lower())
@@ -144,13 +158,13 @@ def _features(shared):
         profiles = shared.value
         for b in slices(batches, 1000):
             q, u, a = (b.column(i).to_pylist() for i in (1, 2, 3))
-            kinds, openings, askers = [], [], []
+            kinds, openings, askers, keys = [], [], [], []
             good = [not (is_empty(x) or is_empty(y) or is_empty(z)) for x, y, z in zip(q, u, a)]
             mine, tells = scored_languages(profiles, [_unquoted(z) if g else "" for z, g in zip(a, good)])
             theirs, _ = scored_languages(profiles, [f"{x} {y}" if g else "" for x, y, g in zip(q, u, good)])
             foreign = other_language(mine, theirs, tells)
             for x, y, z, g, f in zip(q, u, a, good, foreign):
-                kind, start = None, None
+                kind, start, telling_nothing = None, None, []
                 if not g:
                     kind = "empty"
                 elif is_copy(z, (x, y)):
@@ -162,13 +176,14 @@ def _features(shared):
                     elif is_truncated(z):
                         kind = "truncated"
                     if not cites:
-                        start = opening(z)
+                        start, telling_nothing = opening(z), templates(z)
                 kinds.append(kind)
                 openings.append(start)
+                keys.append(telling_nothing)
                 askers.append(next(iter(_WORDS.findall((x or "").lower())), ""))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(kinds, pa.string()), pa.array(openings, pa.string()), pa.array(askers, pa.string())],
-                names=["id", "kind", "opening", "asker"],
+                [b.column(0), pa.array(kinds, pa.string()), pa.array(openings, pa.string()), pa.array(askers, pa.string()), pa.array(keys, pa.list_(pa.string()))],
+                names=["id", "kind", "opening", "asker", "templates"],
             )
 
     return run
@@ -227,6 +242,14 @@ def refusal_openings(features: DataFrame) -> DataFrame:
     return chosen.where(F.col("opening").rlike("(?iu)" + _CUE.pattern)).distinct()
 
 
+def refusal_templates(features: DataFrame) -> DataFrame:
+    """(template) of what recurs, whole, across unrelated prompts: it holds no name or number, so it says nothing of them."""
+    usable = features.where("kind is null or kind = 'truncated' or kind = 'language'").select("asker", F.explode("templates").alias("template"))
+    by_asker = usable.groupBy("template", "asker").agg(F.count("*").alias("n"))
+    spread = by_asker.groupBy("template").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("askers"))
+    return spread.where((F.col("n") >= LEAST_ROWS) & (F.col("askers") >= 2) & (F.col("most") <= MOST_SHARE * F.col("n"))).select("template")
+
+
 def defects(
     df: DataFrame, profiles: Profiles, id: str = "qa_id", question: str = "answerable", other: str = "unanswerable", answer: str = "answer"
 ) -> DataFrame:
@@ -234,8 +257,11 @@ def defects(
     rows = df.select(df[id].alias("id"), df[question].alias("q"), df[other].alias("u"), df[answer].alias("a"))
     shared = df.sparkSession.sparkContext.broadcast(profiles)  # a table of fixed size
     kind = rows.schema["id"].dataType.simpleString()
-    features = checkpointed(rows.mapInArrow(_features(shared), f"id {kind}, kind string, opening string, asker string"))
+    features = checkpointed(rows.mapInArrow(_features(shared), f"id {kind}, kind string, opening string, asker string, templates array<string>"))
     refusals = refusal_openings(features).withColumn("refusal", F.lit(True))
-    joined = features.join(refusals, "opening", "left")
+    longer = refusal_templates(features)
+    said = features.select("id", "templates", F.explode("templates").alias("template")).join(longer, "template", "left_semi").select("id", "templates").distinct()
+    joined = features.join(refusals, "opening", "left").join(said.withColumn("said", F.lit(True)), ["id", "templates"], "left")
+    joined = joined.withColumn("refusal", F.coalesce("refusal", F.col("said") & F.col("opening").isNotNull()))
     defect = F.when(F.col("kind").isin("empty", "copied"), F.col("kind")).when(F.col("refusal"), F.lit("refusal")).otherwise(F.col("kind"))
     return joined.select("id", defect.alias("defect"))

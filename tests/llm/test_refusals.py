@@ -29,3 +29,16 @@ def test_openings_against_all_pairs(spark):
                     root[high] = low
     got = dict(qa_defects.opening_clusters(spark.createDataFrame([(o,) for o in names], "opening string")).collect())
     assert got == {o: find(o) for o in names}
+
+
+def test_refusals_without_an_early_or_known_cue(spark):
+    late = "Based on the information in the passage, I cannot say who won."
+    unlisted = "This passage offers nothing at all on the matter that was raised."
+    cited = "He told a reporter late that day “I cannot answer this” and then left."
+    rows = [(i, f"{w} did it?", a) for i, (w, a) in enumerate((w, a) for a in (late, unlisted) for w in ("who", "what", "where"))]
+    features = [(str(i), None, qa_defects.opening(a), q.split()[0], qa_defects.templates(a)) for i, q, a in rows]
+    df = spark.createDataFrame(features, "id string, kind string, opening string, asker string, templates array<string>")
+    got = {r["template"] for r in qa_defects.refusal_templates(df).collect()}
+    assert "based on the information in the passage i cannot" in got and any(t.startswith("this passage offers nothing") for t in got)
+    assert not any(t.endswith("cannot") for t in qa_defects.templates(cited))
+    assert qa_defects.templates("Revenue at Acme Corp rose by 9 percent in the last quarter.") == [] and qa_defects.templates("In March.") == []
