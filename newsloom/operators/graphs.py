@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from newsloom.session import checkpointed
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each node's component, over the nodes that have edges.
 
     Large-star and small-star by turns: every round is one aggregation and one join on the edges, a hub's
     neighbours are never collected, and the edge set shrinks to one star per component in a number of
-    rounds that grows with the logarithm of the longest chain. Lineage is cut by checkpoints in the
+    rounds that grows with the logarithm of the longest chain; it goes on until the edges no longer change. Lineage is cut by checkpoints in the
     shared folder. Null ends and loops are ignored; an empty edge table gives an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: larger neighbours of u are linked to the least of u and its neighbours
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
