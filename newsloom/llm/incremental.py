@@ -2,21 +2,30 @@
 
 Tokens are five-word shingles. Two texts with similarity t or more share a token among the first
 n - ceil(t n) + 1 of each, whatever the order of the tokens, as long as it is one order; the rarest come
-first, so that those prefixes hardly ever meet by chance. The order is fitted when the index is built and
-then frozen, so that old and new postings stay in one order: every task counts the shingles of its texts,
-those that it met at least twice are added up, and the HEAVY most frequent are kept. Shingles outside
-that table count as rarest; ties are ordered by hash.
+first, so that those prefixes hardly ever meet by chance. The order is fitted when the index is built, by
+counting every shingle of every text in a table of SLOTS counters (a shingle is as frequent as its slot),
+and then frozen, so that old and new postings stay in one order.
 
-The index is a folder below the shared one: ``heavy``, ``postings`` and ``docs``. A posting block holds the
-postings of one token bucket from one task as arrays; blocks are only ever appended. Probing a batch
-groups blocks and probes by bucket and joins them there, filters lengths and then, by a 32-byte sketch of
-each document's shingles, pairs whose similarity is 4.5 standard deviations below t or less, and verifies
-the remaining candidates on whole shingle sets. The history's texts are read only for documents that are candidates.
+The index is a folder below the shared one. Every text is cut into shingles once, when it comes; what is
+stored is enough for all that follows, so that no text is read again:
+
+* ``sets``, partitioned by ``shard`` (of the text's class): the shingle set of each class of equal texts, and its page;
+* ``postings``, partitioned by ``bucket`` (of the token): blocks of packed postings, only ever appended;
+* ``pages``, partitioned by ``part``: the addresses that are taken;
+* ``order``: the counters.
+
+A probe reads only the buckets of its own prefix tokens, the shards of its candidates and the parts of its
+addresses. The numbers of buckets, shards and parts grow with the history that the index is built over, so a batch reads at most
+as many of them as it has tokens, candidates and addresses, each of a bounded size, however long the history is.
+Within a bucket, blocks are dealt to sub-buckets of at most LIMIT postings, old against new, so that a hot token
+is spread over tasks and no task holds more than two sub-buckets. Pairs are filtered by length and by a 32-byte sketch
+of their shingles (4.5 standard deviations below t) and then verified on the whole sets.
 
 ``ingest`` takes any set of pending rows, one batch or many, and decides them in order: a row repeats if
 something accepted before it, in the history or among earlier rows not themselves repeats, has a similar
 text or an address that leads to the same page. Rows with equal shingle sets, and rows with the same
-page, form classes that are aggregated, never collected or paired.
+page, form classes that are aggregated, never paired. A few rounds decide whatever has no open relative before it; what
+is left, chains of edits, is decided along each chain.
 
 Cases: null, blank and short texts (under five words) match no text, not even an equal one; null and blank
 addresses match none; a row that comes twice repeats itself; ties in the order are broken by id; an
@@ -30,54 +39,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import textvec as V
-from newsloom.llm.similarity import BROADCAST_ROWS, set_hash, slices, verified
+from newsloom.llm.similarity import BROADCAST_ROWS, set_hash, slices
+from newsloom.operators.graphs import connected_components
 from newsloom.operators.urls import canonical_url
 from newsloom.session import checkpointed, shared_path
 
-#: Entries of the frozen table of frequent shingles: a bound on what is sent to every executor (16 bytes each).
-HEAVY = 262_144
-#: Documents per token bucket, about; a bucket's postings of one probe are joined in one task.
-DOCS_PER_BUCKET = 20_000
+#: Counters of the frozen order: a bound on what is sent to every executor (4 bytes each).
+SLOTS = 1 << 20
+#: Documents per bucket, shard and part, about.
+DOCS_PER_BUCKET = 2_500
+#: Postings of a sub-bucket, about: what one task matches against as many.
+LIMIT = 500_000
+#: Rounds before what is open is decided chain by chain, and the longest chain that one task takes.
+ROUNDS, CHAIN = 3, 100_000
 
-_BLOCK = "bucket int, token binary, doc binary, size binary, sketch binary, at binary"
-_COLUMNS = [x.split()[0] for x in _BLOCK.split(", ")]
+_BLOCK = "bucket int, held int, token binary, doc binary, size binary, sketch binary, at binary"
+_PACKED = ["token", "doc", "size", "sketch", "at"]
+_SETS = "doc long, n int, shingles binary, page string"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that this task met at least twice, summed up whenever many have come together."""
+# ---- shingle sets of 48 bits
+
+
+def pack_set(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray((h >> V.U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
 
-    def out(parts):
-        u, n = np.unique(np.concatenate(parts), return_counts=True)
-        u, n = u[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([pa.array(V.signed(u)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+def unpack_sets(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all sets, each sorted, and their offsets."""
+    off = np.zeros(len(data) + 1, np.int64)
+    np.cumsum([len(x) // 6 for x in data], out=off[1:])
+    wide = np.zeros((off[-1], 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel(), off
 
-    parts, held = [], 0
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, page, doc, n, shingles) of (key, page, text): the set only where the task meets the class for the first time."""
+    seen: set[int] = set()
     for b in slices(batches, 1000):
-        h, _ = V.shingles(b.column(0).to_pylist())
-        parts.append(h)
-        held += len(h)
-        if held > 4_000_000:
-            yield out(parts)
-            parts, held = [], 0
-    if held:
-        yield out(parts)
+        h, off = V.shingles(b.column(2).to_pylist())
+        n = np.diff(off)
+        doc = V.signed(set_hash(h, off))
+        sets = []
+        for i, d in enumerate(doc.tolist()):
+            if n[i] and d not in seen:
+                seen.add(d)
+                sets.append(pack_set(h[off[i] : off[i + 1]]))
+            else:
+                sets.append(None)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(doc, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(sets, pa.binary())],
+            names=["key", "page", "doc", "n", "shingles"],
+        )
+
+
+# ---- the order of tokens
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (V.mix(h ^ V.P1) >> V.U(44)).astype(np.int64)
+
 
+PIECES = 64
 
-def _by_rarity(h: np.ndarray, off: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of a task, in PIECES."""
+    total = np.zeros(SLOTS, np.int64)
+    some = False
+    for b in slices(batches, 2000):
+        h, _ = unpack_sets([x for x in b.column(0).to_pylist() if x is not None])
+        total += np.bincount(_slot(h), minlength=SLOTS)
+        some = some or len(h) > 0
+    if some:
+        rows = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.reshape(PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([zlib.crc32(r) % 64 for r in rows], pa.int32()), pa.array(rows, pa.binary())], names=["piece", "spread", "counters"])
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in table.column("counters").to_pylist())
+    return pa.table({"piece": table.column("piece").slice(0, 1), "counters": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _by_rarity(h: np.ndarray, off: np.ndarray, counters: np.ndarray) -> np.ndarray:
     """The shingles of each text, rarest first."""
-    if len(known) and len(h):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        often = np.where(known[at] == h, count[at], 1)
-    else:
-        often = np.ones(len(h), np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    return h[np.lexsort((h, often, doc))]
+    return h[np.lexsort((h, counters[_slot(h)], doc))]
 
 
+# ---- postings
+
 BINS = 64
 _NIBBLE = V.U(0x1111111111111111)
 
@@ -107,85 +163,79 @@ def _unpack_tokens(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _post(table, buckets: int, threshold: float, describe: bool):
-    """Posting blocks of a task, or the description (id, doc, n) of its texts."""
-
-    def describing(batches):
-        for b in slices(batches, 1000):
-            h, off = V.shingles(b.column(1).to_pylist())
-            n = np.diff(off)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(V.signed(set_hash(h, off)), mask=n == 0), pa.array(n.astype(np.int32))],
-                names=["id", "doc", "n"],
-            )
+def _post(shared, buckets: int, threshold: float):
+    """Posting blocks of (doc, shingles)."""
 
     def flush(parts):
         token, doc = (np.concatenate([p[i] for p in parts]) for i in range(2))
         every, size, sketch = (np.concatenate([p[i] for p in parts]) for i in range(2, 5))
         order = np.argsort(every)
         every, size, sketch = every[order], size[order], sketch[order]
+        token = V.mix(token)
         bucket = (token >> V.U(32)) % V.U(buckets)
         low = token.astype(np.uint32)
         order = np.lexsort((low, bucket))
         bucket, low, doc = bucket[order], low[order], doc[order]
         ids, first = np.unique(bucket, return_index=True)
         for u, lo, hi in zip(ids, first, [*first[1:], len(bucket)]):
-            docs, at = np.unique(doc[lo:hi], return_inverse=True)
-            where = np.searchsorted(every, docs)
-            at = at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
-            yield int(u), _pack_tokens(low[lo:hi]), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.tobytes()
-
-    def posting(batches):
+            for i in range(lo, hi, LIMIT):
+                j = min(hi, i + LIMIT)
+                docs, at = np.unique(doc[i:j], return_inverse=True)
+                where = np.searchsorted(every, docs)
+                at = at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
+                yield int(u), int(j - i), _pack_tokens(low[i:j]), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.tobytes()
+
+    def run(batches):
         parts, held = [], 0
 
         def out():
-            rows = list(flush(parts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]],
-                names=_COLUMNS,
-            )
+            for r in flush(parts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int32()), *[pa.array([x], pa.binary()) for x in r[2:]]],
+                    names=[x.split()[0] for x in _BLOCK.split(", ")],
+                )
 
         for b in slices(batches, 1000):
-            h, off = V.shingles(b.column(1).to_pylist())
+            h, off = unpack_sets(b.column(1).to_pylist())
             n = np.diff(off)
             length = np.where(n > 0, n - np.ceil(threshold * n).astype(np.int64) + 1, 0)
             keep = np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(length, n)
-            name = set_hash(h, off)
-            token = _by_rarity(h, off, *table.value)[keep]
+            name = b.column(0).to_numpy().view(V.U)
+            token = _by_rarity(h, off, shared.value)[keep]
             if len(token):
-                some = n > 0
-                parts.append((token, np.repeat(name, n)[keep], name[some], n[some].astype(np.int32), sketches(h, off)[some]))
+                parts.append((token, np.repeat(name, n)[keep], name, n.astype(np.int32), sketches(h, off)))
                 held += len(token)
             if held > 2_000_000:
-                yield out()
+                yield from out()
                 parts, held = [], 0
         if parts:
-            yield out()
+            yield from out()
 
-    return describing if describe else posting
+    return run
 
 
 def _unpack(table: pa.Table):
-    """(tokens, document of each) and (documents, sizes, sketches) of the blocks of one bucket."""
-    token, at, doc, size, sketch, n = [], [], [], [], [], 0
-    for t, d, s, k, a in zip(*(table.column(c).to_pylist() for c in _COLUMNS[1:])):
+    """(tokens, document of each) and (documents, sizes, sketches, whether stored) of blocks."""
+    token, at, doc, size, sketch, old, n = [], [], [], [], [], [], 0
+    for t, d, s, k, a, o in zip(*(table.column(c).to_pylist() for c in [*_PACKED, "stored"])):
         token.append(_unpack_tokens(t))
         doc.append(np.frombuffer(d, V.U))
         size.append(np.frombuffer(s, np.int32))
         sketch.append(np.frombuffer(k, V.U).reshape(-1, 4))
         at.append(np.frombuffer(a, np.uint16 if len(a) == 2 * len(token[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
+        old.append(np.full(len(doc[-1]), o))
         n += len(doc[-1])
     if not token:
-        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32), np.empty((0, 4), V.U)
-    return tuple(np.concatenate(x) for x in (token, at, doc, size, sketch))
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32), np.empty((0, 4), V.U), np.empty(0, bool)
+    return tuple(np.concatenate(x) for x in (token, at, doc, size, sketch, old))
 
 
 def _match(threshold: float):
     least = _least_agreeing(threshold)
 
     def run(probe: pa.Table, index: pa.Table) -> pa.Table:
-        tx, ax, dx, nx, kx = _unpack(probe)
-        ty, ay, dy, ny, ky = _unpack(index)
+        tx, ax, dx, nx, kx, _ = _unpack(probe)
+        ty, ay, dy, ny, ky, oy = _unpack(index)
         order = np.argsort(ty, kind="stable")
         ty, ay = ty[order], ay[order]
         lo, hi = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
@@ -200,123 +250,219 @@ def _match(threshold: float):
             left = np.repeat(ax[h], c)
             right = ay[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[h], c)]
             m, n = nx[left], ny[right]
-            fit = np.minimum(m, n) >= threshold * np.maximum(m, n)
+            # Against what is stored, an equal text counts too; pending texts are paired once, lesser first.
+            fit = (np.minimum(m, n) >= threshold * np.maximum(m, n)) & (oy[right] | (dx[left] < dy[right]))
             left, right = left[fit], right[fit]
             x = kx[left] ^ ky[right]
             x |= x >> V.U(1)
             x |= x >> V.U(2)
-            fit = (np.bitwise_count(x & _NIBBLE).sum(1) <= BINS - least) & (dx[left] != dy[right])
-            found.append(np.unique(np.stack([dx[left[fit]], dy[right[fit]]], 1), axis=0))
+            fit = np.bitwise_count(x & _NIBBLE).sum(1) <= BINS - least
+            found.append(np.unique((left[fit].astype(V.U) << V.U(32)) | right[fit]))
             i = j
-        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), V.U)
-        return pa.table({"a": pa.array(V.signed(np.ascontiguousarray(both[:, 0]))), "b": pa.array(V.signed(np.ascontiguousarray(both[:, 1])))})
+        both = np.unique(np.concatenate(found)) if found else np.empty(0, V.U)
+        left, right = (both >> V.U(32)).astype(np.int64), (both & V.U(0xFFFFFFFF)).astype(np.int64)
+        return pa.table({"a": pa.array(V.signed(dx[left])), "b": pa.array(V.signed(dy[right])), "stored": pa.array(oy[right])})
+
+    return run
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            x, xo = unpack_sets(b.column(3).to_pylist())
+            y, yo = unpack_sets(b.column(4).to_pylist())
+            m, n = np.diff(xo), np.diff(yo)
+            # One sorted list of (pair, shingle): a shingle of both sets stands there twice.
+            pair = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)])
+            value = np.concatenate([x, y])
+            order = np.lexsort((value, pair))
+            pair, value = pair[order], value[order]
+            twice = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+            common = np.bincount(pair[1:][twice], minlength=len(m))
+            yield b.select([0, 1, 2]).filter(pa.array((common > 0) & (common >= threshold * (m + n - common))))
 
     return run
 
 
+def _chain(rows: pa.Table, near: pa.Table) -> pa.Table:
+    """Rows of one chain, decided in order: (node, repeats)."""
+    beside: dict[int, list[int]] = {}
+    for a, b in zip(near.column("x").to_pylist(), near.column("y").to_pylist()):
+        beside.setdefault(a, []).append(b)
+    docs, pages, out = set(), set(), []
+    node, doc, page = (rows.column(c).to_pylist() for c in ("id", "doc", "page"))
+    for i in np.argsort(np.array(rows.column("place").to_pylist(), np.int64), kind="stable"):
+        repeats = doc[i] in docs or page[i] in pages or any(d in docs for d in beside.get(doc[i], ()))
+        out.append((node[i], repeats))
+        if not repeats:
+            docs |= {doc[i]} - {None}
+            pages |= {page[i]} - {None}
+    return pa.table({"id": pa.array([x for x, _ in out], pa.string()), "verdict": pa.array([x for _, x in out], pa.bool_())})
+
+
 class IncrementalIndex:
     """The index of what is accepted, in ``path``; ``threshold`` is the similarity that makes a repeat."""
 
     def __init__(self, spark: SparkSession, path: str, threshold: float, buckets: int):
         self.spark, self.path, self.threshold, self.buckets = spark, path, threshold, buckets
-        table = spark.read.parquet(f"{path}/heavy").toPandas()  # at most HEAVY rows
-        known = table["shingle"].to_numpy().astype(np.int64).view(V.U)
-        order = np.argsort(known)
-        self.table = spark.sparkContext.broadcast((known[order], table["n"].to_numpy()[order]))
+        counters = np.zeros((PIECES, SLOTS // PIECES), np.int64)
+        for r in self.read("order", "piece int, counters binary").collect():  # SLOTS counters
+            counters[r[0]] = np.frombuffer(zlib.decompress(r[1]), "<i8")
+        self.order = spark.sparkContext.broadcast(np.minimum(counters.ravel(), 2**31 - 1).astype(np.int32))
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def hit(self, name: str, schema: str, key: str, keys: DataFrame) -> DataFrame:
+        """The partitions of a table whose number is among ``keys``; the others are not read."""
+        wanted = sorted(r[0] for r in keys.distinct().collect())  # at most as many as there are partitions
+        return self.read(name, f"{schema}, {key} int").where(F.col(key).isin(wanted) if wanted else F.lit(False))
 
     @classmethod
     def build(cls, history: DataFrame, path: str | None = None, id: str = "id", url: str = "url", text: str = "body", threshold: float = 0.5):
         """A new index over ``history``, the accepted documents."""
         spark = history.sparkSession
         path = path or shared_path(spark, "index")
-        body = history.select(history[text].alias("text")).where("text is not null")
-        counts = body.mapInArrow(_count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        counts.orderBy(F.desc("n"), "shingle").limit(HEAVY).write.parquet(f"{path}/heavy")
-        buckets = max(8, history.count() // DOCS_PER_BUCKET)
+        buckets = max(4, history.count() // DOCS_PER_BUCKET)
+        rows = history.select(F.lit(0).alias("key"), canonical_url(history[url]).alias("page"), history[text].alias("text"))
+        cut = rows.mapInArrow(_cut, "key int, page string, doc long, n int, shingles binary")
+        cls._store_sets(cut, path, buckets)
+        sets = spark.read.schema(f"{_SETS}, shard int").parquet(f"{path}/sets")
+        each = sets.select("shingles").where("shingles is not null").mapInArrow(_count, "piece int, spread int, counters binary")
+        for keys in (["piece", "spread"], ["piece"]):  # in two steps, so that no task sums those of all tasks
+            each = each.groupBy(*keys).applyInArrow(_sum, "piece int, counters binary")
+            if len(keys) == 2:
+                each = each.withColumn("spread", F.lit(0))
+        each.coalesce(1).write.parquet(f"{path}/order")
         index = cls(spark, path, threshold, buckets)
-        index.append(history.select(history[id].cast("string").alias("id"), history[url].alias("url"), history[text].alias("text")))
+        index._store_rest(sets)
         return index
 
-    def described(self, rows: DataFrame) -> DataFrame:
-        """(id, doc, n) of rows (id, text)."""
-        fn = _post(self.table, self.buckets, self.threshold, True)
-        return rows.select("id", "text").mapInArrow(fn, "id string, doc long, n int")
-
-    def blocks(self, rows: DataFrame) -> DataFrame:
-        fn = _post(self.table, self.buckets, self.threshold, False)
-        return rows.select("id", "text").mapInArrow(fn, _BLOCK)
-
-    def append(self, rows: DataFrame) -> None:
-        """Accepted rows (id, url, text): their postings, pages and classes."""
-        docs = self.described(rows).join(rows.select(F.col("id").alias("rid"), canonical_url(F.col("url")).alias("page")), F.col("id") == F.col("rid"), "left")
-        docs.select("id", "doc", "page").write.mode("append").parquet(f"{self.path}/docs")
-        self.blocks(rows).write.mode("append").parquet(f"{self.path}/postings")
-
-    def candidates(self, probe: DataFrame, index: DataFrame) -> DataFrame:
-        """(a, b): classes of the probe blocks and of the index blocks that share a prefix token and fit in length."""
-        pairs = probe.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_match(self.threshold), "a long, b long")
-        return pairs.distinct()
-
-    def ingest(self, rows: DataFrame, history: DataFrame, order: list[str], id: str = "id", url: str = "url", text: str = "body") -> DataFrame:
-        """(order..., id, repeats) for every pending row; what is new is appended to the index.
-
-        ``history`` gives the texts of indexed documents by id; it is read for candidates only.
-        """
+    @staticmethod
+    def _store_sets(cut: DataFrame, path: str, buckets: int) -> None:
+        kept = cut.where("shingles is not null or page is not null").select(*[x.split()[0] for x in _SETS.split(", ")])
+        shard = F.pmod(F.coalesce("doc", F.xxhash64("page")), F.lit(buckets)).cast("int")
+        kept.withColumn("shard", shard).repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{path}/sets")
+
+    def _store_rest(self, sets: DataFrame) -> None:
+        """Postings and pages of stored sets."""
+        self.blocks(sets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        pages = sets.where("page is not null").select("page").distinct().withColumn("part", self._part(F.col("page")))
+        pages.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/pages")
+
+    def _part(self, page):
+        return F.pmod(F.xxhash64(page), F.lit(self.buckets)).cast("int")
+
+    def blocks(self, sets: DataFrame) -> DataFrame:
+        """Posting blocks of rows with doc and shingles."""
+        return sets.where("shingles is not null").select("doc", "shingles").mapInArrow(_post(self.order, self.buckets, self.threshold), _BLOCK)
+
+    def candidates(self, probe: DataFrame) -> DataFrame:
+        """(a, b, stored): classes of the probe blocks and of stored or other probe blocks that share a prefix token and fit."""
+        stored = self.hit("postings", _BLOCK.replace("bucket int, ", ""), "bucket", probe.select("bucket"))
+        every = stored.withColumn("stored", F.lit(True)).unionByName(probe.withColumn("stored", F.lit(False)))
+        n = lambda c: F.ceil(F.sum("held") / LIMIT).cast("int").alias(c)
+        grid = probe.groupBy("bucket").agg(n("np")).join(every.groupBy("bucket").agg(n("ni")), "bucket")
+        deal = lambda c: F.pmod(F.xxhash64("token"), F.col(c)).cast("int")
+        to_all = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = probe.withColumn("stored", F.lit(False)).join(grid, "bucket").withColumn("p", deal("np")).withColumn("i", to_all("ni"))
+        right = every.join(grid, "bucket").withColumn("i", deal("ni")).withColumn("p", to_all("np"))
+        keys = ["bucket", "p", "i"]
+        left, right = (x.select(*keys, *_PACKED, "stored").groupBy(*keys) for x in (left, right))
+        return left.cogroup(right).applyInArrow(_match(self.threshold), "a long, b long, stored boolean").distinct()
+
+    def near(self, classes: DataFrame) -> DataFrame:
+        """(a, b, stored): verified links of pending classes (doc, shingles) to stored or other pending classes."""
+        probe = checkpointed(self.blocks(classes))
+        pairs = checkpointed(self.candidates(probe))
+        ends = pairs.where("stored").select(F.col("b").alias("doc")).distinct()
+        known = self.hit("sets", _SETS, "shard", ends.select(F.pmod("doc", F.lit(self.buckets)).cast("int")))
+        n = pairs.count()
+        small = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
+        old = known.where("shingles is not null").join(small(ends), "doc", "left_semi").groupBy("doc").agg(F.first("shingles").alias("shingles"))
+        mine = pairs.select(F.col("a").alias("doc")).union(pairs.where("not stored").select("b")).distinct()
+        new = classes.select("doc", "shingles").join(small(mine), "doc", "left_semi")
+        other = old.withColumn("stored", F.lit(True)).unionByName(new.withColumn("stored", F.lit(False)))
+        both = pairs.join(new.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = both.join(other.select(F.col("doc").alias("b"), "stored", F.col("shingles").alias("sb")), ["b", "stored"])
+        return both.select("a", "b", "stored", "sa", "sb").mapInArrow(_verify(self.threshold), "a long, b long, stored boolean")
+
+    def ingest(self, rows: DataFrame, order: list[str], id: str = "id", url: str = "url", text: str = "body") -> DataFrame:
+        """(order..., id, repeats) for every pending row; what is new is appended to the index."""
         seq = F.struct(*[rows[c].alias(f"o{i}") for i, c in enumerate(order)], rows[id].cast("string").alias("rid"))
-        work = rows.select(seq.alias("seq"), F.xxhash64(seq).cast("string").alias("id"), rows[text].alias("text"), canonical_url(rows[url]).alias("page"), rows[url].alias("url"))
-        told = self.described(work).withColumnRenamed("id", "did").drop("n")
-        facts = checkpointed(work.select("seq", "id", "page").join(told, F.col("id") == F.col("did")).drop("did"))
-
+        work = rows.select(seq.alias("seq"), canonical_url(rows[url]).alias("page"), rows[text].alias("text"))
+        kind = work.schema["seq"].dataType.simpleString()
+        cut = checkpointed(work.select(F.col("seq").alias("key"), "page", "text").mapInArrow(_cut, f"key {kind}, page string, doc long, n int, shingles binary"))
+        facts = cut.select(F.col("key").alias("seq"), F.xxhash64("key").cast("string").alias("id"), "doc", "page")
         # One text per class takes part; the rows of a class share its links.
-        first = facts.where("doc is not null").groupBy("doc").agg(F.min("id").alias("id"))
-        old = self.spark.read.parquet(f"{self.path}/docs")
-        probe = self.blocks(work)
-        stored = self.spark.read.parquet(f"{self.path}/postings")
-        pairs = checkpointed(self.candidates(probe, stored.unionByName(probe)))
-        n = 2 * pairs.count()
-        ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        ends = F.broadcast(ends) if n <= BROADCAST_ROWS else ends
-        known = old.where("doc is not null").join(ends, "doc", "left_semi").groupBy("doc").agg(F.min("id").alias("id"))
-        wanted_old = F.broadcast(known) if n <= BROADCAST_ROWS else known
-        mine = first.join(ends, "doc", "left_semi")
-        wanted_new = F.broadcast(mine) if n <= BROADCAST_ROWS else mine
-        texts = (
-            history.select(history[id].cast("string").alias("id"), history[text].alias("text")).join(wanted_old, "id").select("doc", "text")
-            .unionByName(work.select("id", "text").join(wanted_new, "id").select("doc", "text"))
-        ).groupBy("doc").agg(F.first("text").alias("text"))
-        near = checkpointed(verified(pairs, texts, self.threshold).select("a", "b"))
-
-        past = old.where("doc is not null").select("doc").distinct()
-        hits = near.join(past.withColumnRenamed("doc", "b"), "b", "left_semi").select(F.col("a").alias("doc"))
-        hits = hits.union(facts.where("doc is not null").select("doc").join(past, "doc", "left_semi")).distinct().select("doc", F.lit(True).alias("old_doc"))
-        pages = old.where("page is not null").select("page").distinct().select("page", F.lit(True).alias("old_page"))
-        state = facts.join(hits, "doc", "left").join(pages, "page", "left")
+        classes = cut.where("shingles is not null").groupBy("doc").agg(F.first("shingles").alias("shingles"))
+        near = checkpointed(self.near(classes))
+
+        hits = near.where("stored").select(F.col("a").alias("doc")).distinct().select("doc", F.lit(True).alias("old_doc"))
+        asked = facts.where("page is not null").select("page").distinct()
+        taken = self.hit("pages", "page string", "part", asked.select(self._part(F.col("page"))))
+        taken = taken.select("page").join(asked, "page", "left_semi").distinct().select("page", F.lit(True).alias("old_page"))
+        state = facts.join(hits, "doc", "left").join(taken, "page", "left")
         rejected = F.col("old_doc").isNotNull() | F.col("old_page").isNotNull()
-        state = checkpointed(state.select("seq", "id", "doc", "page", F.when(rejected, F.lit(True)).alias("repeats")))
-        decided = self._decide(state, near.join(facts.select(F.col("doc").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        new = work.join(decided.where("not repeats").select("id"), "id", "left_semi")
-        self.append(new.select(F.col("seq")["rid"].alias("id"), "url", "text"))
+        state = state.select("seq", "id", "doc", "page", F.when(rejected, F.lit(True)).alias("repeats"))
+        decided = self._decide(state, near.where("not stored").select("a", "b"))
+        self._append(classes, decided)
         return decided.select(*[F.col("seq")[f"o{i}"].alias(c) for i, c in enumerate(order)], F.col("seq")["rid"].alias(id), "repeats")
 
+    def _append(self, classes: DataFrame, decided: DataFrame) -> None:
+        """What is accepted: its sets, postings and pages. A class is accepted once, since its later rows repeat it."""
+        fresh = decided.where("not repeats").select("doc", "page")
+        with_set = fresh.join(classes, "doc", "left").select("doc", F.lit(0).alias("n"), "shingles", "page")
+        with_set = checkpointed(with_set.withColumn("n", F.coalesce((F.length("shingles") / 6).cast("int"), F.lit(0))))
+        self._store_sets(with_set, self.path, self.buckets)
+        self._store_rest(with_set)
+
     @staticmethod
     def _decide(state: DataFrame, near: DataFrame) -> DataFrame:
-        """Rounds: a row with an accepted relative before it repeats, one with no open relative before it is new."""
-        near = checkpointed(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        """Rounds: a row with an accepted relative before it repeats, one with no open relative before it is new.
+        What is open after ROUNDS of them is decided in order, each connected chain in one task, unless one is over CHAIN
+        rows: then more rounds shorten it first."""
+        near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = 0
         while True:
-            acc, unk = F.col("repeats") == False, F.col("repeats").isNull()  # noqa: E712
+            for _ in range(ROUNDS):
+                state = checkpointed(IncrementalIndex._round(state, near))
+                done += 1
+                if state.where("repeats is null").isEmpty():
+                    return state
+            state = checkpointed(IncrementalIndex._round(state, near, False))  # none left open has an accepted relative before it
+            left = state.where("repeats is null")
+            page = F.xxhash64(F.lit("page"), "page")
+            open_docs = left.where("doc is not null").select("doc").distinct()
+            links = near.join(open_docs.select(F.col("doc").alias("a")), "a", "left_semi").join(open_docs.select(F.col("doc").alias("b")), "b", "left_semi")
+            node = F.xxhash64(F.lit("row"), "id")
+            edges = left.where("doc is not null").select(node.alias("a"), F.col("doc").alias("b"))
+            edges = edges.union(left.where("page is not null").select(node, page)).union(links.select("a", "b"))
+            parts = checkpointed(connected_components(edges))
+            rows = left.withColumn("node", node).join(parts, "node").withColumn("size", F.lit(1))
+            most = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            if most is None or most > CHAIN:
+                continue
+            w_links = links.select(F.col("a").alias("x"), F.col("b").alias("y")).join(parts.select(F.col("node").alias("x"), F.col("component").alias("chain")), "x").select("chain", "x", "y")
+            place = F.row_number().over(Window.partitionBy("component").orderBy("seq"))  # at most CHAIN rows
+            rows = rows.withColumn("place", place).select("component", "id", "doc", "page", "place")
+            verdict = rows.groupBy("component").cogroup(w_links.groupBy("chain")).applyInArrow(_chain, "id string, verdict boolean")
+            return checkpointed(state.join(verdict, "id", "left").select("seq", "id", "doc", "page", F.coalesce("repeats", "verdict").alias("repeats")))
 
-            def least(key: str, prefix: str) -> DataFrame:
-                return state.where(F.col(key).isNotNull()).groupBy(key).agg(
-                    F.min(F.when(acc, F.col("seq"))).alias(f"{prefix}_acc"), F.min(F.when(unk, F.col("seq"))).alias(f"{prefix}_unk")
-                )
+    @staticmethod
+    def _round(state: DataFrame, near: DataFrame, accept: bool = True) -> DataFrame:
+        acc, unk = F.col("repeats") == False, F.col("repeats").isNull()  # noqa: E712
+
+        def least(key: str, prefix: str) -> DataFrame:
+            return state.where(F.col(key).isNotNull()).groupBy(key).agg(
+                F.min(F.when(acc, F.col("seq"))).alias(f"{prefix}_acc"), F.min(F.when(unk, F.col("seq"))).alias(f"{prefix}_unk")
+            )
 
-            docs = least("doc", "d")
-            via = near.join(docs.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("d_acc").alias("n_acc"), F.min("d_unk").alias("n_unk"))
-            seen = state.where(unk).join(docs, "doc", "left").join(least("page", "p"), "page", "left").join(via, "doc", "left")
-            before = lambda x: F.coalesce(F.col(x) < F.col("seq"), F.lit(False))
-            repeats = before("d_acc") | before("p_acc") | before("n_acc")
-            open_ = before("d_unk") | before("p_unk") | before("n_unk")
-            now = seen.select("seq", "id", "doc", "page", F.when(repeats, F.lit(True)).when(~open_, F.lit(False)).alias("repeats"))
-            state = checkpointed(state.where(~unk).unionByName(now))
-            if state.where("repeats is null").isEmpty():
-                return state
+        docs = least("doc", "d")
+        via = near.join(docs.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("d_acc").alias("n_acc"), F.min("d_unk").alias("n_unk"))
+        seen = state.where(unk).join(docs, "doc", "left").join(least("page", "p"), "page", "left").join(via, "doc", "left")
+        before = lambda x: F.coalesce(F.col(x) < F.col("seq"), F.lit(False))
+        repeats = before("d_acc") | before("p_acc") | before("n_acc")
+        open_ = before("d_unk") | before("p_unk") | before("n_unk")
+        now = seen.select("seq", "id", "doc", "page", F.when(repeats, F.lit(True)).when(~open_ & F.lit(accept), F.lit(False)).alias("repeats"))
+        return state.where(~unk).unionByName(now)

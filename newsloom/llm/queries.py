@@ -48,7 +48,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     history = load(spark, folder, "cleaned_articles", "id", "url", "body")
     index = IncrementalIndex.build(history)
     rows = load(spark, folder, "incoming_articles", "batch_no", "arrival_no", "id", "url", "body")
-    decided = index.ingest(rows, history, ["batch_no", "arrival_no"])
+    decided = index.ingest(rows, ["batch_no", "arrival_no"])
     return decided.where("repeats").select("batch_no", "id").distinct()
 
 
