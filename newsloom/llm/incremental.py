@@ -1,31 +1,34 @@
 """New batches against all accepted history, by an incremental inverted index of rare-token prefixes.
 
-Tokens are five-word shingles. Two texts with similarity t or more share a token among the first
-n - ceil(t n) + 1 of each, whatever the order of the tokens, as long as it is one order; the rarest come
+Tokens are five-word shingles; of a text with more than SAMPLE of them, those whose hash is below SAMPLE / n. Two
+texts with similarity t or more have at least some number of tokens in common (of whole sets t (n + m) / (1 + t); of
+sampled ones 4.5 standard deviations below what is expected of the least favourable partner), so they share one among all but so many of each
+one's tokens, whatever the order of the tokens, as long as it is one order; the rarest come
 first, so that those prefixes hardly ever meet by chance. The order is fitted when the index is built, by
 counting every shingle of every text in a table of SLOTS counters (a shingle is as frequent as its slot),
 and then frozen, so that old and new postings stay in one order.
 
-The index is a folder below the shared one. Every text is cut into shingles once, when it comes; what is
-stored is enough for all that follows, so that no text is read again:
+The index is a folder below the shared one. Every text is cut into shingles once, when it comes, and never read
+again:
 
-* ``sets``, partitioned by ``shard`` (of the text's class): the shingle set of each class of equal texts, and its page;
-* ``postings``, partitioned by ``bucket`` (of the token): blocks of packed postings, only ever appended;
-* ``pages``, partitioned by ``part``: the addresses that are taken;
+* ``sets``, partitioned by ``part``: the shingle set of each class of equal texts, as the tasks that cut them write them;
+* ``postings``, partitioned by ``bucket`` (of the token): blocks of packed postings, only ever appended; they name
+  the part of each document;
+* ``pages``, partitioned by ``slice``: the addresses that are taken;
 * ``order``: the counters.
 
-A probe reads only the buckets of its own prefix tokens, the shards of its candidates and the parts of its
-addresses. The numbers of buckets, shards and parts grow with the history that the index is built over, so a batch reads at most
-as many of them as it has tokens, candidates and addresses, each of a bounded size, however long the history is.
-Within a bucket, blocks are dealt to sub-buckets of at most LIMIT postings, old against new, so that a hot token
-is spread over tasks and no task holds more than two sub-buckets. Pairs are filtered by length and by a 32-byte sketch
-of their shingles (4.5 standard deviations below t) and then verified on the whole sets.
+A probe reads only the buckets of its own prefix tokens, the parts of its candidates and the slices of its
+addresses. Buckets and slices grow in number with the history that the index is built over, and parts have a bounded size, so a
+batch reads at most as many of them as it has tokens, candidates and addresses, however long the history is.
+Within a bucket, blocks are dealt to sub-buckets of about LIMIT postings, each against each, so that a hot token
+is spread over tasks and no task holds more than two sub-buckets. Pairs are filtered by length and by a 24-byte sketch
+of their shingles (4.5 standard deviations below t) and then verified on the whole sets, of 36-bit hashes.
 
 ``ingest`` takes any set of pending rows, one batch or many, and decides them in order: a row repeats if
 something accepted before it, in the history or among earlier rows not themselves repeats, has a similar
 text or an address that leads to the same page. Rows with equal shingle sets, and rows with the same
 page, form classes that are aggregated, never paired. A few rounds decide whatever has no open relative before it; what
-is left, chains of edits, is decided along each chain.
+is left, chains of edits, is decided along each chain. The sets of rows that turn out to repeat stay behind, unused.
 
 Cases: null, blank and short texts (under five words) match no text, not even an equal one; null and blank
 addresses match none; a row that comes twice repeats itself; ties in the order are broken by id; an
@@ -34,11 +37,13 @@ empty history or batch gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,52 +55,78 @@ from newsloom.session import checkpointed, shared_path
 
 #: Counters of the frozen order: a bound on what is sent to every executor (4 bytes each).
 SLOTS = 1 << 20
-#: Documents per bucket, shard and part, about.
-DOCS_PER_BUCKET = 2_500
+#: Tokens that are sampled of a longer text, about.
+SAMPLE = 64
+#: Documents per bucket, part and slice, about.
+DOCS_PER_BUCKET = 20_000
 #: Postings of a sub-bucket, about: what one task matches against as many.
 LIMIT = 500_000
+#: So many partitions are named to the reader; beyond, their numbers are joined.
+NAMED = 10_000
 #: Rounds before what is open is decided chain by chain, and the longest chain that one task takes.
 ROUNDS, CHAIN = 3, 100_000
 
-_BLOCK = "bucket int, held int, token binary, doc binary, size binary, sketch binary, at binary"
-_PACKED = ["token", "doc", "size", "sketch", "at"]
-_SETS = "doc long, n int, shingles binary, page string"
+_BLOCK = "bucket int, held int, token binary, doc binary, part binary, size binary, sketch binary, at binary"
+_PACKED = ["token", "doc", "part", "size", "sketch", "at"]
+_SETS = "key {}, page string, doc long, n int, shingles binary"
 
 
-# ---- shingle sets of 48 bits
+# ---- shingle sets of 36 bits, as differences of 32
 
+_FULL = np.uint32(0xFFFFFFFF)
 
-def pack_set(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray((h >> V.U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+def pack_sets(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Each sorted set as 4-byte differences; a longer one is told by full steps before it."""
+    v = h >> V.U(28)
+    step = np.diff(v, prepend=V.U(0))
+    first = off[:-1][np.diff(off) > 0]
+    step[first] = v[first]
+    full = (step // V.U(_FULL)).astype(np.int64)
+    n = np.diff(off)
+    at = np.concatenate([[0], np.cumsum(full + 1)])
+    out = np.full(at[-1], _FULL, "<u4")
+    out[at[1:] - 1] = (step % V.U(_FULL)).astype(np.uint32)
+    data, bounds = out.tobytes(), at[off] * 4
+    return [data[i:j] for i, j in zip(bounds[:-1], bounds[1:])] if len(n) else []
 
 
 def unpack_sets(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of all sets, each sorted, and their offsets."""
-    off = np.zeros(len(data) + 1, np.int64)
-    np.cumsum([len(x) // 6 for x in data], out=off[1:])
-    wide = np.zeros((off[-1], 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel(), off
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, page, doc, n, shingles) of (key, page, text): the set only where the task meets the class for the first time."""
-    seen: set[int] = set()
-    for b in slices(batches, 1000):
-        h, off = V.shingles(b.column(2).to_pylist())
-        n = np.diff(off)
-        doc = V.signed(set_hash(h, off))
-        sets = []
-        for i, d in enumerate(doc.tolist()):
-            if n[i] and d not in seen:
-                seen.add(d)
-                sets.append(pack_set(h[off[i] : off[i + 1]]))
-            else:
-                sets.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(doc, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(sets, pa.binary())],
-            names=["key", "page", "doc", "n", "shingles"],
-        )
+    held = np.zeros(len(data) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in data], out=held[1:])
+    raw = np.frombuffer(b"".join(data), "<u4")
+    total = np.concatenate([[V.U(0)], np.cumsum(raw.astype(V.U))])
+    value = total[1:] - np.repeat(total[held[:-1]], np.diff(held))
+    real = raw != _FULL
+    return value[real], np.concatenate([[0], np.cumsum(real)])[held]
+
+
+def _cut(stamp: int, per_part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, page, doc, n, shingles, part) of (key, page, text): the set only where the task meets the class for the first time."""
+        task = TaskContext.get()
+        seen: dict[int, int] = {}
+        base, rows = (stamp << 32) + ((task.partitionId() if task else 0) << 12), 0
+        for b in slices(batches, 1000):
+            h, off = V.shingles(b.column(2).to_pylist())
+            n = np.diff(off)
+            doc = V.signed(set_hash(h, off))
+            part, sets = base + rows // per_part, pack_sets(h, off)
+            rows += b.num_rows
+            parts = []
+            for i, d in enumerate(doc.tolist()):
+                if not n[i] or d in seen:
+                    sets[i] = None
+                else:
+                    seen[d] = part
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(doc, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(sets, pa.binary()), pa.array(parts, pa.int64())],
+                names=["key", "page", "doc", "n", "shingles", "part"],
+            )
+
+    return run
 
 
 # ---- the order of tokens
@@ -134,22 +165,44 @@ def _by_rarity(h: np.ndarray, off: np.ndarray, counters: np.ndarray) -> np.ndarr
 
 # ---- postings
 
-BINS = 64
-_NIBBLE = V.U(0x1111111111111111)
+BINS, SKETCH = 64, 24
+_LOW = V.U(0o1111111111111111111111)  # every third bit
 
 
 def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, 4) words: the least hash in each of 64 bins, cut to a nibble that is 0 only for empty bins."""
+    """(texts, 3) words with three bits of the least hash in each of 64 bins, 21 or 22 bins in a word; 0 for empty bins."""
     n = len(off) - 1
     x = V.mix(h ^ V.P1)
     least = np.full(n * BINS, ~V.U(0))
     np.minimum.at(least, np.repeat(np.arange(n), np.diff(off)) * BINS + (x >> V.U(58)).astype(np.int64), x << V.U(6))
-    nibble = np.where(least == ~V.U(0), V.U(0), V.mix(least) % V.U(15) + V.U(1)).reshape(n, 4, 16)
-    return (nibble << (V.U(4) * np.arange(16, dtype=V.U))).sum(2, dtype=V.U)
+    bits = np.where(least == ~V.U(0), V.U(0), V.mix(least) & V.U(7)).reshape(n, BINS)
+    out = np.zeros((n, 3), V.U)
+    for i in range(BINS):
+        out[:, i % 3] |= bits[:, i] << V.U(3 * (i // 3)) if i < 63 else V.U(0)
+    return out
 
 
 def _least_agreeing(threshold: float) -> int:
-    return int(BINS * (threshold + (1 - threshold) / 15) - 4.5 * np.sqrt(BINS * threshold * (1 - threshold)))
+    bins = 63
+    return int(bins * (threshold + (1 - threshold) / 8) - 4.5 * np.sqrt(bins * threshold * (1 - threshold)))
+
+
+def prefix_lengths(n: np.ndarray, sampled: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of a text's sampled tokens, in the frozen order, must be looked up."""
+    least = np.full(len(n), np.inf)
+    for m in (np.ceil(threshold * n), n, np.floor(n / threshold)):
+        rate = np.minimum(1.0, SAMPLE / np.maximum(np.maximum(n, m), 1))
+        common = np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9) * rate
+        least = np.minimum(least, common - 4.5 * np.sqrt(common * (1 - rate)))
+    return np.where(sampled > 0, sampled - np.maximum(1, np.floor(least + 1e-9)).astype(np.int64) + 1, 0).clip(0)
+
+
+def tokens(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled shingles of each text, and their offsets."""
+    n = np.diff(off)
+    rate = np.minimum(1.0, SAMPLE / np.maximum(n, 1))
+    keep = (V.mix(h ^ V.P2) >> V.U(11)).astype(np.float64) / 2**53 < np.repeat(rate, n)
+    return h[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
 def _pack_tokens(low: np.ndarray) -> bytes:
@@ -164,13 +217,11 @@ def _unpack_tokens(data: bytes) -> np.ndarray:
 
 
 def _post(shared, buckets: int, threshold: float):
-    """Posting blocks of (doc, shingles)."""
+    """Posting blocks of (doc, shingles, part)."""
 
     def flush(parts):
         token, doc = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        every, size, sketch = (np.concatenate([p[i] for p in parts]) for i in range(2, 5))
-        order = np.argsort(every)
-        every, size, sketch = every[order], size[order], sketch[order]
+        names, where, size, sketch = (np.concatenate([p[i] for p in parts]) for i in range(2, 6))
         token = V.mix(token)
         bucket = (token >> V.U(32)) % V.U(buckets)
         low = token.astype(np.uint32)
@@ -181,12 +232,12 @@ def _post(shared, buckets: int, threshold: float):
             for i in range(lo, hi, LIMIT):
                 j = min(hi, i + LIMIT)
                 docs, at = np.unique(doc[i:j], return_inverse=True)
-                where = np.searchsorted(every, docs)
                 at = at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
-                yield int(u), int(j - i), _pack_tokens(low[i:j]), docs.tobytes(), size[where].tobytes(), sketch[where].tobytes(), at.tobytes()
+                held = zlib.compress(where[docs].tobytes(), 1)
+                yield int(u), int(j - i), _pack_tokens(low[i:j]), names[docs].tobytes(), held, size[docs].tobytes(), sketch[docs].tobytes(), at.tobytes()
 
     def run(batches):
-        parts, held = [], 0
+        parts, held, docs = [], 0, 0
 
         def out():
             for r in flush(parts):
@@ -196,46 +247,47 @@ def _post(shared, buckets: int, threshold: float):
                 )
 
         for b in slices(batches, 1000):
+            if not b.num_rows:
+                continue
             h, off = unpack_sets(b.column(1).to_pylist())
             n = np.diff(off)
-            length = np.where(n > 0, n - np.ceil(threshold * n).astype(np.int64) + 1, 0)
-            keep = np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(length, n)
-            name = b.column(0).to_numpy().view(V.U)
-            token = _by_rarity(h, off, shared.value)[keep]
-            if len(token):
-                parts.append((token, np.repeat(name, n)[keep], name, n.astype(np.int32), sketches(h, off)))
-                held += len(token)
+            t, toff = tokens(h, off)
+            count = np.diff(toff)
+            t = _by_rarity(t, toff, shared.value)
+            keep = np.arange(len(t)) - np.repeat(toff[:-1], count) < np.repeat(prefix_lengths(n, count, threshold), count)
+            parts.append((t[keep], (np.repeat(np.arange(len(n)), count) + docs)[keep], b.column(0).to_numpy().view(V.U), b.column(2).to_numpy(), n.astype(np.int32), sketches(h, off)))
+            docs += len(n)
+            held += int(keep.sum())
             if held > 2_000_000:
                 yield from out()
-                parts, held = [], 0
-        if parts:
+                parts, held, docs = [], 0, 0
+        if held:
             yield from out()
 
     return run
 
 
 def _unpack(table: pa.Table):
-    """(tokens, document of each) and (documents, sizes, sketches, whether stored) of blocks."""
-    token, at, doc, size, sketch, old, n = [], [], [], [], [], [], 0
-    for t, d, s, k, a, o in zip(*(table.column(c).to_pylist() for c in [*_PACKED, "stored"])):
-        token.append(_unpack_tokens(t))
-        doc.append(np.frombuffer(d, V.U))
-        size.append(np.frombuffer(s, np.int32))
-        sketch.append(np.frombuffer(k, V.U).reshape(-1, 4))
-        at.append(np.frombuffer(a, np.uint16 if len(a) == 2 * len(token[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
-        old.append(np.full(len(doc[-1]), o))
-        n += len(doc[-1])
-    if not token:
-        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int32), np.empty((0, 4), V.U), np.empty(0, bool)
-    return tuple(np.concatenate(x) for x in (token, at, doc, size, sketch, old))
+    """(tokens, document of each) and (documents, parts, sizes, sketches, whether stored) of blocks."""
+    columns, n = [[] for _ in range(7)], 0
+    for t, d, p, s, k, a, o in zip(*(table.column(c).to_pylist() for c in [*_PACKED, "stored"])):
+        low, docs = _unpack_tokens(t), np.frombuffer(d, V.U)
+        at = np.frombuffer(a, np.uint16 if len(a) == 2 * len(low) else np.uint32).astype(np.uint32) + np.uint32(n)
+        each = low, at, docs, np.frombuffer(zlib.decompress(p), np.int64), np.frombuffer(s, np.int32), np.frombuffer(k, V.U).reshape(-1, 3), np.full(len(docs), o)
+        for c, x in zip(columns, each):
+            c.append(x)
+        n += len(docs)
+    if not n:
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, 3), V.U), np.empty(0, bool)
+    return tuple(np.concatenate(c) for c in columns)
 
 
 def _match(threshold: float):
     least = _least_agreeing(threshold)
 
     def run(probe: pa.Table, index: pa.Table) -> pa.Table:
-        tx, ax, dx, nx, kx, _ = _unpack(probe)
-        ty, ay, dy, ny, ky, oy = _unpack(index)
+        tx, ax, dx, px, nx, kx, _ = _unpack(probe)
+        ty, ay, dy, py, ny, ky, oy = _unpack(index)
         order = np.argsort(ty, kind="stable")
         ty, ay = ty[order], ay[order]
         lo, hi = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
@@ -254,14 +306,13 @@ def _match(threshold: float):
             fit = (np.minimum(m, n) >= threshold * np.maximum(m, n)) & (oy[right] | (dx[left] < dy[right]))
             left, right = left[fit], right[fit]
             x = kx[left] ^ ky[right]
-            x |= x >> V.U(1)
-            x |= x >> V.U(2)
-            fit = np.bitwise_count(x & _NIBBLE).sum(1) <= BINS - least
+            x |= (x >> V.U(1)) | (x >> V.U(2))
+            fit = np.bitwise_count(x & _LOW).sum(1) <= BINS - 1 - least
             found.append(np.unique((left[fit].astype(V.U) << V.U(32)) | right[fit]))
             i = j
         both = np.unique(np.concatenate(found)) if found else np.empty(0, V.U)
         left, right = (both >> V.U(32)).astype(np.int64), (both & V.U(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"a": pa.array(V.signed(dx[left])), "b": pa.array(V.signed(dy[right])), "stored": pa.array(oy[right])})
+        return pa.table({"a": pa.array(V.signed(dx[left])), "b": pa.array(V.signed(dy[right])), "pa": pa.array(px[left]), "pb": pa.array(py[right]), "stored": pa.array(oy[right])})
 
     return run
 
@@ -303,8 +354,8 @@ def _chain(rows: pa.Table, near: pa.Table) -> pa.Table:
 class IncrementalIndex:
     """The index of what is accepted, in ``path``; ``threshold`` is the similarity that makes a repeat."""
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float, buckets: int):
-        self.spark, self.path, self.threshold, self.buckets = spark, path, threshold, buckets
+    def __init__(self, spark: SparkSession, path: str, threshold: float, buckets: int, per_part: int = DOCS_PER_BUCKET):
+        self.spark, self.path, self.threshold, self.buckets, self.per_part = spark, path, threshold, buckets, per_part
         counters = np.zeros((PIECES, SLOTS // PIECES), np.int64)
         for r in self.read("order", "piece int, counters binary").collect():  # SLOTS counters
             counters[r[0]] = np.frombuffer(zlib.decompress(r[1]), "<i8")
@@ -314,51 +365,57 @@ class IncrementalIndex:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def hit(self, name: str, schema: str, key: str, keys: DataFrame) -> DataFrame:
-        """The partitions of a table whose number is among ``keys``; the others are not read."""
-        wanted = sorted(r[0] for r in keys.distinct().collect())  # at most as many as there are partitions
-        return self.read(name, f"{schema}, {key} int").where(F.col(key).isin(wanted) if wanted else F.lit(False))
+        """The partitions of a table whose ``key`` is among ``keys``; the others are not read."""
+        keys = keys.distinct()
+        wanted = [r[0] for r in keys.limit(NAMED + 1).collect()]
+        table = self.read(name, f"{schema}, {key} {'long' if key == 'part' else 'int'}")
+        if len(wanted) > NAMED:
+            return table.join(keys.toDF(key), key, "left_semi")
+        return table.where(F.col(key).isin(sorted(wanted)) if wanted else F.lit(False))
 
     @classmethod
-    def build(cls, history: DataFrame, path: str | None = None, id: str = "id", url: str = "url", text: str = "body", threshold: float = 0.5):
+    def build(cls, history: DataFrame, path: str | None = None, id: str = "id", url: str = "url", text: str = "body", threshold: float = 0.5, docs_per_bucket: int = DOCS_PER_BUCKET):
         """A new index over ``history``, the accepted documents."""
         spark = history.sparkSession
         path = path or shared_path(spark, "index")
-        buckets = max(4, history.count() // DOCS_PER_BUCKET)
+        buckets = max(8, history.count() // docs_per_bucket)
         rows = history.select(F.lit(0).alias("key"), canonical_url(history[url]).alias("page"), history[text].alias("text"))
-        cut = rows.mapInArrow(_cut, "key int, page string, doc long, n int, shingles binary")
-        cls._store_sets(cut, path, buckets)
-        sets = spark.read.schema(f"{_SETS}, shard int").parquet(f"{path}/sets")
+        sets = cls._store(spark, rows, path, docs_per_bucket)
         each = sets.select("shingles").where("shingles is not null").mapInArrow(_count, "piece int, spread int, counters binary")
         for keys in (["piece", "spread"], ["piece"]):  # in two steps, so that no task sums those of all tasks
             each = each.groupBy(*keys).applyInArrow(_sum, "piece int, counters binary")
             if len(keys) == 2:
                 each = each.withColumn("spread", F.lit(0))
         each.coalesce(1).write.parquet(f"{path}/order")
-        index = cls(spark, path, threshold, buckets)
-        index._store_rest(sets)
+        index = cls(spark, path, threshold, buckets, docs_per_bucket)
+        index._accept(sets, sets.select("page"))
         return index
 
     @staticmethod
-    def _store_sets(cut: DataFrame, path: str, buckets: int) -> None:
-        kept = cut.where("shingles is not null or page is not null").select(*[x.split()[0] for x in _SETS.split(", ")])
-        shard = F.pmod(F.coalesce("doc", F.xxhash64("page")), F.lit(buckets)).cast("int")
-        kept.withColumn("shard", shard).repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{path}/sets")
-
-    def _store_rest(self, sets: DataFrame) -> None:
-        """Postings and pages of stored sets."""
+    def _store(spark: SparkSession, rows: DataFrame, path: str, per_part: int) -> DataFrame:
+        """Rows (key, page, text) cut and written to the index, read back: each part is written by the task that cuts it."""
+        kind = rows.schema["key"].dataType.simpleString()
+        stamp = uuid.uuid4().int >> 97  # 31 bits
+        rows.mapInArrow(_cut(stamp, per_part), f"{_SETS.format(kind)}, part long").write.mode("append").partitionBy("part").parquet(f"{path}/sets")
+        every = spark.read.schema(f"{_SETS.format(kind)}, part long").parquet(f"{path}/sets")
+        return every.where((F.col("part") >= stamp << 32) & (F.col("part") < (stamp + 1) << 32))
+
+    def _accept(self, sets: DataFrame, pages: DataFrame) -> None:
+        """Postings of accepted sets, and the pages that are taken."""
         self.blocks(sets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        pages = sets.where("page is not null").select("page").distinct().withColumn("part", self._part(F.col("page")))
-        pages.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/pages")
+        pages = pages.where("page is not null").distinct().withColumn("slice", self._slice(F.col("page")))
+        pages.repartition("slice").write.mode("append").partitionBy("slice").parquet(f"{self.path}/pages")
 
-    def _part(self, page):
+    def _slice(self, page):
         return F.pmod(F.xxhash64(page), F.lit(self.buckets)).cast("int")
 
     def blocks(self, sets: DataFrame) -> DataFrame:
-        """Posting blocks of rows with doc and shingles."""
-        return sets.where("shingles is not null").select("doc", "shingles").mapInArrow(_post(self.order, self.buckets, self.threshold), _BLOCK)
+        """Posting blocks of rows with doc, shingles and part."""
+        return sets.where("shingles is not null").select("doc", "shingles", "part").mapInArrow(_post(self.order, self.buckets, self.threshold), _BLOCK)
 
     def candidates(self, probe: DataFrame) -> DataFrame:
-        """(a, b, stored): classes of the probe blocks and of stored or other probe blocks that share a prefix token and fit."""
+        """(a, b, pa, pb, stored): classes of the probe blocks and of stored or other probe blocks that share a prefix
+        token and fit, and their parts."""
         stored = self.hit("postings", _BLOCK.replace("bucket int, ", ""), "bucket", probe.select("bucket"))
         every = stored.withColumn("stored", F.lit(True)).unionByName(probe.withColumn("stored", F.lit(False)))
         n = lambda c: F.ceil(F.sum("held") / LIMIT).cast("int").alias(c)
@@ -369,54 +426,42 @@ class IncrementalIndex:
         right = every.join(grid, "bucket").withColumn("i", deal("ni")).withColumn("p", to_all("np"))
         keys = ["bucket", "p", "i"]
         left, right = (x.select(*keys, *_PACKED, "stored").groupBy(*keys) for x in (left, right))
-        return left.cogroup(right).applyInArrow(_match(self.threshold), "a long, b long, stored boolean").distinct()
+        pairs = left.cogroup(right).applyInArrow(_match(self.threshold), "a long, b long, pa long, pb long, stored boolean")
+        return pairs.groupBy("a", "b", "stored").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
 
-    def near(self, classes: DataFrame) -> DataFrame:
-        """(a, b, stored): verified links of pending classes (doc, shingles) to stored or other pending classes."""
-        probe = checkpointed(self.blocks(classes))
+    def near(self, sets: DataFrame) -> DataFrame:
+        """(a, b, stored): verified links of pending classes to stored or other pending classes."""
+        probe = checkpointed(self.blocks(sets))
         pairs = checkpointed(self.candidates(probe))
-        ends = pairs.where("stored").select(F.col("b").alias("doc")).distinct()
-        known = self.hit("sets", _SETS, "shard", ends.select(F.pmod("doc", F.lit(self.buckets)).cast("int")))
-        n = pairs.count()
-        small = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
-        old = known.where("shingles is not null").join(small(ends), "doc", "left_semi").groupBy("doc").agg(F.first("shingles").alias("shingles"))
-        mine = pairs.select(F.col("a").alias("doc")).union(pairs.where("not stored").select("b")).distinct()
-        new = classes.select("doc", "shingles").join(small(mine), "doc", "left_semi")
-        other = old.withColumn("stored", F.lit(True)).unionByName(new.withColumn("stored", F.lit(False)))
-        both = pairs.join(new.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = both.join(other.select(F.col("doc").alias("b"), "stored", F.col("shingles").alias("sb")), ["b", "stored"])
+        ends = pairs.select(F.col("a").alias("doc"), F.col("pa").alias("part")).union(pairs.select("b", "pb")).distinct()
+        kept = self.hit("sets", "doc long, shingles binary", "part", ends.select("part")).where("shingles is not null")
+        docs = ends.select("doc").distinct()
+        wanted = kept.join(F.broadcast(docs) if 2 * pairs.count() <= BROADCAST_ROWS else docs, "doc", "left_semi")
+        wanted = wanted.groupBy("doc").agg(F.first("shingles").alias("shingles"))
+        both = pairs.select("a", "b", "stored").join(wanted.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = both.join(wanted.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
         return both.select("a", "b", "stored", "sa", "sb").mapInArrow(_verify(self.threshold), "a long, b long, stored boolean")
 
     def ingest(self, rows: DataFrame, order: list[str], id: str = "id", url: str = "url", text: str = "body") -> DataFrame:
         """(order..., id, repeats) for every pending row; what is new is appended to the index."""
         seq = F.struct(*[rows[c].alias(f"o{i}") for i, c in enumerate(order)], rows[id].cast("string").alias("rid"))
         work = rows.select(seq.alias("seq"), canonical_url(rows[url]).alias("page"), rows[text].alias("text"))
-        kind = work.schema["seq"].dataType.simpleString()
-        cut = checkpointed(work.select(F.col("seq").alias("key"), "page", "text").mapInArrow(_cut, f"key {kind}, page string, doc long, n int, shingles binary"))
+        cut = self._store(self.spark, work.select(F.col("seq").alias("key"), "page", "text"), self.path, self.per_part)
         facts = cut.select(F.col("key").alias("seq"), F.xxhash64("key").cast("string").alias("id"), "doc", "page")
-        # One text per class takes part; the rows of a class share its links.
-        classes = cut.where("shingles is not null").groupBy("doc").agg(F.first("shingles").alias("shingles"))
-        near = checkpointed(self.near(classes))
+        near = checkpointed(self.near(cut))
 
         hits = near.where("stored").select(F.col("a").alias("doc")).distinct().select("doc", F.lit(True).alias("old_doc"))
         asked = facts.where("page is not null").select("page").distinct()
-        taken = self.hit("pages", "page string", "part", asked.select(self._part(F.col("page"))))
+        taken = self.hit("pages", "page string", "slice", asked.select(self._slice(F.col("page"))))
         taken = taken.select("page").join(asked, "page", "left_semi").distinct().select("page", F.lit(True).alias("old_page"))
         state = facts.join(hits, "doc", "left").join(taken, "page", "left")
         rejected = F.col("old_doc").isNotNull() | F.col("old_page").isNotNull()
         state = state.select("seq", "id", "doc", "page", F.when(rejected, F.lit(True)).alias("repeats"))
         decided = self._decide(state, near.where("not stored").select("a", "b"))
-        self._append(classes, decided)
+        fresh = decided.where("not repeats")
+        self._accept(cut.join(fresh.select("doc").distinct(), "doc", "left_semi"), fresh.select("page"))
         return decided.select(*[F.col("seq")[f"o{i}"].alias(c) for i, c in enumerate(order)], F.col("seq")["rid"].alias(id), "repeats")
 
-    def _append(self, classes: DataFrame, decided: DataFrame) -> None:
-        """What is accepted: its sets, postings and pages. A class is accepted once, since its later rows repeat it."""
-        fresh = decided.where("not repeats").select("doc", "page")
-        with_set = fresh.join(classes, "doc", "left").select("doc", F.lit(0).alias("n"), "shingles", "page")
-        with_set = checkpointed(with_set.withColumn("n", F.coalesce((F.length("shingles") / 6).cast("int"), F.lit(0))))
-        self._store_sets(with_set, self.path, self.buckets)
-        self._store_rest(with_set)
-
     @staticmethod
     def _decide(state: DataFrame, near: DataFrame) -> DataFrame:
         """Rounds: a row with an accepted relative before it repeats, one with no open relative before it is new.
