@@ -21,8 +21,9 @@ A probe reads only the buckets of its own prefix tokens, the parts of its candid
 addresses. Buckets and slices grow in number with the history that the index is built over, and parts have a bounded size, so a
 batch reads at most as many of them as it has tokens, candidates and addresses, however long the history is.
 Within a bucket, blocks are dealt to sub-buckets of about LIMIT postings, each against each, so that a hot token
-is spread over tasks and no task holds more than two sub-buckets. Pairs are filtered by length and by a 24-byte sketch
-of their shingles (4.5 standard deviations below t) and then verified on the whole sets, of 36-bit hashes.
+is spread over tasks and no task holds more than two sub-buckets. Pairs are filtered by length and by a 32-byte sketch
+of their shingles (4.5 standard deviations below t) and then verified on the whole sets, of
+32-bit hashes (of two texts of 300 shingles, one of 50,000 pairs has a shingle more in common than it should).
 
 ``ingest`` takes any set of pending rows, one batch or many, and decides them in order: a row repeats if
 something accepted before it, in the history or among earlier rows not themselves repeats, has a similar
@@ -71,14 +72,14 @@ _PACKED = ["token", "doc", "part", "size", "sketch", "at"]
 _SETS = "key {}, page string, doc long, n int, shingles binary"
 
 
-# ---- shingle sets of 36 bits, as differences of 32
+# ---- shingle sets of 32 bits, as differences of 24
 
-_FULL = np.uint32(0xFFFFFFFF)
+_FULL = (1 << 24) - 1
 
 
 def pack_sets(h: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Each sorted set as 4-byte differences; a longer one is told by full steps before it."""
-    v = h >> V.U(28)
+    """Each sorted set as 3-byte differences; a longer one is told by full steps before it."""
+    v = h >> V.U(32)
     step = np.diff(v, prepend=V.U(0))
     first = off[:-1][np.diff(off) > 0]
     step[first] = v[first]
@@ -87,15 +88,17 @@ def pack_sets(h: np.ndarray, off: np.ndarray) -> list[bytes]:
     at = np.concatenate([[0], np.cumsum(full + 1)])
     out = np.full(at[-1], _FULL, "<u4")
     out[at[1:] - 1] = (step % V.U(_FULL)).astype(np.uint32)
-    data, bounds = out.tobytes(), at[off] * 4
+    data, bounds = np.ascontiguousarray(out.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes(), at[off] * 3
     return [data[i:j] for i, j in zip(bounds[:-1], bounds[1:])] if len(n) else []
 
 
 def unpack_sets(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of all sets, each sorted, and their offsets."""
     held = np.zeros(len(data) + 1, np.int64)
-    np.cumsum([len(x) // 4 for x in data], out=held[1:])
-    raw = np.frombuffer(b"".join(data), "<u4")
+    np.cumsum([len(x) // 3 for x in data], out=held[1:])
+    wide = np.zeros((held[-1], 4), np.uint8)
+    wide[:, :3] = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 3)
+    raw = wide.view("<u4").ravel()
     total = np.concatenate([[V.U(0)], np.cumsum(raw.astype(V.U))])
     value = total[1:] - np.repeat(total[held[:-1]], np.diff(held))
     real = raw != _FULL
@@ -165,26 +168,22 @@ def _by_rarity(h: np.ndarray, off: np.ndarray, counters: np.ndarray) -> np.ndarr
 
 # ---- postings
 
-BINS, SKETCH = 64, 24
-_LOW = V.U(0o1111111111111111111111)  # every third bit
+BINS = 64
+_LOW = V.U(0x1111111111111111)
 
 
 def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, 3) words with three bits of the least hash in each of 64 bins, 21 or 22 bins in a word; 0 for empty bins."""
+    """(texts, 4) words: the least hash in each of 64 bins, cut to a nibble that is 0 only for empty bins."""
     n = len(off) - 1
     x = V.mix(h ^ V.P1)
     least = np.full(n * BINS, ~V.U(0))
     np.minimum.at(least, np.repeat(np.arange(n), np.diff(off)) * BINS + (x >> V.U(58)).astype(np.int64), x << V.U(6))
-    bits = np.where(least == ~V.U(0), V.U(0), V.mix(least) & V.U(7)).reshape(n, BINS)
-    out = np.zeros((n, 3), V.U)
-    for i in range(BINS):
-        out[:, i % 3] |= bits[:, i] << V.U(3 * (i // 3)) if i < 63 else V.U(0)
-    return out
+    nibble = np.where(least == ~V.U(0), V.U(0), V.mix(least) % V.U(15) + V.U(1)).reshape(n, 4, 16)
+    return (nibble << (V.U(4) * np.arange(16, dtype=V.U))).sum(2, dtype=V.U)
 
 
 def _least_agreeing(threshold: float) -> int:
-    bins = 63
-    return int(bins * (threshold + (1 - threshold) / 8) - 4.5 * np.sqrt(bins * threshold * (1 - threshold)))
+    return int(BINS * (threshold + (1 - threshold) / 15) - 4.5 * np.sqrt(BINS * threshold * (1 - threshold)))
 
 
 def prefix_lengths(n: np.ndarray, sampled: np.ndarray, threshold: float) -> np.ndarray:
@@ -273,12 +272,12 @@ def _unpack(table: pa.Table):
     for t, d, p, s, k, a, o in zip(*(table.column(c).to_pylist() for c in [*_PACKED, "stored"])):
         low, docs = _unpack_tokens(t), np.frombuffer(d, V.U)
         at = np.frombuffer(a, np.uint16 if len(a) == 2 * len(low) else np.uint32).astype(np.uint32) + np.uint32(n)
-        each = low, at, docs, np.frombuffer(zlib.decompress(p), np.int64), np.frombuffer(s, np.int32), np.frombuffer(k, V.U).reshape(-1, 3), np.full(len(docs), o)
+        each = low, at, docs, np.frombuffer(zlib.decompress(p), np.int64), np.frombuffer(s, np.int32), np.frombuffer(k, V.U).reshape(-1, 4), np.full(len(docs), o)
         for c, x in zip(columns, each):
             c.append(x)
         n += len(docs)
     if not n:
-        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, 3), V.U), np.empty(0, bool)
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, V.U), np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, 4), V.U), np.empty(0, bool)
     return tuple(np.concatenate(c) for c in columns)
 
 
@@ -306,8 +305,9 @@ def _match(threshold: float):
             fit = (np.minimum(m, n) >= threshold * np.maximum(m, n)) & (oy[right] | (dx[left] < dy[right]))
             left, right = left[fit], right[fit]
             x = kx[left] ^ ky[right]
-            x |= (x >> V.U(1)) | (x >> V.U(2))
-            fit = np.bitwise_count(x & _LOW).sum(1) <= BINS - 1 - least
+            x |= x >> V.U(1)
+            x |= x >> V.U(2)
+            fit = np.bitwise_count(x & _LOW).sum(1) <= BINS - least
             found.append(np.unique((left[fit].astype(V.U) << V.U(32)) | right[fit]))
             i = j
         both = np.unique(np.concatenate(found)) if found else np.empty(0, V.U)
@@ -320,8 +320,8 @@ def _match(threshold: float):
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
-            x, xo = unpack_sets(b.column(3).to_pylist())
-            y, yo = unpack_sets(b.column(4).to_pylist())
+            x, xo = unpack_sets(b.column(2).to_pylist())
+            y, yo = unpack_sets(b.column(3).to_pylist())
             m, n = np.diff(xo), np.diff(yo)
             # One sorted list of (pair, shingle): a shingle of both sets stands there twice.
             pair = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)])
@@ -330,7 +330,7 @@ def _verify(threshold: float):
             pair, value = pair[order], value[order]
             twice = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
             common = np.bincount(pair[1:][twice], minlength=len(m))
-            yield b.select([0, 1, 2]).filter(pa.array((common > 0) & (common >= threshold * (m + n - common))))
+            yield b.select([0, 1]).filter(pa.array((common > 0) & (common >= threshold * (m + n - common))))
 
     return run
 
@@ -429,18 +429,31 @@ class IncrementalIndex:
         pairs = left.cogroup(right).applyInArrow(_match(self.threshold), "a long, b long, pa long, pb long, stored boolean")
         return pairs.groupBy("a", "b", "stored").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
 
-    def near(self, sets: DataFrame) -> DataFrame:
-        """(a, b, stored): verified links of pending classes to stored or other pending classes."""
+    def near(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((doc) of pending classes that repeat a stored one, (a, b) verified links between other pending classes).
+
+        A class that is stored itself repeats without a look at its set, and what repeats the stored ones is no longer
+        compared with what is pending.
+        """
         probe = checkpointed(self.blocks(sets))
         pairs = checkpointed(self.candidates(probe))
+        same = pairs.where("stored and a = b").select("a").distinct()
+        old = checkpointed(self.verified(pairs.where("stored and a <> b").join(same, "a", "left_anti")).select("a"))
+        hits = same.union(old).distinct()
+        new = pairs.where("not stored").join(hits, "a", "left_anti").join(hits.toDF("b"), "b", "left_anti")
+        return hits.toDF("doc"), self.verified(new)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (a, b, pa, pb) that are as similar as the threshold asks."""
+        pairs = checkpointed(pairs)
         ends = pairs.select(F.col("a").alias("doc"), F.col("pa").alias("part")).union(pairs.select("b", "pb")).distinct()
         kept = self.hit("sets", "doc long, shingles binary", "part", ends.select("part")).where("shingles is not null")
         docs = ends.select("doc").distinct()
         wanted = kept.join(F.broadcast(docs) if 2 * pairs.count() <= BROADCAST_ROWS else docs, "doc", "left_semi")
         wanted = wanted.groupBy("doc").agg(F.first("shingles").alias("shingles"))
-        both = pairs.select("a", "b", "stored").join(wanted.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = pairs.select("a", "b").join(wanted.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
         both = both.join(wanted.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-        return both.select("a", "b", "stored", "sa", "sb").mapInArrow(_verify(self.threshold), "a long, b long, stored boolean")
+        return both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.threshold), "a long, b long")
 
     def ingest(self, rows: DataFrame, order: list[str], id: str = "id", url: str = "url", text: str = "body") -> DataFrame:
         """(order..., id, repeats) for every pending row; what is new is appended to the index."""
@@ -448,16 +461,17 @@ class IncrementalIndex:
         work = rows.select(seq.alias("seq"), canonical_url(rows[url]).alias("page"), rows[text].alias("text"))
         cut = self._store(self.spark, work.select(F.col("seq").alias("key"), "page", "text"), self.path, self.per_part)
         facts = cut.select(F.col("key").alias("seq"), F.xxhash64("key").cast("string").alias("id"), "doc", "page")
-        near = checkpointed(self.near(cut))
+        hits, near = self.near(cut)
+        near = checkpointed(near)
 
-        hits = near.where("stored").select(F.col("a").alias("doc")).distinct().select("doc", F.lit(True).alias("old_doc"))
+        hits = hits.select("doc", F.lit(True).alias("old_doc"))
         asked = facts.where("page is not null").select("page").distinct()
         taken = self.hit("pages", "page string", "slice", asked.select(self._slice(F.col("page"))))
         taken = taken.select("page").join(asked, "page", "left_semi").distinct().select("page", F.lit(True).alias("old_page"))
         state = facts.join(hits, "doc", "left").join(taken, "page", "left")
         rejected = F.col("old_doc").isNotNull() | F.col("old_page").isNotNull()
         state = state.select("seq", "id", "doc", "page", F.when(rejected, F.lit(True)).alias("repeats"))
-        decided = self._decide(state, near.where("not stored").select("a", "b"))
+        decided = self._decide(state, near)
         fresh = decided.where("not repeats")
         self._accept(cut.join(fresh.select("doc").distinct(), "doc", "left_semi"), fresh.select("page"))
         return decided.select(*[F.col("seq")[f"o{i}"].alias(c) for i, c in enumerate(order)], F.col("seq")["rid"].alias(id), "repeats")
