@@ -1,19 +1,25 @@
 """The main body of web pages, by removing the template of their site.
 
-Every page is parsed into its element tree. Each leaf subtree is hashed (tag and text folded to letters; a
-larger subtree recurs only where all its leaves do, so deleting these deletes it too), the pages of a host that hold the same subtree are counted in Spark, and subtrees
-recurring in at least RECURS different contents of the host, and in RECURS_SHARE of all its contents, are
-template. Pages with the same headline or the same longest paragraph hold one content, so copies of an article,
-however many, do not make its paragraphs template. What recurs on no other page and reads
-like sentences is prose; the element that holds most of a page's prose is the body. Everything outside
-is template and is deleted; so are recurring subtrees inside that neither stand between the first and the last
-paragraph nor directly at its ends (cookie notices and footers, where the body is the whole page), and subtrees inside that are nothing but a link (teasers and advertisement
-slots, which change from page to page but not in shape). Recurring subtrees between or directly at the ends of
-the paragraphs that are not links (bylines, agency notes, notices) belong to the article and stay.
+Every page is parsed into its element tree, and every element's subtree is hashed bottom-up from its tag, the texts in
+it (folded to letters; a text that is wholly a link, and the page's own headline within a text, are left open) and
+the hashes of its children. The pages of a host that hold the same subtree are counted in Spark, and subtrees recurring
+in at least RECURS different contents of the host, and in RECURS_SHARE of all its contents, are template.
+Pages with the same headline or the same longest paragraph hold one content, so copies of an article, however many, do
+not make its paragraphs template.
+
+Deletion starts from the recurring subtrees. What recurs nowhere and reads like sentences is the page's own prose;
+the innermost element with most of it is never deleted as a whole. Of what stands beside that element, each largest
+subtree with a recurring one in it goes, whatever else fills it on this page; and so do those in a place of the host's
+tree (the tags from the root, before or after the article) at which such subtrees recur in as many contents. Within
+the element, recurring subtrees go that neither stand between the first and the last paragraph nor directly at its ends
+(cookie notices and footers, where the body is the whole page), and recurring subtrees that are nothing but a link
+(teasers and advertisement slots, which change from page to page but not in shape). Recurring
+subtrees between or directly at the ends of the paragraphs that are not links (bylines, agency notes, notices) belong
+to the article and stay. Where nothing recurs, nothing is deleted.
 
 Cases: rows without html have no template to remove and give no lines; a page without prose keeps its
 largest element by words that are no link; markup that is never closed, stray end tags, comments, scripts
-and styles are tolerated; a page without a host is counted under its source, without either under
+and styles are tolerated, and elements may be nested to any depth; a page without a host is counted under its source, without either under
 none; the same page delivered again counts once per id; empty tables give empty results; only the
 named columns are read.
 """
@@ -60,14 +66,9 @@ _PAGE_TAGS = frozenset(["", "html", "body"])
 LINK, SENTENCE = 1, 2
 
 
-def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool]]]:
-    """(parent of each element, blocks). A block is (element, text, whether all its text is a link)."""
-    parent, _, blocks, _ = tree(html)
-    return parent, blocks
-
-
-def tree(html: str) -> tuple[list[int], list[str], list[tuple[int, str, bool]], str]:
-    """(parent of each element, tag of each element, blocks as in ``parse``, headline: the first h1, else the title)."""
+def tree(html: str) -> tuple[list[int], list[str], list[tuple[int, str, bool, int]], str]:
+    """(parent of each element, tag of each element, blocks, headline: the first h1, else the title). A block is
+    (element, text, whether all its text is a link, how many elements began before it)."""
     parent, tags, stack, blocks, head = [-1], [""], [(0, "")], [], []
     text, linked, links, in_head = [], True, 0, False
 
@@ -77,7 +78,7 @@ def tree(html: str) -> tuple[list[int], list[str], list[tuple[int, str, bool]],
             t = "".join(text)
             text.clear()
             if t.strip():
-                blocks.append((stack[-1][0], unescape(t) if "&" in t else t, linked))
+                blocks.append((stack[-1][0], unescape(t) if "&" in t else t, linked, len(parent)))
         linked = True
 
     for m in _TOKEN.finditer(html):
@@ -120,7 +121,7 @@ def tree(html: str) -> tuple[list[int], list[str], list[tuple[int, str, bool]],
         tags.append(tag)
         stack.append((len(parent) - 1, tag))
     flush()
-    headline = next((t for e, t, _ in blocks if tags[e] == "h1"), None)
+    headline = next((t for e, t, _, _ in blocks if tags[e] == "h1"), None)
     return parent, tags, blocks, unescape("".join(head)) if headline is None else headline
 
 
@@ -138,7 +139,7 @@ def _fold(texts: list[str], digits: bool) -> np.ndarray:
 
 
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
-_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, tags array<string>, shape array<long>, text array<long>, line_no array<int>, line array<long>, headline long, lead long"
+_PAGE = "row long, host string, id string, parent array<int>, element array<int>, flags array<int>, words array<int>, tags array<string>, runs array<long>, subtrees array<long>, text array<long>, line_no array<int>, line array<long>, headline long, lead long"
 
 
 def _lists(counts: list[int], values, type) -> pa.ListArray:
@@ -147,34 +148,83 @@ def _lists(counts: list[int], values, type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, type))
 
 
+_M64, _K = (1 << 64) - 1, int(V.P1)
+
+
+def _name(tag: str) -> int:
+    return zlib.crc32(tag.encode()) * _K & _M64
+
+
+_OPEN = _name("a text that is a link")
+
+
+def subtree_hashes(parent: list[int], tags: list[str], blocks: list[tuple[int, str, bool, int]], texts: list[int]) -> tuple[list[int], list[int]]:
+    """(hash of each block's text, hash of each element's subtree), unsigned; 0 where there is no text.
+
+    An element's hash runs over its tag and, in the order of the page, its texts and its children's hashes. One whose
+    only content is one text has the hash of that text.
+    """
+    names = {}
+    for t in tags:
+        if t not in names:
+            names[t] = _name(t)
+    content: list[list] = [[] for _ in parent]
+    runs = []
+    for (e, _, linked, begun), x in zip(blocks, texts):
+        # A text is a subtree of its own, whatever holds it; one that is a link has only its place.
+        runs.append((_OPEN * _K ^ names[tags[e]]) & _M64 if x and linked else x)
+        if x:
+            content[e].append((2 * begun, runs[-1]))
+    subtrees = [0] * len(parent)
+    for e in range(len(parent) - 1, -1, -1):  # children come after their parents
+        held = content[e]
+        if not held:
+            continue
+        if len(held) == 1 and not held[0][0] & 1:
+            h = held[0][1]
+        else:
+            h = names[tags[e]]
+            for _, x in sorted(held):
+                h = ((h ^ x) * _K + (h >> 29)) & _M64
+        subtrees[e] = h
+        if e:
+            content[parent[e]].append((2 * e + 1, h))
+    return runs, subtrees
+
+
+def _signed_list(values: list[int]) -> np.ndarray:
+    return np.array(values, V.U).view(np.int64) if values else np.empty(0, np.int64)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
-        parents, elements, flags, words, texts, own = [], [], [], [], [], []
-        n_parents, n_blocks, headlines, leads, tags = [], [], [], [], []
-        for html in b.column(3).to_pylist():
-            parent, tag, blocks, headline = tree(html)
-            parents += parent
-            tags += tag
+        pages = [tree(html) for html in b.column(3).to_pylist()]
+        texts, open_texts, headlines, leads = [], [], [], []
+        for _, _, blocks, headline in pages:
             headlines.append(headline)
-            leads.append(max((t for _, t, linked in blocks if not linked and t.count(" ") > 4 and _SENTENCE.search(t)), key=lambda t: (len(t), t), default=""))
-            n_parents.append(len(parent))
-            n_blocks.append(len(blocks))
-            for e, t, linked in blocks:
-                elements.append(e)
-                texts.append(t)
-                own.append(zlib.crc32(tag[e].encode()))
-                words.append(t.count(" ") + 1)
-                flags.append(LINK * linked + SENTENCE * (_SENTENCE.search(t) is not None))
-        shapes = _fold(texts, False)
-        shapes = np.where(shapes == 0, 0, V.signed(V.mix(shapes.view(V.U) ^ V.mix(np.array(own, V.U)))))
+            texts += [t for _, t, _, _ in blocks]
+            open_texts += [t.replace(headline, " ") if len(t) > len(headline) > 8 else t for _, t, _, _ in blocks]
+            leads.append(max((t for _, t, linked, _ in blocks if not linked and t.count(" ") > 4 and _SENTENCE.search(t)), key=lambda t: (len(t), t), default=""))
+        shapes = _fold(open_texts, False).view(V.U).tolist()
+        runs, subtrees, at = [], [], 0
+        for parent, tags, blocks, _ in pages:
+            r, s = subtree_hashes(parent, tags, blocks, shapes[at : at + len(blocks)])
+            runs += r
+            subtrees += s
+            at += len(blocks)
+        n_parents, n_blocks = [len(x[0]) for x in pages], [len(x[2]) for x in pages]
+        every = [x for p in pages for x in p[2]]
         bodies = b.column(4).to_pylist()
         cp, doc, line, bounds = V.lines(bodies)
         h = V.signed(V.span_hashes(cp, bounds[:-1], bounds[1:])) if len(doc) else np.empty(0, np.int64)
         n_lines = np.bincount(doc, minlength=b.num_rows).tolist() if len(doc) else [0] * b.num_rows
         yield pa.RecordBatch.from_arrays(
             [
-                b.column(0), b.column(1), b.column(2), _lists(n_parents, parents, pa.int32()), _lists(n_blocks, elements, pa.int32()),
-                _lists(n_blocks, flags, pa.int32()), _lists(n_blocks, words, pa.int32()), _lists(n_parents, tags, pa.string()), _lists(n_blocks, shapes, pa.int64()),
+                b.column(0), b.column(1), b.column(2), _lists(n_parents, [x for p in pages for x in p[0]], pa.int32()),
+                _lists(n_blocks, [e for e, _, _, _ in every], pa.int32()),
+                _lists(n_blocks, [LINK * linked + SENTENCE * (_SENTENCE.search(t) is not None) for _, t, linked, _ in every], pa.int32()),
+                _lists(n_blocks, [t.count(" ") + 1 for t in texts], pa.int32()), _lists(n_parents, [x for p in pages for x in p[1]], pa.string()),
+                _lists(n_blocks, _signed_list(runs), pa.int64()), _lists(n_parents, _signed_list(subtrees), pa.int64()),
                 _lists(n_blocks, _fold(texts, True), pa.int64()), _lists(n_lines, line.astype(np.int32), pa.int32()), _lists(n_lines, h, pa.int64()),
                 pa.array(_fold(headlines, True), pa.int64()), pa.array(_fold(leads, True), pa.int64()),
             ],
@@ -182,26 +232,37 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def body_blocks(parent, element, flags, words, recurring, tags=None) -> list[bool]:
-    """For each block of a page, whether it belongs to the body."""
-    tags = tags or [""] * len(parent)
+KEEP, DELETE, OPEN = 0, 1, 2
+
+
+def judged_blocks(parent, tags, element, flags, words, runs, subtrees, template) -> tuple[list[int], list[int]]:
+    """(verdict on each block, hash of the place of the subtree beside the article that it stands in, or 0).
+
+    A verdict is KEEP, DELETE, or OPEN where the page alone does not tell: the block stands beside the article in a
+    subtree without a recurring one, and it depends on what stands in this place on the host's other pages.
+    """
+    n = len(parent)
+    below = [subtrees[e] in template for e in range(n)]  # in a recurring subtree
+    for e in range(1, n):
+        below[e] = below[e] or below[parent[e]]
+    recurring = [not x or x in template or below[e] for e, x in zip(element, runs)]
 
     def heaviest(weight: list[int]) -> int:
-        total = [0] * len(parent)
+        total = [0] * n
         for e, w in zip(element, weight):
-            while e >= 0 and w:
-                total[e] += w
-                e = parent[e]
+            total[e] += w
+        best = [-1] * n
+        for e in range(n - 1, 0, -1):
+            p = parent[e]
+            total[p] += total[e]
+            if best[p] < 0 or total[e] >= total[best[p]]:
+                best[p] = e
         at, everything = 0, total[0]
-        children = [[] for _ in parent]
-        for i, p in enumerate(parent):
-            if p >= 0:
-                children[p].append(i)
         while everything:
-            best = max(children[at], key=lambda c: (total[c], -c), default=None)
-            if best is None or total[best] < SHARE * everything or not children[best]:
+            c = best[at]
+            if c < 0 or total[c] < SHARE * everything or best[c] < 0:
                 break
-            at = best
+            at = c
         return at if everything else -1
 
     prose = [w if not r and not f & LINK and f & SENTENCE and w > 5 else 0 for f, w, r in zip(flags, words, recurring)]
@@ -210,28 +271,45 @@ def body_blocks(parent, element, flags, words, recurring, tags=None) -> list[boo
     if not any(prose):
         prose = [w if not f & LINK else 0 for f, w in zip(flags, words)]
     main = heaviest(prose)
-    inside = {}
-
-    def within(e: int) -> bool:
-        if e not in inside:
-            inside[e] = e == main or (e >= 0 and within(parent[e]))
-        return inside[e]
-
-    keep = [main >= 0 and within(e) and not f & LINK for e, f in zip(element, flags)]
+    if main < 0:
+        return [DELETE if r else KEEP for r in recurring], [0] * len(element)
+
+    # Elements within the article's, those around it, and for the others the largest subtree beside it.
+    inside, around = [False] * n, [False] * n
+    e = main
+    while e >= 0:
+        around[e] = True
+        e = parent[e]
+    region, place, aside = [-1] * n, [0] * n, [False] * n
+    for e in range(n):
+        p = parent[e]
+        inside[e] = e == main or (p >= 0 and inside[p])
+        place[e] = ((place[p] if p >= 0 else 1) * _K ^ _name(tags[e])) & _M64
+        if not inside[e] and not around[e]:
+            region[e] = e if around[p] else region[p]
+        aside[e] = inside[e] and e != main and (tags[e] in _AROUND or aside[p])
+    verdict, where = [KEEP] * len(element), [0] * len(element)
+    marked = set()
+    at = []
+    for i, e in enumerate(element):
+        at.append(region[e] if region[e] >= 0 else -2 - e if around[e] and e != main else -1)
+        if at[i] != -1 and recurring[i] and runs[i]:
+            marked.add((at[i], e > main))
+    for i, e in enumerate(element):
+        if at[i] != -1:
+            side = e > main
+            spot = place[at[i]] if at[i] >= 0 else place[-2 - at[i]] ^ 1
+            where[i] = (spot * 2 + side) & _M64
+            verdict[i] = DELETE if (at[i], side) in marked else OPEN
+        elif flags[i] & LINK and recurring[i]:
+            verdict[i] = DELETE
+    keep = [v == KEEP for v in verdict]
     inner = [i for i, (k, w) in enumerate(zip(keep, prose)) if k and w]
     if not inner or all(r or not k for r, k in zip(recurring, keep)):
-        return keep  # no paragraph of the page's own: nothing tells the template's text from the article's
+        return verdict, where  # no paragraph of the page's own: nothing tells the template's text from the article's
     first, last = inner[0], inner[-1]
     # An article's element has paragraphs as its children; elsewhere prose lies scattered, and the page is the body.
     article = tags[main] not in _PAGE_TAGS and any(main in (element[i], parent[element[i]]) for i in inner)
-
-    def beside(e: int) -> bool:
-        while e != main:
-            if tags[e] in _AROUND:
-                return False
-            e = parent[e]
-        return True
-
     for end, step in ((first, -1), (last, 1)):
         near = parent[element[end]]
         touching = True
@@ -240,36 +318,45 @@ def body_blocks(parent, element, flags, words, recurring, tags=None) -> list[boo
                 touching = touching and keep[i]
                 continue
             touching = touching and (element[i] == element[end] or (parent[element[i]] == near and near >= 0))
-            if keep[i] and not (touching or (article and beside(element[i]))):
-                keep[i] = False
-    return keep
+            if keep[i] and not (touching or (article and not aside[element[i]])):
+                verdict[i] = DELETE
+    return verdict, where
+
+
+_VERDICT = "row long, host string, id string, headline long, lead long, verdict array<int>, places array<long>, evidence array<long>, lines array<int>, open_lines array<int>, open_places array<long>"
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
-        ids, numbers = [], []
+        out = {k: [] for k in ("verdict", "places", "evidence", "lines", "open_lines", "open_places")}
         for r in b.to_pylist():
-            template = set(r["template"] or ())
-            recurring = [x in template or not x for x in r["shape"]]
-            keep = body_blocks(r["parent"], r["element"], r["flags"], r["words"], recurring, r["tags"])
-            article = {t for t, k in zip(r["text"], keep) if k}
-            outside = {t for t, k in zip(r["text"], keep) if not k and t} - article
-            for n, x in zip(r["line_no"], r["line"]):
-                if x in outside:
-                    ids.append(r["id"])
-                    numbers.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32())], names=["id", "line_no"])
+            verdict, places = judged_blocks(r["parent"], r["tags"], r["element"], r["flags"], r["words"], r["runs"], r["subtrees"], set(r["template"] or ()))
+            places = _signed_list(places).tolist()
+            texts = r["text"]
+            article = {t for t, v in zip(texts, verdict) if v == KEEP}
+            outside = {t for t, v in zip(texts, verdict) if v == DELETE and t} - article
+            unsure = {t: p for t, v, p in zip(texts, verdict, places) if v == OPEN and t and t not in article and t not in outside}
+            out["verdict"].append(verdict)
+            out["places"].append(places)
+            out["evidence"].append(sorted({p for v, p in zip(verdict, places) if v == DELETE and p}))
+            out["lines"].append([n for n, x in zip(r["line_no"], r["line"]) if x in outside])
+            late = [(n, unsure[x]) for n, x in zip(r["line_no"], r["line"]) if x in unsure]
+            out["open_lines"].append([n for n, _ in late])
+            out["open_places"].append([p for _, p in late])
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        kinds = {"verdict": ints, "places": longs, "evidence": longs, "lines": ints, "open_lines": ints, "open_places": longs}
+        fixed = [b.column(b.schema.get_field_index(c)) for c in ("row", "host", "id", "headline", "lead")]
+        yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(out[k], t) for k, t in kinds.items()]], names=[x.split()[0] for x in _VERDICT.split(", ")])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 400):
         out = []
-        for html, shapes, template in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            parent, tags, blocks, _ = tree(html)
+        for html, verdict, places, template in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            _, _, blocks, _ = tree(html)
             template = set(template or ())
-            flags = [LINK * linked + SENTENCE * (_SENTENCE.search(t) is not None) for _, t, linked in blocks]
-            keep = body_blocks(parent, [e for e, _, _ in blocks], flags, [t.count(" ") + 1 for _, t, _ in blocks], [x in template or not x for x in shapes], tags)
-            out.append("\n\n".join(" ".join(t.split()) for (_, t, _), k in zip(blocks, keep) if k))
+            kept = [t for (_, t, _, _), v, p in zip(blocks, verdict, places) if v == KEEP or (v == OPEN and p not in template)]
+            out.append("\n\n".join(" ".join(t.split()) for t in kept))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "main_text"])
 
 
@@ -306,14 +393,14 @@ def _marked(pages: DataFrame) -> DataFrame:
     return pages.select(*[own(c) if c in ("headline", "lead") else c for c in pages.columns])
 
 
-def templates(pages: DataFrame, recurs: int = RECURS, share: float = RECURS_SHARE) -> DataFrame:
-    """(host, shape, n_contents) of the subtrees that stand in at least ``recurs`` contents of a host and in ``share`` of them.
+def recurring(one: DataFrame, pages: DataFrame, recurs: int, share: float) -> DataFrame:
+    """(host, shape, n_contents) of the shapes in ``one`` (host, id, headline, lead, shape) that stand in at least ``recurs``
+    contents of a host and in ``share`` of them.
 
     Contents are counted by headline and by longest paragraph, and the lesser count holds, so that neither copies of
     an article nor its re-edited versions count as several; all aggregations combine before they shuffle.
     """
-    one = _marked(pages.select("host", "id", "headline", "lead", F.explode(F.array_distinct("shape")).alias("shape")).where("shape <> 0"))
-    once = one.groupBy("host", "shape", "headline", "lead").agg(F.lit(1).alias("x"))
+    once = _marked(one).groupBy("host", "shape", "headline", "lead").agg(F.lit(1).alias("x"))
     # No subtree stands in more contents than in pairs of marks; only the few at the minimum are counted by each mark.
     found = checkpointed(once.groupBy("host", "shape").agg(F.count("*").alias("n_contents")).where(F.col("n_contents") >= recurs))
     some = once.join(found.select("host", "shape"), ["host", "shape"], "left_semi").drop("x")
@@ -325,27 +412,45 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = RECURS_SHAR
     return found.select("host", "shape", least.alias("n_contents"), "n").where((F.col("n_contents") >= recurs) & (F.col("n_contents") >= share * F.col("n"))).drop("n")
 
 
+def templates(pages: DataFrame, recurs: int = RECURS, share: float = RECURS_SHARE) -> DataFrame:
+    """(host, shape, n_contents) of the subtrees that recur on a host."""
+    shapes = F.explode(F.array_distinct(F.concat("runs", "subtrees"))).alias("shape")
+    return recurring(pages.select("host", "id", "headline", "lead", shapes).where("shape <> 0"), pages, recurs, share)
+
+
 def with_template(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
     """``pages`` with ``template``: the shapes on the page that recur on its host."""
-    pairs = pages.select("host", "row", F.explode(F.array_distinct("shape")).alias("shape"))
+    pairs = pages.select("host", "row", F.explode(F.array_distinct(F.concat("runs", "subtrees"))).alias("shape")).where("shape <> 0")
     hit = pairs.join(templates(pages, recurs).drop("n_contents"), ["host", "shape"], "left_semi")
-    sets = hit.groupBy("row").agg(F.collect_set("shape").alias("template"))
+    sets = hit.groupBy("row").agg(F.collect_set("shape").alias("template"))  # no more than the page has
     return pages.join(sets, "row", "left")
 
 
+def judged(df: DataFrame, recurs: int = RECURS, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with the verdict on each block, (host, place) of the places at which template recurs)."""
+    pages = checkpointed(parsed_pages(df, **columns).dropDuplicates(["row"]))
+    found = checkpointed(with_template(pages, recurs).mapInArrow(_judge, _VERDICT))
+    seen = found.select("host", "id", "headline", "lead", F.explode("evidence").alias("shape"))
+    places = recurring(seen, found, recurs, RECURS_SHARE).select("host", F.col("shape").alias("place"))
+    return found, places
+
+
 def outside_lines(df: DataFrame, recurs: int = RECURS, **columns: str) -> DataFrame:
     """(id, line_no): the lines of ``body`` that stand on the page outside the article."""
-    pages = checkpointed(parsed_pages(df, **columns).dropDuplicates(["row"]))
-    return with_template(pages, recurs).mapInArrow(_decide, "id string, line_no int").distinct()
+    found, places = judged(df, recurs, **columns)
+    late = found.select("host", "id", F.inline(F.arrays_zip("open_lines", "open_places")).alias("line_no", "place"))
+    late = late.join(places, ["host", "place"], "left_semi").select("id", "line_no")
+    return found.select("id", F.explode("lines").alias("line_no")).unionByName(late).distinct()
 
 
 def main_text(df: DataFrame, recurs: int = RECURS, **columns: str) -> DataFrame:
     """(id, main_text): the article's own text of each page, from its html alone, paragraphs apart by a blank line."""
-    html, id = columns.get("html", "html"), columns.get("id", "id")
-    pages = checkpointed(parsed_pages(df, **columns).select("row", "host", "id", "shape", "headline", "lead").dropDuplicates(["row"]))
-    known = with_template(pages, recurs).select("row", "shape", "template")
-    body = columns.get("body", "body")
+    html, id, body = columns.get("html", "html"), columns.get("id", "id"), columns.get("body", "body")
+    found, places = judged(df, recurs, **columns)
+    each = found.select("host", "row", F.explode(F.array_distinct("places")).alias("place")).where("place <> 0")
+    sets = each.join(places, ["host", "place"], "left_semi").groupBy("row").agg(F.collect_set("place").alias("template"))
+    known = found.select("row", "verdict", "places").join(sets, "row", "left")
     rows = df.where(df[html].isNotNull() & df[id].isNotNull()).select(
         F.xxhash64(df[id], df[html], df[body]).alias("row"), df[id].cast("string").alias("id"), df[html].alias("html")
     )
-    return rows.join(known, "row").select("id", "html", "shape", "template").mapInArrow(_texts, "id string, main_text string")
+    return rows.join(known, "row").select("id", "html", "verdict", "places", "template").mapInArrow(_texts, "id string, main_text string")

@@ -74,12 +74,33 @@ def test_template_in_a_scattered_body_is_deleted(spark):
 
 def test_tolerant_parser():
     for html in ("", "<", "</p></div>", "<div><p>a<p>b</div><td>c", "<!-- x", "<script>a<b", "<a href='x'>l</a><b>t", "<p " + "x" * 5000):
-        parent, blocks = main_content.parse(html)
-        assert all(0 <= e < len(parent) for e, _, _ in blocks)
-    deep = "<div>" * 5000 + "text" + "</div>" * 5000
-    parent, blocks = main_content.parse(deep)
-    assert [t for _, t, _ in blocks] == ["text"]
-    assert main_content.body_blocks(parent, [blocks[0][0]], [0], [1], [False]) == [True]
+        parent, _, blocks, _ = main_content.tree(html)
+        assert all(0 <= b[0] < len(parent) for b in blocks)
+    deep = "<div>" * 5000 + "text" + "</div>" * 5000 + "<p>" + "<div>" * 5000 + "beside"
+    parent, tags, blocks, _ = main_content.tree(deep)
+    assert [b[1] for b in blocks] == ["text", "beside"]
+    runs, subtrees = main_content.subtree_hashes(parent, tags, blocks, [5, 7])
+    assert subtrees[1] and len(set(subtrees)) > 1
+    verdict, _ = main_content.judged_blocks(parent, tags, [b[0] for b in blocks], [2, 0], [9, 1], runs, subtrees, {runs[1]})
+    assert verdict == [main_content.KEEP, main_content.DELETE]
+
+
+def test_subtrees_are_hashed_with_their_tags_and_children():
+    def top(html):
+        parent, tags, blocks, _ = main_content.tree(html)
+        return main_content.subtree_hashes(parent, tags, blocks, main_content._fold([b[1] for b in blocks], False).view("uint64").tolist())[1][1]
+
+    base = top("<div><p>one</p><ul><li>two</li></ul><p>three</p></div>")
+    assert base == top("<div class=x><p>One!</p><ul><li>two</li></ul><p>three 7</p></div>")
+    for other in ("<div><p>one</p><ol><li>two</li></ol><p>three</p></div>", "<div><p>three</p><ul><li>two</li></ul><p>one</p></div>", "<div><p>one</p><ul><li>four</li></ul><p>three</p></div>"):
+        assert top(other) != base
+    assert top("<div><p>one</p><a href=1>here</a></div>") == top("<div><p>one</p><a href=2>there</a></div>")
+
+
+def test_nothing_is_deleted_where_nothing_recurs(spark):
+    rows = [(str(i), "https://s.example/x", "s", page(i), body(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, url string, source string, html string, body string")
+    assert main_content.outside_lines(df, recurs=100).count() == 0
 
 
 def test_repeated_lines_against_brute_force(spark):
