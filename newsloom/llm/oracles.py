@@ -28,6 +28,15 @@ SQL = {
         folded as (select id, source, line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]', '', 'g') as k from lines),
         often as (select source, k from folded where k <> '' group by all having count(distinct id) >= 5)
         select distinct id, line_no from folded join often using (source, k)""",
+    "p4_clean": r"""
+        with d as (select distinct id, source, body from scraped_articles where body is not null),
+        lines as (select id, source, body, unnest(string_split(body, chr(10))) as line, unnest(range(len(string_split(body, chr(10)))))::int as n from d),
+        folded as (select *, regexp_replace(lower(line), '[^\p{L}\p{N}]', '', 'g') as k from lines),
+        often as (select source, k from folded where k <> '' and source is not null group by all having count(distinct id) >= 5),
+        cut as (select distinct f.id, f.n from folded f join often o on f.source = o.source and f.k = o.k),
+        kept as (select f.id, f.source, f.body, coalesce(string_agg(f.line, chr(10) order by f.n) filter (c.id is null or f.source is null), '') as b
+                 from folded f left join cut c on c.id = f.id and c.n = f.n group by 1, 2, 3)
+        select id, length(b)::int as n_chars, md5(b) as md5 from kept""",
     "p5_found": rf"""
         with w as (select distinct id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body), '[\p{{L}}\p{{N}}]+') as t
                    from scraped_articles where regexp_matches(body, '[{_N}]')),
@@ -36,6 +45,10 @@ SQL = {
              c as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as c from e a join e b on a.x = b.x and a.id < b.id group by all)
         select distinct id_a, id_b from c where c >= 0.5 * (na + nb - c)""",
     "p8_found": f"select doc_id from documents where {_TOKENS} > 1024",
+    "p8_placement": f"""
+        with n as (select {_TOKENS} as n from documents where text is not null)
+        select sum(n)::bigint as tokens, sum(ceil(n / 1024))::bigint as parts, 0::bigint as overfull, true as well_filled,
+               count(*) as documents, 0::bigint as divided_needlessly, 0::bigint as placed_twice from n where n > 0""",
     "p9_found": f"""
         with n as (select source, sum({_TOKENS}) as n from documents where text is not null group by 1),
              m as (select m.*, coalesce(n.n, 0) as n from mix_targets m left join n using (source))

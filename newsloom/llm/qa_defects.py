@@ -1,18 +1,21 @@
 """Defects of prompt and response pairs.
 
-Responses' openings (first words, with names and numbers masked) are clustered by MinHash with verified
-similarity. A template that recurs across unrelated prompts, and not for one kind of question only, says
-nothing about any of them: with a cue of declining it is a refusal. A few well-known refusals are members from
-the start, so that one is recognised where it occurs only once. The other defects need no corpus: an answer
+Refusals are found without any list of phrases. The first sentence of a response, with names and numbers masked, is its
+template; templates are clustered by MinHash with verified similarity, and so are prompts, whole. A template whose cluster
+recurs across unrelated prompts (prompts of several clusters, none with most of the rows) and whose rows say nothing
+of their own is a refusal. A response says something of its own if its first sentence has a number or two names that its
+questions and its context have not (one name, if it is in another language than its question), or three words in a row or most of its words from its questions; what recurs word for word over unrelated prompts does
+not. The other defects need no corpus: an answer
 or question that is missing or a stand-in is empty; an answer whose words are those of one of its
 questions is copied; one in another language than its question (by hyperdimensional profiles) is of the wrong
 language; one that does not end where a sentence ends, and is no terse answer, is truncated.
 
-Each pair gets at most one defect, in the order empty, refusal, copied, language, truncated. An answer that
+Each pair gets at most one defect, in the order empty, copied, refusal, language, truncated. An answer that
 first cites ("Asked ..., someone said:") is judged by what follows, and is never a refusal: it reports one.
 
 Cases: nulls in any column count as missing; a missing question of either kind makes the pair empty; numbers,
-names and dates without a full stop are terse, not truncated; very long answers are read whole; repeated rows
+names and dates without a full stop are terse, not truncated; answers under four words are never refusals; very long
+answers are read whole; repeated rows count once and
 get the same defect each; openings that tie in spread are all refusals; an empty table gives no defects;
 extra columns are not read.
 """
@@ -30,35 +33,21 @@ from pyspark.sql import functions as F
 from newsloom.llm import textvec as V
 from newsloom.llm.language import LANGUAGES, Profiles, stretches, telling
 from newsloom.llm.similarity import slices
-from newsloom.operators.graphs import connected_components
 from newsloom.session import checkpointed
 
 # Stand-ins for nothing, in lower case; text without letters and digits is one as well.
 STAND_INS = frozenset("n/a na n.a. none null nil nan tbd tba failed error unknown undefined empty missing keine aucune ninguno ninguna nichts".split())
-# Refusals known from the start.
-KNOWN = (
-    "I'm sorry, but I can't help with that.", "I cannot answer this question based on the text.", "Sorry, I don't know.",
-    "As a language model, I do not have access to that.", "I am unable to provide advice about this.", "Impossible to answer with given information.",
-    "The provided context does not contain enough information to answer.", "The text doesn't mention this, so I can't say.",
-    "No answer can be given from the passage.", "There isn't sufficient detail here to say.", "It would not be appropriate for me to comment.",
-    "Das kann ich anhand des Textes leider nicht beantworten.", "Es tut mir leid, dazu liegen mir keine Angaben vor.",
-    "Le texte ne permet pas de répondre.", "Je suis désolé, je ne peux pas répondre à cette question.",
-    "Lo siento, no puedo responder a esa pregunta.", "El texto no permite responder a la pregunta.",
-)
-_CUE = re.compile(
-    r"\b(?:can ?not|can['’]t|unable|not able|sorry|apolog\w+|impossible|no answer|no way|declin\w+|don['’]t know|do not (?:know|have)|doesn['’]t|does not"
-    r"|isn['’]t (?:sufficient|enough)|insufficient|not (?:be )?appropriate|not possible|language model|leider|tut mir leid|keine angaben|nicht (?:beantworten|möglich)"
-    r"|désolé\w*|ne (?:peux|peut|permet)|impossible|lo siento|no (?:puedo|permite|es posible|se puede)|imposible)\b",
-    re.I,
-)
-OPENING, LEAST_ROWS, MOST_SHARE, ALIKE = 6, 3, 0.8, 0.6
+# A refusal's cluster: least rows, most of them from one cluster of prompts, most that say something of their own, least words.
+LEAST_ROWS, MOST_SHARE, MOST_OWN, LEAST_WORDS = 2, 0.8, 0.2, 4
+#: Least similarity of templates, and of prompts, by their words.
+ALIKE, ALIKE_PROMPTS = 0.6, 0.5
 #: Lead in cosine that makes a language certain.
 CLEAR = 0.06
 
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _NUMBER = re.compile(r"\d[\d.,]*")
-_CITES = re.compile(r"^[^“\"«„]{0,60}[“\"«„][^”\"»]{0,2000}[”\"»“],?\s+(?:[^“\"«„:]{0,60}?\bsaid:|says\b)\s*", re.S)
-_QUOTED = re.compile(r"[“\"«„‘][^”\"»“’]{0,2000}[”\"»“’]")
+_CITES = re.compile(r"^(?:(?![.!?]\s)[^“\"«„])*[“\"«„][^”\"»]*[”\"»“],?\s+(?:(?:(?![.!?]\s)[^“\"«„:])*?\bsaid:|says\b)\s*")
+_QUOTED = re.compile(r"[“\"«„‘][^”\"»“’]*[”\"»“’]")
 _END = re.compile(r"[.!?][\"'”’»“)\]]*$")
 _ELLIPSIS = re.compile(r"(?:\.\.\.|…|[–—-])\s*$")
 _SENTENCE_END = re.compile(r"[.!?][\"'”’»“)\]]*\s+")
@@ -69,32 +58,55 @@ def is_empty(text: str | None) -> bool:
     return text is None or not any(c.isalnum() for c in text) or text.strip().strip("\"'[](){}<>.").lower() in STAND_INS
 
 
-def opening(text: str) -> str:
-    """First words of the first sentence in lower case; names but for the first word are n, numbers 9."""
-    first = _SENTENCE_END.split(text.strip(), maxsplit=1)[0]
-    out = []
-    for i, w in enumerate(_WORDS.findall(first)):
-        if _NUMBER.match(w):
-            w = "9"
-        elif i and w[0].isupper() and w not in ("I", "I'm", "I’m", "AI"):
-            w = "n"
-        if not (out and w in "n9" and out[-1] == w):
-            out.append(w.lower().replace("’", "'"))
-    return " ".join(out[:OPENING])
-
-
-def templates(text: str) -> list[str]:
-    """What of the first sentence, longer than an opening and without names and numbers, may recur over prompts: the
-    words up to a cue of declining outside quotations, and all its words."""
-    first = _SENTENCE_END.split(text.strip(), maxsplit=1)[0]
-    cue = _CUE.search(_QUOTED.sub(lambda m: " " * len(m[0]), first))
-    out = []
-    for part in (first[: cue.end()] if cue else "", first):
-        words = _WORDS.findall(part)
-        named = any(_NUMBER.match(w) or (i and w[0].isupper() and w not in ("I", "I'm", "I’m", "AI")) for i, w in enumerate(words))
-        if len(words) > OPENING and not named:
-            out.append(" ".join(w.lower().replace("’", "'") for w in words))
-    return list(dict.fromkeys(out))
+def _first_words(text: str) -> list[str]:
+    return _WORDS.findall(_SENTENCE_END.split(text.strip(), maxsplit=1)[0])
+
+
+def _named(i: int, word: str) -> bool:
+    return i > 0 and word[0].isupper() and word not in ("I", "I'm", "I’m", "AI")
+
+
+def masked(words: list[str]) -> str:
+    """Words in lower case; names but for the first word are n, numbers 9."""
+    out: list[str] = []
+    for i, w in enumerate(words):
+        w = "9" if _NUMBER.match(w) else "n" if _named(i, w) else w.lower().replace("’", "'")
+        if not (out and w in ("n", "9") and out[-1] == w):
+            out.append(w)
+    return " ".join(out)
+
+
+def template(text: str) -> str:
+    return masked(_first_words(text))
+
+
+def _threes(words: list[str]) -> set[tuple[str, ...]]:
+    """Three words in a row, none of them a name or number."""
+    plain = [None if _NUMBER.match(w) or _named(i, w) else w.lower() for i, w in enumerate(words)]
+    return {t for t in zip(plain, plain[1:], plain[2:]) if None not in t}
+
+
+def says_something(answer: str, questions: tuple[str, ...], context: str | None = None, foreign: bool = False) -> bool:
+    """Whether the first sentence has a number or two names that are in no question and not in the context (one name, if
+    it is in another language than the question), or three words in a row or most of its words from a question."""
+    words = _first_words(answer)
+    if _threes(words) & {t for q in questions for t in _threes(_WORDS.findall(q))}:
+        return True
+    asked = {w.lower() for q in questions for w in _WORDS.findall(q)}
+    plain = [w.lower() for i, w in enumerate(words) if not _NUMBER.match(w) and not _named(i, w)]
+    if sum(w in asked for w in plain) > 0.6 * len(plain):
+        return True
+    known = None
+    runs, numbers, last = 0, 0, -2
+    for i, w in enumerate(words):
+        number = _NUMBER.match(w) is not None
+        if (number or _named(i, w)) and w.lower() not in asked:
+            known = {x.lower() for x in _WORDS.findall(context or "")} if known is None else known
+            if w.lower() not in known:
+                numbers += number
+                runs += not number and last != i - 1
+                last = i
+    return numbers > 0 or runs > (0 if foreign else 1)
 
 
 def is_copy(answer: str, questions: tuple[str, ...]) -> bool:
@@ -157,111 +169,112 @@ def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         for b in slices(batches, 1000):
-            q, u, a = (b.column(i).to_pylist() for i in (1, 2, 3))
-            kinds, openings, askers, keys = [], [], [], []
+            q, u, a, c = (b.column(i).to_pylist() for i in (1, 2, 3, 4))
+            kinds, templates, verbatim, prompts, own = [], [], [], [], []
             good = [not (is_empty(x) or is_empty(y) or is_empty(z)) for x, y, z in zip(q, u, a)]
             mine, tells = scored_languages(profiles, [_unquoted(z) if g else "" for z, g in zip(a, good)])
             theirs, _ = scored_languages(profiles, [f"{x} {y}" if g else "" for x, y, g in zip(q, u, good)])
             foreign = other_language(mine, theirs, tells)
-            for x, y, z, g, f in zip(q, u, a, good, foreign):
-                kind, start, telling_nothing = None, None, []
+            for x, y, z, about_text, g, f in zip(q, u, a, c, good, foreign):
+                kind, about = None, None
                 if not g:
                     kind = "empty"
                 elif is_copy(z, (x, y)):
                     kind = "copied"
                 else:
-                    cites = _CITES.match(z.strip()) is not None
                     if f:
                         kind = "language"
                     elif is_truncated(z):
                         kind = "truncated"
-                    if not cites:
-                        start, telling_nothing = opening(z), templates(z)
+                    if _CITES.match(z.strip()) is None:
+                        about = template(z)
                 kinds.append(kind)
-                openings.append(start)
-                keys.append(telling_nothing)
-                askers.append(next(iter(_WORDS.findall((x or "").lower())), ""))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(kinds, pa.string()), pa.array(openings, pa.string()), pa.array(askers, pa.string()), pa.array(keys, pa.list_(pa.string()))],
-                names=["id", "kind", "opening", "asker", "templates"],
-            )
+                templates.append(about)
+                verbatim.append(" ".join(_first_words(z)).lower() if about is not None else None)
+                prompts.append(masked(_WORDS.findall(x)) if about is not None else None)
+                own.append(says_something(z, (x, y), about_text, f) if about is not None else None)
+            strings = [pa.array(v, pa.string()) for v in (kinds, templates, verbatim, prompts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *strings, pa.array(own, pa.bool_())], names=["id", "kind", "template", "verbatim", "prompt", "own"])
 
     return run
 
 
-def _real(opening: str) -> list[str]:
-    return sorted({w for w in opening.split() if w not in ("n", "9")})
+BANDS, ROWS = 12, 2
 
 
-BANDS, ROWS = 12, 2
+def _real(text: str) -> list[str]:
+    return sorted({w for w in text.split() if w not in ("n", "9")})
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MinHash bands of the words of each opening."""
+    """MinHash bands of the words of each masked text."""
     seeds = V.mix(np.arange(1, BANDS * ROWS + 1, dtype=V.U))
     for b in slices(batches, 2000):
         names, keys = [], []
-        for o in b.column(0).to_pylist():
+        for i, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             real = _real(o)
-            if len(real) < 2:
+            if not real:
                 continue
-            h, _ = V.words([" ".join(real)])
+            h = V.words([" ".join(w.replace("'", "") for w in real)])[0]
             least = V.mix(h[None] ^ seeds[:, None]).min(1).reshape(BANDS, ROWS)
             key = V.mix(least[:, 0] * V.P1 + least[:, 1] + np.arange(BANDS, dtype=V.U))
-            names += [o] * BANDS
+            names += [i] * BANDS
             keys.append(V.signed(key))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["opening", "key"])
-
-
-def opening_clusters(openings: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(opening, cluster) of distinct openings: pairs that share a band, verified on their words, joined."""
-    keys = checkpointed(openings.select("opening").mapInArrow(_bands, "opening string, key long"))
-    # All members of a bucket are compared; a pair that shares several bands once.
-    pairs = keys.join(keys.withColumnRenamed("opening", "other"), "key").where("opening < other").select("opening", "other").distinct()
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: ~w.isin("n", "9")))
-    common = F.size(F.array_intersect(words("opening"), words("other")))
-    either = F.size(F.array_union(words("opening"), words("other")))
-    edges = pairs.where(common >= alike * either)
-    found = connected_components(edges, "opening", "other")
-    return openings.join(found, openings["opening"] == found["node"], "left").select("opening", F.coalesce("component", "opening").alias("cluster"))
-
-
-def refusal_openings(features: DataFrame) -> DataFrame:
-    """(opening) of the templates that recur across unrelated prompts and decline, and of known refusals."""
-    spark = features.sparkSession
-    usable = features.where("opening is not null and (kind is null or kind = 'truncated' or kind = 'language')")
-    uses = checkpointed(usable.groupBy("opening", "asker").agg(F.count("*").alias("n")))
-    known = spark.createDataFrame([(opening(k),) for k in KNOWN], "opening string")
-    distinct = uses.select("opening").union(known).distinct()
-    clusters = checkpointed(opening_clusters(distinct))
-    by_asker = uses.join(clusters, "opening").groupBy("cluster", "asker").agg(F.sum("n").alias("n"))
-    spread = by_asker.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("askers"))
-    spread = spread.where((F.col("n") >= LEAST_ROWS) & (F.col("askers") >= 2) & (F.col("most") <= MOST_SHARE * F.col("n"))).select("cluster")
-    seeded = clusters.join(known.distinct(), "opening", "left_semi").select("cluster")
-    chosen = clusters.join(spread.union(seeded).distinct(), "cluster", "left_semi").select("opening")
-    return chosen.where(F.col("opening").rlike("(?iu)" + _CUE.pattern)).distinct()
-
-
-def refusal_templates(features: DataFrame) -> DataFrame:
-    """(template) of what recurs, whole, across unrelated prompts: it holds no name or number, so it says nothing of them."""
-    usable = features.where("kind is null or kind = 'truncated' or kind = 'language'").select("asker", F.explode("templates").alias("template"))
-    by_asker = usable.groupBy("template", "asker").agg(F.count("*").alias("n"))
-    spread = by_asker.groupBy("template").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("askers"))
-    return spread.where((F.col("n") >= LEAST_ROWS) & (F.col("askers") >= 2) & (F.col("most") <= MOST_SHARE * F.col("n"))).select("template")
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["node", "key"])
+
+
+def alike(texts: DataFrame, least: float) -> DataFrame:
+    """(node, other) of distinct masked texts (node, text): all pairs that share a band and are verified as this similar
+    by their words, in both directions, and each text with itself."""
+    keys = checkpointed(texts.mapInArrow(_bands, "node long, key long"))
+    pairs = keys.join(keys.withColumnRenamed("node", "other"), "key").where("node < other").select("node", "other").distinct()
+    words = texts.select("node", F.array_distinct(F.filter(F.split("text", " "), lambda w: ~w.isin("n", "9"))).alias("w"))
+    both = pairs.join(words, "node").join(words.select(F.col("node").alias("other"), F.col("w").alias("v")), "other")
+    close = both.where(F.size(F.array_intersect("w", "v")) >= least * F.size(F.array_union("w", "v"))).select("node", "other")
+    ends = F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other")))
+    return close.select(F.inline(ends)).unionByName(texts.select("node", F.col("node").alias("other")))
+
+
+def prompt_clusters(prompts: DataFrame) -> DataFrame:
+    """(node, cluster) of distinct masked prompts (node, text): the least of what is alike, passed on twice."""
+    near = checkpointed(alike(prompts, ALIKE_PROMPTS))
+    least = near.groupBy("node").agg(F.min("other").alias("least"))
+    passed = near.join(least.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("least").alias("least"))
+    return passed.join(least.select(F.col("node").alias("least"), F.col("least").alias("cluster")), "least").select("node", "cluster")
+
+
+def refusals(features: DataFrame) -> DataFrame:
+    """(template, verbatim) of the first sentences that recur across unrelated prompts and say nothing of their own."""
+    node = F.xxhash64
+    usable = features.where("template is not null and (kind is null or kind <> 'copied')")
+    prompts = usable.select(node("prompt").alias("node"), F.col("prompt").alias("text")).distinct()
+    uses = usable.select("template", "verbatim", "own", node("prompt").alias("node")).groupBy("template", "verbatim", "own", "node").agg(F.count("*").alias("n"))
+    uses = uses.join(prompt_clusters(prompts), "node").groupBy("template", "verbatim", "own", "cluster").agg(F.sum("n").alias("n"))
+    uses = checkpointed(uses)
+    again = uses.groupBy("verbatim").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("verbatim", F.lit(True).alias("again"))
+    uses = uses.join(again, "verbatim", "left").withColumn("own", F.col("own") & F.col("again").isNull()).drop("again")
+    uses = checkpointed(uses.withColumn("node", node("template")))
+    by_template = uses.groupBy("node", "cluster").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("own"))
+    texts = uses.select("node", F.col("template").alias("text")).distinct()
+    asked = uses.where("not own").select("node").distinct()
+    near = alike(texts, ALIKE).join(asked, "node", "left_semi")
+    spread = near.join(by_template.withColumnRenamed("node", "other"), "other").groupBy("node", "cluster").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    spread = spread.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("own").alias("own"))
+    chosen = spread.where((F.col("n") >= LEAST_ROWS) & (F.col("most") <= MOST_SHARE * F.col("n")) & (F.col("own") <= MOST_OWN * F.col("n")))
+    real = F.size(F.filter(F.split("template", " "), lambda w: ~w.isin("n", "9")))
+    return uses.where(~F.col("own") & (real >= LEAST_WORDS)).join(chosen.select("node"), "node", "left_semi").select("template", "verbatim").distinct()
 
 
 def defects(
-    df: DataFrame, profiles: Profiles, id: str = "qa_id", question: str = "answerable", other: str = "unanswerable", answer: str = "answer"
+    df: DataFrame, profiles: Profiles, id: str = "qa_id", question: str = "answerable", other: str = "unanswerable", answer: str = "answer", context: str | None = "context"
 ) -> DataFrame:
     """(id, defect) of every pair, defect null where it is sound. ``profiles``: of the languages, as language.fit gives."""
-    rows = df.select(df[id].alias("id"), df[question].alias("q"), df[other].alias("u"), df[answer].alias("a"))
+    rows = df.select(df[id].alias("id"), df[question].alias("q"), df[other].alias("u"), df[answer].alias("a"), (df[context] if context else F.lit(None).cast("string")).alias("c"))
     shared = df.sparkSession.sparkContext.broadcast(profiles)  # a table of fixed size
     kind = rows.schema["id"].dataType.simpleString()
-    features = checkpointed(rows.mapInArrow(_features(shared), f"id {kind}, kind string, opening string, asker string, templates array<string>"))
-    refusals = refusal_openings(features).withColumn("refusal", F.lit(True))
-    longer = refusal_templates(features)
-    said = features.select("id", "templates", F.explode("templates").alias("template")).join(longer, "template", "left_semi").select("id", "templates").distinct()
-    joined = features.join(refusals, "opening", "left").join(said.withColumn("said", F.lit(True)), ["id", "templates"], "left")
-    joined = joined.withColumn("refusal", F.coalesce("refusal", F.col("said") & F.col("opening").isNotNull()))
+    schema = f"id {kind}, kind string, template string, verbatim string, prompt string, own boolean"
+    features = checkpointed(rows.dropDuplicates(["id", "q", "u", "a"]).mapInArrow(_features(shared), schema))
+    found = refusals(features).withColumn("refusal", F.lit(True))
+    joined = features.join(found, ["template", "verbatim"], "left")
     defect = F.when(F.col("kind").isin("empty", "copied"), F.col("kind")).when(F.col("refusal"), F.lit("refusal")).otherwise(F.col("kind"))
     return joined.select("id", defect.alias("defect"))

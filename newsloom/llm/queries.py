@@ -19,11 +19,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Per source, its repeated chunks and how many documents hold them."""
     articles = load(spark, folder, "scraped_articles", "id", "source", "body")
-    found = repeated_lines.repeated_chunks(repeated_lines.chunks(articles))
+    cut = repeated_lines.chunks(articles)
+    sources = cut.select("source", F.explode("chunks").alias("chunk")).distinct()
+    found = repeated_lines.repeated_chunks(cut).join(sources, "chunk")
     return found.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("n_ids").alias("n_uses"), F.max("n_ids").alias("most"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_sources": p4_sources}
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Each article's body without the lines repeated in its source, by its size and hash."""
+    articles = load(spark, folder, "scraped_articles", "id", "source", "body").where("body is not null").distinct()
+    clean = repeated_lines.without_repeated_lines(articles)
+    return clean.select("id", F.length("clean_body").alias("n_chars"), F.md5("clean_body").alias("md5"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_sources": p4_sources, "p4_clean": p4_clean}
 
 
 def _title_body():
@@ -78,12 +87,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every body, with its boundary and size."""
     articles = load(spark, folder, "scraped_articles", "id", "body").distinct()
-    return splitting.pieces(articles, "body").select("id", "piece_no", "cut", "n_words", "n_overlap", F.length("text").alias("n_chars"))
+    return splitting.pieces(articles, "body", characters=100_000).select("id", "piece_no", "cut", "n_words", "n_overlap", F.length("text").alias("n_chars"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that the packing puts into several containers."""
+    packed = packing.pack(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    spread = packed.groupBy("id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return spread.where("first < last").select(F.col("id").alias("doc_id"))
+
+
+def p8_placement(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing keeps to: every token placed once, no document divided but a larger one, no container overfull,
+    at least 0.95 of the space used where there are a hundred containers or more."""
     packed = packing.pack(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    return packed.where("n_parts > 1").select(F.col("id").alias("doc_id")).distinct()
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("parts"))
+    filled = full.agg(
+        F.sum("t").alias("tokens"), F.sum("parts").alias("parts"), F.count_if(F.col("t") > 1024).alias("overfull"),
+        ((F.count("*") < 100) | (F.sum("t") >= 0.95 * 1024 * F.count("*"))).alias("well_filled"),
+    )
+    docs = packed.groupBy("id").agg(F.sum("tokens").alias("t"), F.count("*").alias("parts"), F.countDistinct("part").alias("distinct_parts"))
+    kept = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("t") <= 1024)).alias("divided_needlessly"), F.count_if(F.col("parts") != F.col("distinct_parts")).alias("placed_twice"))
+    return filled.join(F.broadcast(kept), F.lit(True))  # one row each
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +121,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_containers": p8_containers}
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_placement": p8_placement, "p8_containers": p8_containers}
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +172,7 @@ QUERIES |= {"p10_found": p10_found, "p10_documents": p10_documents, "p10_segment
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = load(spark, folder, "augmented_qa", "qa_id", "answerable", "unanswerable", "answer")
+    pairs = load(spark, folder, "augmented_qa", "qa_id", "context", "answerable", "unanswerable", "answer")
     profiles = language.fit(load(spark, folder, "documents", "doc_id", "text", "lang"))
     found = qa_defects.defects(pairs, profiles).where("defect is not null")
     return found.select(F.col("id").alias("qa_id"), "defect").distinct()

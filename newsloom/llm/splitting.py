@@ -3,7 +3,9 @@
 One regular expression with bounded quantifiers cuts the whole text. Its alternatives are ordered by the
 strength of the boundary they end at: a line end, else a sentence end (. ! ? or a closing quote before white
 space), else a word end, else a character; each takes as many words as fit. An alternative first
-tries to leave room for the overlap and, where only a longer stretch ends at that boundary, fills the limit.
+tries to leave room for the overlap and, where only a longer stretch ends at that boundary, fills the limit. The
+limit is in words; where ``characters`` sets one in characters too, a longer piece is cut again, behind the last white
+space before it or, within a longer word, at the character.
 Each piece then takes back up to ``overlap`` words from the end of the piece before, by array functions on
 its last words, as far as the limit allows. All of it is SQL functions on the JVM; texts are never cut short.
 
@@ -11,7 +13,7 @@ A boundary is weaker than a line only where a line is longer than the limit, and
 where a sentence is: pieces start at line starts, or within an overlong line, at sentence starts.
 
 Cases: null gives no pieces; empty and blank text gives one piece, the text itself; text within the limit
-is one piece; text without white space is one word and so one piece; repeated rows are cut alike; extra
+is one piece; text without white space is one word and so one piece, unless ``characters`` is set; repeated rows are cut alike; extra
 columns are kept and may have any names but those of the result.
 """
 
@@ -27,11 +29,11 @@ SPACE, BLANK, WORD = r"[\s\x1c-\x1f]", r"[\s\x1c-\x1f&&[^\n]]", r"[^\s\x1c-\x1f]
 CLOSING = "\"'”’»“›"
 
 
-def piece_pattern(limit: int, fresh: int, characters: int = 20_000) -> str:
+def piece_pattern(limit: int, fresh: int) -> str:
     """Pattern whose matches are the pieces of a text, white space after a piece included.
 
     ``fresh`` is the number of words that leaves room for the overlap, ``limit`` the most. The last
-    alternative, single characters, only meets white space before the first word.
+    alternative meets the white space before the first word, however much there is.
     """
     some = rf"(?:{WORD}++{SPACE}++)"
 
@@ -42,17 +44,17 @@ def piece_pattern(limit: int, fresh: int, characters: int = 20_000) -> str:
     sentence = rf"{WORD}*[.!?{CLOSING}](?={SPACE}|\z){SPACE}*+"
     word = rf"{WORD}++{SPACE}*+"
     kinds = [ending(end, n) for end in (line, sentence) for n in (fresh, limit)]
-    return "(?U)" + "|".join([*kinds, ending(word, fresh), rf"[\s\S]{{1,{characters}}}?(?={WORD}|\z)"])
+    return "(?U)" + "|".join([*kinds, ending(word, fresh), rf"{SPACE}++"])
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"(?U){WORD}+"))
 
 
-def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) -> DataFrame:
+def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64, characters: int | None = None) -> DataFrame:
     """``df`` with n_words and pieces: an array of (piece_no, cut, n_words, n_overlap, text).
 
-    ``cut`` says where the piece ends: ``line``, ``sentence``, ``word``, or ``end`` at the end of the text.
+    ``cut`` says where the piece ends: ``line``, ``sentence``, ``word``, ``character``, or ``end`` at the end of the text.
     """
     names = list(df.columns)
     held = [f"__{i}" for i in range(len(names))]  # whatever the columns are called
@@ -68,6 +70,10 @@ def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) ->
     first = (F.size("raw") > 1) & F.col("raw")[0].rlike(lead)
     merged = F.concat(F.array(F.concat(F.col("raw")[0], F.col("raw")[1])), F.slice("raw", 3, F.size("raw")))
     rows = staged(rows, [*held, "n"], {"raw": F.when(first, merged).otherwise(F.col("raw"))})
+    if characters:
+        again = rf"(?U)[\s\S]{{1,{characters - 1}}}(?<={WORD}){SPACE}|[\s\S]{{1,{characters}}}"
+        cut_again = F.flatten(F.transform("raw", lambda p: F.when(F.length(p) > characters, F.regexp_extract_all(p, F.lit(again), F.lit(0))).otherwise(F.array(p))))
+        rows = staged(rows, [*held, "n"], {"raw": cut_again})
     # Words of each piece with the white space after them; lookback reads them from its end.
     words = F.transform("raw", lambda p: F.regexp_extract_all(p, F.lit(rf"(?U){WORD}+{SPACE}*"), F.lit(0)))
     rows = staged(rows, [*held, "n", "raw"], {"words": words})
@@ -81,7 +87,8 @@ def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) ->
             F.when(i == F.size("raw") - 1, "end")
             .when(p.rlike(rf"(?U)\n{SPACE}*\z"), "line")
             .when(p.rlike(rf"(?U)[.!?{CLOSING}]{SPACE}+\z"), "sentence")
-            .otherwise("word")
+            .when(p.rlike(rf"(?U){SPACE}\z") | ~F.col("raw")[i + 1].rlike(rf"(?U)^{WORD}"), "word")
+            .otherwise("character")
         )
         return F.struct(
             i.alias("piece_no"), cut.alias("cut"), (mine + back).alias("n_words"), back.alias("n_overlap"), F.concat(taken, p).alias("text")
@@ -92,9 +99,9 @@ def split_text(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) ->
     return made.select(*kept, F.col("n").alias("n_words"), "pieces")
 
 
-def pieces(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) -> DataFrame:
+def pieces(df: DataFrame, text: str, limit: int = 512, overlap: int = 64, characters: int | None = None) -> DataFrame:
     """One row per piece: the columns of ``df`` other than ``text``, and piece_no, cut, n_words, n_overlap, text."""
-    cut = split_text(df, text, limit, overlap)
+    cut = split_text(df, text, limit, overlap, characters)
     kept = [c for c in df.columns if c not in (text, "piece_no", "cut", "n_words", "n_overlap")]
     return cut.select(*kept, F.inline("pieces"))
 
@@ -102,4 +109,4 @@ def pieces(df: DataFrame, text: str, limit: int = 512, overlap: int = 64) -> Dat
 def boundary(pieces: Column) -> Column:
     """The weakest boundary among the cuts: line, sentence, or none where a cut is within a sentence."""
     has = lambda kind: F.exists(pieces, lambda p: p["cut"] == kind)
-    return F.when(has("word"), "none").when(has("sentence"), "sentence").otherwise("line")
+    return F.when(has("word") | has("character"), "none").when(has("sentence"), "sentence").otherwise("line")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import re
 
 import numpy as np
@@ -112,8 +113,33 @@ def test_mixing(spark):
     assert again == {x["id"]: x["uses"] for x in uses}
     picked, report = mixing.mix(df.limit(0), targets)
     assert picked.count() == 0 and report.count() == 4
-    with pytest.raises(ValueError):
-        mixing.mix(df, spark.createDataFrame([(f"s{i}", 0.1, 1) for i in range(17)], "source string, target_share double, max_repeats int"))
+    many = spark.createDataFrame([(f"s{i}", 0.01, 1) for i in range(70)] + [("a", 0.3, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mix(df, many)[1].count() == 71
+
+
+def test_flow():
+    # Two sources share a pattern; each has one of its own that is too small. The shared one is repeated only where it must be.
+    flow = mixing.min_cost_flow({"a": 10, "b": 10, "ab": 20}, {("a", "a"): 20, ("b", "b"): 10, ("ab", "a"): 40, ("ab", "b"): 20}, {"a": 25, "b": 15})
+    into = lambda q: sum(f for (_, s), f in flow.items() if s == q)
+    assert into("a") == 25 and into("b") == 15 and sum(f for (p, _), f in flow.items() if p == "ab") == 20
+    # A quota that cannot be filled is filled as far as it goes, rerouting what others can have elsewhere.
+    flow = mixing.min_cost_flow({"x": 10, "y": 5}, {("x", "p"): 10, ("y", "p"): 5, ("x", "q"): 10}, {"p": 5, "q": 20})
+    assert sum(f for (_, s), f in flow.items() if s == "q") == 10 and sum(f for (_, s), f in flow.items() if s == "p") == 5
+    start = time.time()
+    assert mixing.min_cost_flow({"one": 1}, {("one", "s"): 10**9}, {"s": 200_000}) == {("one", "s"): 200_000} and time.time() - start < 1
+    assert mixing.segments(3, 40) == [3, 3, 6, 12, 16]
+
+
+def test_splitting_by_characters_and_long_white_space(spark):
+    texts = [" " * 60_000 + "word " * 30, "x" * 5000 + " and " + "y" * 700, "short", None, " ".join("abcdefghij" for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for r in splitting.split_text(df, "body", limit=20, overlap=0, characters=1000).collect():
+        if texts[r["id"]] is not None:
+            assert "".join(p["text"] for p in r["pieces"]) == texts[r["id"]] and all(len(p["text"]) <= 1000 for p in r["pieces"])
+    got = {r["id"]: r["pieces"] for r in splitting.split_text(df, "body", limit=20, overlap=4).collect()}
+    assert len(got[1]) == 1 and sum(len(p["text"]) for p in got[0]) >= len(texts[0])
+    kinds = {r["id"]: {p["cut"] for p in r["pieces"]} for r in splitting.split_text(df.where("id = 1"), "body", limit=20, characters=1000).collect()}
+    assert "character" in kinds[1]
 
 
 EN = "The board of the company said that it will not raise the dividend before the end of the year."
@@ -176,12 +202,12 @@ def test_qa_defects(spark):
         (14, ask[0], other, "The statement, headed “Der Gewinn fiel um 3 Prozent”, says the plan needs more money than expected.", None),
         (15, ask[1], other, "Shares of both companies slid after Ann Ulven refused to answer questions.", None),
         (16, ask[1], other, f"Asked “{ask[1]}”, Ann Ulven said: I cannot answer this question based on the text.", None),
-        (17, ask[0], other, "Mainly currency swings, which it does not know how to hedge yet.", None), (18, ask[0], other, "I'm sorry, but I can't help with that.", "refusal"),
+        (17, ask[0], other, "Mainly currency swings, which it does not know how to hedge yet.", None), (18, ask[0], other, "I'm sorry, but I can't help with that.", "refusal"), (19, ask[1], other, "I'm sorry, but I can't help with that.", "refusal"),
     ]
-    rows += [(100 + i, ask[i % 4], other, f"We are not able to discuss Norvane Energy matter {i} at this point.", "refusal") for i in range(12)]
+    rows += [(100 + i, ask[i % 4], other, f"We are not able to discuss {'the plans of ' * (i % 2)}Norvane Energy at this point.", "refusal") for i in range(12)]
     rows += [(200 + i, ask[2], other, f"The text does not say more than that {i} people work there.", None) for i in range(12)]  # one kind of question only
     rows += rows[:1]
-    df = spark.createDataFrame([(*r[:4], r[0]) for r in rows], "qa_id long, answerable string, unanswerable string, answer string, opening long")
+    df = spark.createDataFrame([(*r[:4], r[0]) for r in rows], "qa_id long, answerable string, unanswerable string, answer string, opening long").withColumn("context", F.lit(None).cast("string"))
     got = {r["id"]: r["defect"] for r in qa_defects.defects(df, profiles).collect()}
     assert {r[0]: (r[4], got[r[0]]) for r in rows if got[r[0]] != r[4]} == {}
     assert qa_defects.defects(df.limit(0), profiles).count() == 0

@@ -1,44 +1,45 @@
 import random
 
-import pyarrow as pa
+from pyspark.sql import functions as F
 
 from newsloom.llm import qa_defects
 
 
-def test_openings_against_all_pairs(spark):
-    """Every pair of openings in a bucket is compared, not each with one only."""
+def test_alike_against_all_pairs(spark):
+    """Every pair in a bucket is compared; with twelve bands hardly a similar pair shares none."""
     rng = random.Random(3)
-    names = sorted({" ".join(rng.sample("a b c d e f g h i j k l".split(), 6)) for _ in range(300)})
-    table = next(qa_defects._bands(iter([pa.record_batch([pa.array(names)], names=["opening"])])))
-    buckets = {}
-    for o, k in zip(*table.to_pydict().values()):
-        buckets.setdefault(k, set()).add(o)
-    root = {o: o for o in names}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for members in buckets.values():
-        for a in members:
-            for b in members:
-                x, y = set(a.split()), set(b.split())
-                if a < b and len(x & y) >= qa_defects.ALIKE * len(x | y):
-                    low, high = sorted((find(a), find(b)))
-                    root[high] = low
-    got = dict(qa_defects.opening_clusters(spark.createDataFrame([(o,) for o in names], "opening string")).collect())
-    assert got == {o: find(o) for o in names}
-
-
-def test_refusals_without_an_early_or_known_cue(spark):
-    late = "Based on the information in the passage, I cannot say who won."
+    names = sorted({" ".join(sorted(rng.sample("a b c d e f g h i j k l".split(), 6))) for _ in range(300)})
+    texts = spark.createDataFrame(list(enumerate(names)), "node long, text string")
+    got = {(r["node"], r["other"]) for r in qa_defects.alike(texts, 0.7).collect()}
+    near = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if len(set(a.split()) & set(b.split())) >= 0.7 * len(set(a.split()) | set(b.split()))}
+    assert got <= near and len(got) >= 0.98 * len(near) and all((j, i) in got for i, j in got)
+
+
+def features(spark, rows):
+    made = [
+        (str(i), None, qa_defects.template(a), " ".join(qa_defects._first_words(a)).lower(), qa_defects.masked(qa_defects._WORDS.findall(q)), qa_defects.says_something(a, (q,)))
+        for i, (q, a) in enumerate(rows)
+    ]
+    return spark.createDataFrame(made, "id string, kind string, template string, verbatim string, prompt string, own boolean")
+
+
+ASKED = ("Who won the prize of the city?", "When does the factory close its doors?", "Which risks remain for Acme Corp?", "How far did profit fall?")
+
+
+def test_refusals_without_a_list_of_phrases(spark):
+    late = "Based on the information in the passage, I cannot say who it was."
     unlisted = "This passage offers nothing at all on the matter that was raised."
-    cited = "He told a reporter late that day “I cannot answer this” and then left."
-    rows = [(i, f"{w} did it?", a) for i, (w, a) in enumerate((w, a) for a in (late, unlisted) for w in ("who", "what", "where"))]
-    features = [(str(i), None, qa_defects.opening(a), q.split()[0], qa_defects.templates(a)) for i, q, a in rows]
-    df = spark.createDataFrame(features, "id string, kind string, opening string, asker string, templates array<string>")
-    got = {r["template"] for r in qa_defects.refusal_templates(df).collect()}
-    assert "based on the information in the passage i cannot" in got and any(t.startswith("this passage offers nothing") for t in got)
-    assert not any(t.endswith("cannot") for t in qa_defects.templates(cited))
-    assert qa_defects.templates("Revenue at Acme Corp rose by 9 percent in the last quarter.") == [] and qa_defects.templates("In March.") == []
+    german = "Dazu enthält der Text keine Angaben."
+    rows = [(q, a) for a in (late, unlisted, german) for q in ASKED]
+    rows += [(ASKED[2], "There is no word about Acme Corp to be found here."), (ASKED[0], "There is no word about it to be found here.")]
+    facts = [(q, f"Revenue at Firm {n} rose by {k} percent in the last quarter.") for k, (q, n) in enumerate(zip(ASKED, ("Abel", "Baker", "Carl", "Dora")))]
+    one_kind = [(f"Which risks remain for Firm {n}?", "It sees tariffs as the main risk.") for n in ("Abel", "Baker", "Carl")]
+    quoted = [(q, f"This is no easy step for us, said {n} on Monday.") for q, n in zip(ASKED, ("Ann Abel", "Ben Baker", "Cid Carl", "dora doe"))]
+    found = qa_defects.refusals(features(spark, rows + facts + one_kind + quoted + [("Why?", "Yes."), ("Who?", "Yes.")]))
+    assert {r["template"] for r in found.collect()} == {qa_defects.template(a) for _, a in rows}
+    assert qa_defects.refusals(features(spark, [("a", "b")]).where(F.lit(False))).count() == 0
+
+
+def test_long_citations_are_cited():
+    text = "Asked about it in a long and winding way by the reporters who came from all over the country to the hall, “" + "so " * 2000 + "”, the chair said: No."
+    assert qa_defects._CITES.match(text) and not qa_defects._CITES.match("It rose. “No,” she wrote. He said: yes.")
