@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s"
 # Markers of refusals, yes and no in their usual forms, the answer that means none is possible.
 REFUSAL_MARKERS = ("not possible", "cannot answer")
-YES_NO = ("yes", "no", "Yes", "No", "YES", "NO", "Yes.", "No.", "yes.", "no.")
+YES_NO = ("no", "yes", "Yes", "No", "No,", "Yes,", "No.", "Yes.", "yes.", "no.")
 IMPOSSIBLE = "Impossible to answer with given information"
 STOPWORDS = tuple(
     "a an and are as at be but by for from has have he her his if in into is it its no not of on or our she such that the "
@@ -71,9 +71,13 @@ def consolidate_summary(items: Column) -> Column:
     return F.struct(kind.alias("summary_type"), F.when(F.size(items) == 1, first).otherwise(bullets).alias("summary"))
 
 
-def markdown_escape(c: Column) -> Column:
-    """Backslashes before the characters that Markdown reads, and a full-width dollar sign."""
-    return F.replace(F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-.!|>~])", r"\\$1"), F.lit("$"), F.lit("＄"))
+# The characters that the two versions of Markdown read.
+MARKDOWN = {1: r"[_*`\[]", 2: r"[_*\[\]()~`>#+\-=|{}.!]"}
+
+
+def markdown_escape(c: Column, version: int = 2) -> Column:
+    """Backslashes before the characters that this version of Markdown reads, and a full-width dollar sign."""
+    return F.replace(F.regexp_replace(c, f"({MARKDOWN[version]})", r"\\$1"), F.lit("$"), F.lit("＄"))
 
 
 def ticker_forms(c: Column) -> Column:
@@ -117,3 +121,35 @@ def sentences(c: Column) -> Column:
 def truncate_tokens(c: Column, budget: int) -> Column:
     """The first ``budget`` tokens between blanks."""
     return F.array_join(F.slice(F.split(c, " "), 1, budget), " ")
+
+
+def comma_items(c: Column) -> Column:
+    """The items of a list with commas, stripped, empty ones left out."""
+    return F.filter(F.transform(F.split(c, ","), strip), lambda x: x != "")
+
+
+def json_object(c: Column, schema: str) -> Column:
+    """The object between the first brace and the last, by a schema; null where it is none."""
+    return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), schema)
+
+
+def within_budget(c: Column, prompt: Column, most: int, buffer: int = 20) -> Column:
+    """As many tokens of ``c`` as ``prompt`` leaves of ``most``, less a buffer; none if it leaves none."""
+    room = F.greatest(F.lit(most - buffer) - F.size(F.split(prompt, " ")), F.lit(0))
+    return F.array_join(F.slice(F.split(c, " "), F.lit(1), room), " ")
+
+
+def inner_slice(c: Column, n: int) -> Column:
+    """Without ``n`` characters at both ends."""
+    return F.substring(c, F.lit(n + 1), F.greatest(F.length(c) - 2 * n, F.lit(0)))
+
+
+def chat(system: Column, user: Column, answer: Column) -> Column:
+    """One turn in a chat template."""
+    return F.concat(F.lit("[INST] <<SYS>>\n"), system, F.lit("\n<</SYS>>\n"), user, F.lit(" [/INST] "), answer)
+
+
+def ended(c: Column, bos: str, eos: str) -> Column:
+    """Without the mark of the beginning, with that of the end once."""
+    begun = F.when(c.startswith(bos), F.substring(c, F.lit(len(bos) + 1), F.length(c))).otherwise(c)
+    return F.when(begun.endswith(eos), begun).otherwise(F.concat(begun, F.lit(eos)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import IMPOSSIBLE
+from newsloom.session import checkpointed
 
 
 def positive_negative(pairs: DataFrame, id: str, question: str, reverse: str, answer: str) -> DataFrame:
@@ -26,14 +27,15 @@ def hashed(*parts: Column | str) -> Column:
 
 def numbered(docs: DataFrame, id: str) -> DataFrame:
     """``docs`` with n, 0-based numbers in the order of ``id``: ranges first, then positions within, so that no
-    task orders all rows."""
-    rows = docs.repartitionByRange(id).withColumn("__part", F.spark_partition_id())
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(id)))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    task orders all rows. The ranged rows are written once, since sizes and positions must come from the same ranges."""
+    rows = docs.repartitionByRange(id).sortWithinPartitions(id).withColumn("__at", F.monotonically_increasing_id())
+    rows = checkpointed(rows)
+    part = F.shiftright("__at", 33).alias("__part")  # the id holds the partition above 33 bits and the position below
+    sizes = rows.groupBy(part).agg(F.count("*").alias("__size"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     before = sizes.select("__part", F.coalesce(F.sum("__size").over(w), F.lit(0)).alias("__before"))
-    out = rows.join(before, "__part")
-    return out.select(*docs.columns, (F.col("__before") + F.col("__n") - 1).alias("n"))
+    out = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.select(*docs.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("n"))
 
 
 def noise_draws(docs: DataFrame, id: str, size: Column, want: int = 7, seed: str = "noise") -> DataFrame:
@@ -92,3 +94,12 @@ def augmented_docs(docs: DataFrame, rels: DataFrame, new_text: Column) -> tuple[
     copies = numbered(docs, "doc_id").crossJoin(F.broadcast(top)).select(F.col("doc_id").alias("orig_id"), (F.col("top") + F.col("n") + 1).alias("doc_id"), new_text.alias("doc_text"))
     new_rels = rels.withColumnRenamed("doc_id", "orig_id").join(copies.select("orig_id", "doc_id"), "orig_id").select(*rels.columns)
     return docs.unionByName(copies.select("doc_id", "doc_text")), rels.unionByName(new_rels)
+
+
+def balanced(base: DataFrame, numeric: DataFrame, generic: DataFrame, id: str, share: float = 0.25) -> DataFrame:
+    """All of ``base``, of ``numeric`` as many as ``share`` of it, of ``generic`` as many as both, in hashed order; fewer
+    where there are not so many."""
+    n = base.count()
+    some = min(int(share * n), numeric.count())
+    order = F.sha1(F.col(id).cast("string")), F.col(id)
+    return base.unionByName(numeric.orderBy(*order).limit(some)).unionByName(generic.orderBy(*order).limit(n + some))

@@ -22,6 +22,14 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def versions(df: DataFrame, id: str, *columns: str, out: str = "doc") -> DataFrame:
+    """(out, columns...) of distinct rows: the id with the number of its version, in the order of the columns, so that no
+    version of an id is lost and no column meets another row's."""
+    rows = df.select(id, *columns).distinct()
+    n = F.row_number().over(Window.partitionBy(id).orderBy(*columns))  # the versions of one id
+    return rows.select(F.concat_ws("#", F.col(id).cast("string"), n.cast("string")).alias(out), *columns)
+
+
 def shingles(t: Column, k: int = SHINGLE) -> Column:
     """Distinct runs of ``k`` of the tokens; none for fewer. ``t`` must be a column, not an expression: a lambda
     evaluates what it closes over for every element."""
@@ -48,6 +56,15 @@ def signatures(docs: DataFrame, n: int = SIGNATURE) -> DataFrame:
     return each.groupBy("doc").agg(*mins).select("doc", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 
 
+def salted_signatures(docs: DataFrame, n: int = SIGNATURE, k: int = SHINGLE) -> DataFrame:
+    """(doc, sig) as ``signatures``, by the first sixty bits of sha1 of a salt and the shingle: slower, any number of functions."""
+    cut = staged(docs, ["doc"], {"t": tokens(F.col("text"))})
+    each = cut.select("doc", F.explode(shingles(F.col("t"), k)).alias("s"))
+    salted = lambda i: F.conv(F.substring(F.sha1(F.concat(F.lit(f"{i}-"), F.col("s"))), 1, 15), 16, 10).cast("long")
+    mins = [F.min(salted(i)).alias(f"m{i}") for i in range(n)]
+    return each.groupBy("doc").agg(*mins).select("doc", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+
+
 def candidate_pairs(sigs: DataFrame, bands: int = BANDS, n: int = SIGNATURE) -> DataFrame:
     """(a, b), a < b: texts that agree in a band."""
     rows = n // bands

@@ -8,9 +8,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import strip
+from newsloom.session import checkpointed
+
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SPAN = re.compile(r"\b[A-Z][\w’'&-]+(?: [A-Z][\w’'&-]+)+|\b[A-Z]{2,}\b")
 
@@ -89,7 +92,7 @@ def rewrite_references(tokens: list[str], tags: list[str], spaces: list[str], cl
     """Text in which every mention of a cluster is its head.
 
     The head is the first span with a noun (or, if asked, the first mention); clusters without one stay. Spans that
-    contain another span of any cluster stay. A possessive mention gets a possessive head.
+    contain another span of any cluster stay, unless the head is the first mention. A possessive mention gets a possessive head.
     """
     out = [t + s for t, s in zip(tokens, spaces)]
     spans = [tuple(m) for c in clusters for m in c]
@@ -100,7 +103,7 @@ def rewrite_references(tokens: list[str], tags: list[str], spaces: list[str], cl
             continue
         text = "".join(t + s for t, s in zip(tokens[head[0] : head[1] + 1], spaces[head[0] : head[1] + 1])).rstrip()
         for a, b in c:
-            holds = any((a, b) != (x, y) and a <= x and y <= b for x, y in spans)
+            holds = not first_mention and any((a, b) != (x, y) and a <= x and y <= b for x, y in spans)
             if [a, b] == list(head) or holds:
                 continue
             out[a] = text + ("'s" if tags[b] in ("PRP$", "POS") else "") + spaces[b]
@@ -158,8 +161,27 @@ def extractive_summary(df: DataFrame, id: str, text: str, budget: int = 60, topi
     return df.select(F.col(id).alias("id"), run(F.col(text)).alias("summary"))
 
 
-def sources_seen(rows: Column) -> Column:
-    """Of (url, title) structs in order, those whose url and title are both new."""
-    empty = F.array().cast("array<struct<url:string,title:string>>")
-    fresh = lambda kept, x: ~F.exists(kept, lambda k: (k["url"] == x["url"]) | (k["title"] == x["title"]))
-    return F.aggregate(rows, empty, lambda kept, x: F.when(fresh(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+def first_of_both(rows: DataFrame, by: list[str], order: str, a: str, b: str) -> DataFrame:
+    """Rows that, taken in order within their group, have both a value of ``a`` and one of ``b`` that no row kept before has.
+
+    A row that comes first with both is kept; one that shares a value with a kept row before it goes; so each round
+    decides every row that has no open row with one of its values before it. ``order`` must tell rows apart.
+    """
+    state = rows.withColumn("__kept", F.lit(None).cast("boolean"))
+    kept, open_ = F.col("__kept") == True, F.col("__kept").isNull()  # noqa: E712
+    while True:
+        for i, c in enumerate((a, b)):
+            w = Window.partitionBy(*by, c)
+            state = state.withColumn(f"__k{i}", F.min(F.when(kept, F.col(order))).over(w)).withColumn(f"__o{i}", F.min(F.when(open_, F.col(order))).over(w))
+        before = lambda x: F.coalesce(F.col(x) < F.col(order), F.lit(False))
+        goes, waits = before("__k0") | before("__k1"), before("__o0") | before("__o1")
+        now = F.when(~open_, F.col("__kept")).when(goes, F.lit(False)).when(~waits, F.lit(True))
+        state = checkpointed(state.withColumn("__kept", now).drop("__k0", "__k1", "__o0", "__o1"))
+        if state.where(open_).isEmpty():
+            return state.where(kept).drop("__kept")
+
+
+def corpus_texts(df: DataFrame, id: str, text: str, least: int) -> DataFrame:
+    """(id, text) of a retrieval corpus: ids as numbers, texts stripped, shorter ones left out."""
+    rows = df.select(F.col(id).cast("long").alias("id"), strip(F.col(text)).alias("text"))
+    return rows.where(F.length("text") >= least)

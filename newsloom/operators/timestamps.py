@@ -62,6 +62,10 @@ SLOTS = "yMdabcNhmsfpz"
 NUMBERS = {"y": "y", "M": "mon", "d": "d", "a": "a", "b": "b", "c": "c", "h": "h", "m": "min", "s": "s"}
 
 
+#: Years of two digits from here on are of the last century.
+PIVOT = 70
+
+
 def _months() -> Column:
     return F.create_map(*[x for n, names in MONTHS.items() for w in names.split() for x in (F.lit(w), F.lit(n))])
 
@@ -132,7 +136,7 @@ def normalise_timestamps(
 
     t = F.regexp_replace(F.col("text"), r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"^ | $", "")
-    t = F.regexp_replace(t, r"(?i)^\p{L}[\p{L} ]{0,40}: ?", "")
+    t = F.regexp_replace(t, r"(?i)^\p{L}[\p{L} ]*+: ?", "")
     t = F.regexp_replace(t, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|sday|nesday|rsday|urday|s|r|rs)?\.?,? ", "")
     work = staged(work.withColumn("text", t), [*held, "home", "order"], {"text": F.col("text")})
     work = staged(work, [*held, "home", "order", "text"], {"got": F.split(_canonical(F.col("text")), "\u0001")})
@@ -144,10 +148,11 @@ def normalise_timestamps(
         F.try_element_at(_months(), F.lower(part["N"])).alias("named"), *[part[k].try_cast("int").alias(NUMBERS[k]) for k in NUMBERS],
     )
     c = F.col
+    century = lambda y: y + F.when(y < PIVOT, 2000).otherwise(1900)
     numeric, ymd = c("name") == "numeric", (c("order") == "ymd") & (c("c_size") == 2)
     work = work.select(
         *held, "home", "text", "name", "zone", "zone_text",
-        F.when(~numeric, c("y")).when(ymd, c("a") + 2000).when(c("c_size") == 2, c("c") + 2000).otherwise(c("c")).alias("year"),
+        F.when(~numeric, c("y")).when(ymd, century(c("a"))).when(c("c_size") == 2, century(c("c"))).otherwise(c("c")).alias("year"),
         F.when(~numeric, F.coalesce("named", "mon")).when(c("order") == "mdy", c("a")).otherwise(c("b")).alias("month"),
         F.when(~numeric, c("d")).when(c("order") == "mdy", c("b")).when(ymd, c("c")).otherwise(c("a")).alias("day"),
         (~numeric | c("order").isNotNull()).alias("known"),

@@ -13,12 +13,31 @@ from newsloom.functions.text import normalize_text
 
 def links(html: Column, url: Column) -> Column:
     """Distinct targets of a page's links, relative ones resolved against its address, without a last # or /."""
-    found = F.regexp_extract_all(html, F.lit(r'<a[^>]+href="([^"]*)"'), F.lit(1))
-    root = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
-    full = F.transform(found, lambda x: F.when(x.startswith("/"), F.concat(root, x)).otherwise(x))
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    bare = F.transform(found, lambda x: F.trim(F.regexp_replace(x, "^[\"']|[\"']$", "")))
+    full = F.transform(bare, lambda x: resolved(x, url))
     return F.array_distinct(F.filter(F.transform(full, lambda x: F.regexp_replace(x, "[#/]$", "")), lambda x: x != ""))
 
 
+def resolved(link: Column, base: Column) -> Column:
+    """``link`` as seen from the page at ``base``: absolute as it is, else by scheme, host, folder or page."""
+    scheme, root = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1)
+    page = F.regexp_replace(base, "#.*$", "")
+    query = F.regexp_extract(link, r"([?#].*)$", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    whole = F.when(link.startswith("/"), F.regexp_replace(link, "[?#].*$", "")).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), F.regexp_replace(link, "[?#].*$", "")))
+    parts = F.split(whole, "/")
+    up = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), up)
+    ends = F.when(F.element_at(parts, -1).isin("..", "."), "/").otherwise("")
+    return (
+        F.when(link.rlike(r"^[A-Za-z][\w+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link == "", page)
+        .when(link.startswith("#"), F.concat(page, link)).when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(F.concat(root, F.array_join(walked, "/"), ends, query))
+    )
+
+
 def allowed(link: Column, prefixes: list[str]) -> Column:
     """Whether a link starts as one of these patterns."""
     return F.lit(False) if not prefixes else link.rlike("^(?:" + "|".join(prefixes) + ")")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import load
 from newsloom.functions.text import STOPWORDS, jaccard, word_tokens
-from newsloom.operators import evaluation, language_tools, retrieval, topics, web
+from newsloom.operators import dedup, evaluation, language_tools, retrieval, topics, web
 from newsloom.session import checkpointed, shared_path
 from newsloom.streaming import news
 
@@ -39,8 +39,7 @@ _KNN = """
 
 def _ranked(spark: SparkSession, folder: str, k: int, **kw) -> DataFrame:
     q, d = _vectors(spark, folder)
-    near = retrieval.nearest(q, d, k + 5, **kw).drop("rank")
-    return retrieval.ranked(near, ["query_id"], F.round("similarity", 9), ["doc_id"], k)
+    return retrieval.nearest(q, d, k, **kw)
 
 
 @query(_KNN + " select query_id, doc_id, rank::int as rank, round(similarity, 6) as similarity from r where rank <= 10")
@@ -51,20 +50,14 @@ def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(_KNN.replace("q.vec_id <> d.vec_id", "q.vec_id <> d.vec_id and d.label <= 4") + " select query_id, doc_id, rank::int as rank from r where rank <= 5")
 def knn_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     q, d = _vectors(spark, folder)
-    near = retrieval.nearest(q, d.where("label <= 4"), 10).drop("rank")
-    return retrieval.ranked(near, ["query_id"], F.round("similarity", 9), ["doc_id"], 5).select("query_id", "doc_id", "rank")
+    return retrieval.nearest(q, d.where("label <= 4"), 5).select("query_id", "doc_id", "rank")
 
 
 @query(_KNN + ", c as (select *, row_number() over (partition by query_id, label order by round(similarity, 9) desc, doc_id) as n from r) select query_id, label, doc_id from c where n = 1")
 def knn_per_class_exemplars(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest of each class."""
     q, d = _vectors(spark, folder)
-    out = None
-    for i in range(10):
-        near = retrieval.nearest(q, d.where(F.col("label") == i), 5).drop("rank")
-        one = retrieval.ranked(near, ["query_id"], F.round("similarity", 9), ["doc_id"], 1).select("query_id", "label", "doc_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return retrieval.nearest(q, d, 1, group="label").select("query_id", "label", "doc_id")
 
 
 @query(_KNN + """, h as (select query_id, rank, (label = q_label)::int as hit from r where rank <= 3),
@@ -83,20 +76,21 @@ def ir_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BM25 = """
-    with d as (select id as doc_id, min(title) as title, min(body) as body from cleaned_articles group by 1),
+    with d as (select id || '#' || row_number() over (partition by id order by title, body) as doc_id, title, body from (select distinct id, title, body from cleaned_articles)),
          f as (select doc_id, 'title' as field, title as text from d union all select doc_id, 'body', body from d),
          w as (select doc_id, field, regexp_extract_all(lower(text), '[a-z0-9]+') as t from f where text is not null),
          z as (select doc_id, field, len(t) as len, unnest(t) as term from w where len(t) > 0),
          tf as (select doc_id, field, len, term, count(*) as tf from z group by all),
          st as (select field, count(*) as n_docs, avg(len(t)) as avg_len from w where len(t) > 0 group by 1),
          df as (select field, term, count(*) as df from tf group by 1, 2),
-         q as (select distinct arrival_no as query_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as term from incoming_articles where arrival_no % 50 = 0),
+         q as (select * from (select distinct arrival_no as query_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as term from incoming_articles where arrival_no % 50 = 0)
+               where term not in ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'has', 'have', 'he', 'her', 'his', 'if', 'in', 'into', 'is', 'it', 'its', 'no', 'not', 'of', 'on', 'or', 'our', 'she', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'we', 'were', 'which', 'will', 'with', 'you')),
          sc as (select query_id, doc_id, tf.field, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
                 from q join tf using (term) join df using (field, term) join st on st.field = tf.field group by 1, 2, 3)"""
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    d = load(spark, folder, "cleaned_articles", "id", "title", "body").groupBy("id").agg(F.min("title").alias("title"), F.min("body").alias("body"))
+    d = dedup.versions(load(spark, folder, "cleaned_articles", "id", "title", "body"), "id", "title", "body", out="id")
     fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in ("title", "body")]))
     docs = d.select(F.col("id").alias("doc_id"), fields).where("text is not null")
     q = load(spark, folder, "incoming_articles", "arrival_no", "title").where("arrival_no % 50 = 0").select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
@@ -130,9 +124,8 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def hybrid_retriever(spark: SparkSession, folder: str) -> DataFrame:
     """Keywords by BM25 and all of the query by vectors of articles not older than two years before the last, fused, then made diverse."""
-    t = load(spark, folder, "cleaned_articles", "id", "title", "body", "published").groupBy(F.col("id").alias("doc_id"))
-    t = t.agg(F.min("title").alias("title"), F.min("body").alias("body"), F.max("published").alias("published"))
-    t = checkpointed(t)
+    t = load(spark, folder, "cleaned_articles", "id", "title", "body", "published")
+    t = checkpointed(dedup.versions(t, "id", "title", "body", "published", out="doc_id"))
     fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in ("title", "body")]))
     last = t.agg((F.max("published") - F.expr("interval 730 days")).alias("since"))
     recent = t.crossJoin(F.broadcast(last)).where("published > since").select("doc_id", F.concat_ws(" ", "body", "title").alias("text"))  # one row
@@ -173,7 +166,7 @@ def mmr_rerank(spark: SparkSession, folder: str) -> DataFrame:
     with w as (select qa_id, list_filter(regexp_extract_all(lower(coalesce(answerable, '') || '. ' || coalesce(answer, '')), '[a-z0-9]+'), lambda x: x not in ({s})) as a,
                       list_filter(regexp_extract_all(lower(coalesce(context, '')), '[a-z0-9]+'), lambda x: x not in ({s})) as b from augmented_qa),
          j as (select qa_id, len(list_intersect(a, b)) as i, len(list_distinct(a || b)) as u from w)
-    select qa_id, round(coalesce(i / nullif(u, 0), 0), 6) as similarity from j where coalesce(i / nullif(u, 0), 0) >= 0.03""".format(s=", ".join(f"'{w}'" for w in STOPWORDS)))
+    select qa_id, round(coalesce(i / nullif(u, 0), 0), 6) as similarity from j where coalesce(i / nullif(u, 0), 0) >= 0.03""".format(s="'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'has', 'have', 'he', 'her', 'his', 'if', 'in', 'into', 'is', 'it', 'its', 'no', 'not', 'of', 'on', 'or', 'our', 'she', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'we', 'were', 'which', 'will', 'with', 'you'"))
 def relevance_gate(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "augmented_qa", "qa_id", "answerable", "answer", "context")
     words = lambda c: F.filter(word_tokens(c), lambda w: ~w.isin(*STOPWORDS))
@@ -183,8 +176,11 @@ def relevance_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINKS = """
-    with l as (select distinct id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as root, unnest(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) as x from scraped_articles where html is not null and url is not null),
-         n as (select distinct id, regexp_replace(case when starts_with(x, '/') then root || x else x end, '[#/]$', '') as link from l)"""
+    with l as (select distinct id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as root, regexp_extract(url, '^([a-z]+:)', 1) as scheme,
+                      unnest(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)) as y from scraped_articles where html is not null and url is not null),
+         b as (select *, trim(y, '"''') as x from l),
+         n as (select distinct id, regexp_replace(case when starts_with(x, '//') then scheme || x when starts_with(x, '/') then root || x
+                                                       when starts_with(x, '#') then split_part(url, '#', 1) || x else x end, '[#/]$', '') as link from b)"""
 
 
 @query(_LINKS + " select id, count(*) as n_links from n where link <> '' group by 1")
@@ -263,17 +259,26 @@ def hypergraph_summary(spark: SparkSession, folder: str) -> DataFrame:
     return language_tools.extractive_summary(t, "id", "body")
 
 
-@query()
+@query("""
+    select qa_id, array_to_string(string_split(regexp_replace(regexp_replace(regexp_replace(context, '^\\s+', ''), '\\s+$', ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ') as predicted
+    from augmented_qa where context is not null union all select qa_id, '' from augmented_qa where context is null""")
 def batch_generation(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "augmented_qa", "qa_id", "context")
     return language_tools.generated(t, "context", "predicted").select("qa_id", "predicted")
 
 
-@query()
+@query("""
+    with recursive t as (select batch_no, source, url, title, row_number() over (partition by batch_no, source order by arrival_no) as k
+                         from incoming_articles where source is not null and url is not null and title is not null),
+         s(batch_no, source, k, urls, titles) as (
+             select batch_no, source, 0::bigint, []::varchar[], []::varchar[] from t where k = 1
+             union all
+             select batch_no, source, tk, case when f then list_append(urls, url) else urls end, case when f then list_append(titles, title) else titles end
+             from (select s.batch_no, s.source, s.urls, s.titles, t.url, t.title, t.k as tk, not list_contains(s.urls, t.url) and not list_contains(s.titles, t.title) as f
+                   from s join t on t.batch_no = s.batch_no and t.source = s.source and t.k = s.k + 1))
+    select batch_no, source, max(len(urls)) as n from s group by 1, 2""")
 def sources_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Per batch, the sources whose address and title are both new, in order of arrival."""
-    t = load(spark, folder, "incoming_articles", "batch_no", "source", "arrival_no", "url", "title").where("source is not null")
-    rows = F.array_sort(F.collect_list(F.struct("arrival_no", "url", "title")))
-    g = t.groupBy("batch_no", "source", F.floor(F.col("arrival_no") / 100).alias("page"))
-    kept = g.agg(language_tools.sources_seen(F.transform(rows, lambda r: F.struct(r["url"].alias("url"), r["title"].alias("title")))).alias("kept"))
-    return kept.select("batch_no", "source", "page", F.size("kept").alias("n"))
+    """Per batch and source, how many arrivals have both an address and a title that are new among those kept."""
+    t = load(spark, folder, "incoming_articles", "batch_no", "source", "arrival_no", "url", "title").where("source is not null and url is not null and title is not null")
+    kept = language_tools.first_of_both(t, ["batch_no", "source"], "arrival_no", "url", "title")
+    return kept.groupBy("batch_no", "source").agg(F.count("*").alias("n"))

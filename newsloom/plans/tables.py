@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.catalog import load
-from newsloom.operators import topics
+from newsloom.functions import quantiles
+from newsloom.operators import curation, topics
 from newsloom.operators.dedup import keep_first
 
 NOW = "2024-11-27 00:00:00"
@@ -29,8 +30,9 @@ def day(c: str):
     return F.floor(F.unix_micros(c) / 86_400_000_000).cast("int")
 
 
-def _latest(spark: SparkSession, folder: str) -> str:
-    return topics.latest_model(load(spark, folder, "topic_model")).first()["id"]
+def _latest(spark: SparkSession, folder: str) -> str | None:
+    row = topics.latest_model(load(spark, folder, "topic_model")).first()
+    return row and row["id"]
 
 
 LATEST = "(select id from topic_model order by fit_date desc, id limit 1)"
@@ -194,9 +196,9 @@ def group_mean_error(spark: SparkSession, folder: str) -> DataFrame:
     select event_type, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as q2, round(quantile_cont(value, 0.75), 6) as q3
     from events group by 1""")
 def group_quartiles(spark: SparkSession, folder: str) -> DataFrame:
-    p = F.expr("percentile(value, array(0.25, 0.5, 0.75))")
-    t = load(spark, folder, "events", "event_type", "value").groupBy("event_type").agg(p.alias("p"))
-    return t.select("event_type", *[F.round(F.col("p")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    t = load(spark, folder, "events", "event_type", "value")
+    p = quantiles.exact(t, "event_type", "value", (0.25, 0.5, 0.75))
+    return p.select("event_type", *[F.round(f"p{i}", 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("""
@@ -205,9 +207,10 @@ def group_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     from documents""")
 def describe_lengths(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "documents", "n_chars")
-    p = F.expr("percentile(n_chars, array(0.25, 0.5, 0.75))")
-    t = t.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("sd"), F.min("n_chars").alias("least"), p.alias("p"), F.max("n_chars").alias("most"))
-    return t.select("n", "mean", "sd", "least", *[F.round(F.col("p")[i], 6).alias(f"q{i + 1}") for i in range(3)], "most")
+    p = quantiles.exact(t.withColumn("g", F.lit(0)), "g", "n_chars", (0.25, 0.5, 0.75))
+    t = t.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("sd"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    both = t.join(F.broadcast(p), F.lit(True), "left")  # one row each
+    return both.select("n", "mean", "sd", "least", *[F.round(f"p{i}", 6).alias(f"q{i + 1}") for i in range(3)], "most")
 
 
 _COUNTED = ("source", "title", "published", "body", "summary", "category", "html")
@@ -225,10 +228,11 @@ def mae(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    select label, list_sort(list(vec_id)) as members, count(*) as n from embeddings group by label""")
+    select l_orderkey as order_key, list_sort(list(l_partkey)) as members, count(*) as n from lineitem group by 1""")
 def list_concat_group(spark: SparkSession, folder: str) -> DataFrame:
-    t = load(spark, folder, "embeddings", "label", "vec_id")
-    return t.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("members"), F.count("*").alias("n"))
+    """Lists of groups whose size the schema bounds: the lines of an order."""
+    t = load(spark, folder, "lineitem", "l_orderkey", "l_partkey")
+    return t.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_list("l_partkey")).alias("members"), F.count("*").alias("n"))
 
 
 @query("""
@@ -301,16 +305,11 @@ def swap_short_title(spark: SparkSession, folder: str) -> DataFrame:
     select doc_id, (select max(doc_id) from documents) + row_number() over (order by doc_id) as new_id
     from documents where source = 'oakmeter'""")
 def ids_after_max(spark: SparkSession, folder: str) -> DataFrame:
-    """New ids follow the greatest. Row numbers come from ranges: sizes per range, then positions within."""
+    """New ids follow the greatest."""
     t = load(spark, folder, "documents", "doc_id", "source")
     top = t.agg(F.max("doc_id").alias("top"))
-    rows = t.where("source = 'oakmeter'").select("doc_id").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy("doc_id")
-    rows = rows.withColumn("n", F.row_number().over(w))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = sizes.select("part", before.alias("before"))
-    return rows.join(offset, "part").crossJoin(F.broadcast(top)).select("doc_id", (F.col("top") + F.col("before") + F.col("n")).alias("new_id"))
+    rows = curation.numbered(t.where("source = 'oakmeter'").select("doc_id"), "doc_id")
+    return rows.crossJoin(F.broadcast(top)).select("doc_id", (F.col("top") + F.col("n") + 1).alias("new_id"))  # one row
 
 
 @query("select doc_id from documents order by sha1(doc_id::varchar || '|93'), doc_id limit 100")
@@ -342,16 +341,16 @@ def stratified_split_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    with n as (select doc_id, 'numeric' as kind, row_number() over (order by sha1(doc_id::varchar), doc_id) as n from documents where source = 'oakmeter'),
-         g as (select doc_id, 'generic' as kind, row_number() over (order by sha1(doc_id::varchar), doc_id) as n from documents where source = 'tarnwire'),
-         c as (select count(*) as gs from g)
-    select doc_id, kind from n, c where n <= floor(0.25 * gs) union all select doc_id, kind from g""")
+    with o as (select doc_id, source, row_number() over (partition by source order by sha1(doc_id::varchar), doc_id) as n from documents),
+         c as (select count(*) filter (source = 'ostervale') as t, count(*) filter (source = 'oakmeter') as f, count(*) filter (source = 'tarnwire') as w from documents),
+         m as (select t, least(floor(0.25 * t), f) as numeric_n, least(t + least(floor(0.25 * t), f), w) as generic_n from c)
+    select doc_id, case source when 'ostervale' then 'base' when 'oakmeter' then 'numeric' else 'generic' end as kind from o, m
+    where source = 'ostervale' or (source = 'oakmeter' and n <= numeric_n) or (source = 'tarnwire' and n <= generic_n)""")
 def balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """All of one source, of the numeric one as many as a quarter of it, of the generic one as many as both."""
     t = load(spark, folder, "documents", "doc_id", "source")
-    generic = t.where("source = 'tarnwire'").select("doc_id", F.lit("generic").alias("kind"))
-    numeric = t.where("source = 'oakmeter'").select("doc_id", F.lit("numeric").alias("kind"))
-    most = int(0.25 * generic.count())
-    return numeric.orderBy(F.sha1(F.col("doc_id").cast("string")), "doc_id").limit(most).unionByName(generic)
+    base, numeric, generic = (t.where(F.col("source") == s).select("doc_id", F.lit(k).alias("kind")) for s, k in (("ostervale", "base"), ("oakmeter", "numeric"), ("tarnwire", "generic")))
+    return curation.balanced(base, numeric, generic, "doc_id")
 
 
 @query("""

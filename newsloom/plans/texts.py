@@ -66,10 +66,12 @@ def citation_strip(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("doc_id", T.strip_citations(F.col("text")).alias("text"))
 
 
-@query("select id, replace(regexp_replace(title, '([\\\\`*_{}\\[\\]()#+\\-.!|>~])', '\\\\\\1', 'g'), '$', '＄') as title from cleaned_articles")
+@query("""
+    select id, replace(regexp_replace(title, '([_*\\[\\]()~`>#+=|{}.!-])', '\\\\\\1', 'g'), '$', '＄') as title,
+           replace(regexp_replace(title, '([_*`\\[])', '\\\\\\1', 'g'), '$', '＄') as old_title from cleaned_articles""")
 def markdown_escape(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "cleaned_articles", "id", "title")
-    return t.select("id", T.markdown_escape(F.col("title")).alias("title"))
+    return t.select("id", T.markdown_escape(F.col("title")).alias("title"), T.markdown_escape(F.col("title"), 1).alias("old_title"))
 
 
 @query("""
@@ -117,7 +119,7 @@ def refusal_filter(spark: SparkSession, folder: str) -> DataFrame:
     return t.where(~(low.contains(T.REFUSAL_MARKERS[0]) | low.contains(T.REFUSAL_MARKERS[1]))).select("qa_id")
 
 
-@query("select qa_id, answer from augmented_qa where answer is not null and not contains(answer, '#') and answer not in (" + ", ".join(f"'{w}'" for w in T.YES_NO) + ")")
+@query("select qa_id, answer from augmented_qa where answer is not null and not contains(answer, '#') and answer not in ('no', 'yes', 'Yes', 'No', 'No,', 'Yes,', 'No.', 'Yes.', 'yes.', 'no.')")
 def yes_no_filter(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "augmented_qa", "qa_id", "answer").where("answer is not null")
     return t.where(~F.col("answer").contains("#") & ~F.col("answer").isin(*T.YES_NO))
@@ -165,8 +167,9 @@ def shingle_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MINHASH = """
-    with w as (select id as doc, list_filter(string_split(regexp_replace(lower(title || ' ' || body), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') as t
-               from (select id, min(title) as title, min(body) as body from incoming_articles where body is not null and title is not null group by id)),
+    with w as (select doc, list_filter(string_split(regexp_replace(lower(title || ' ' || body), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') as t
+               from (select id || '#' || row_number() over (partition by id order by title, body) as doc, title, body
+                     from (select distinct id, title, body from incoming_articles where body is not null and title is not null))),
          s as (select doc, unnest(list_distinct(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i + 9], ' ')))) as x from w where len(t) >= 10),
          h as (select doc, ('0x' || right(sha1(x), 8))::bigint % 2147483647 as h from s),
          m as (select doc, {mins} from h group by doc)
@@ -175,8 +178,8 @@ _MINHASH = """
 
 def _minhash_docs(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "incoming_articles", "id", "title", "body").where("body is not null and title is not null")
-    t = t.groupBy("id").agg(F.min("title").alias("title"), F.min("body").alias("body"))
-    return t.select(F.col("id").alias("doc"), F.regexp_replace(F.concat_ws(" ", "title", "body"), r"\s+", " ").alias("text"))
+    t = dedup.versions(t, "id", "title", "body")
+    return t.select("doc", F.regexp_replace(F.concat_ws(" ", "title", "body"), r"\s+", " ").alias("text"))
 
 
 @query(_MINHASH + "select doc, [" + ", ".join(f"m{i}" for i in range(50)) + "] as sig from m")
@@ -216,8 +219,9 @@ def near_dup_clean(spark: SparkSession, folder: str) -> DataFrame:
     """New articles without near-duplicates among themselves and of the accepted ones."""
     old = load(spark, folder, "cleaned_articles", "id", "title", "body").withColumn("known", F.lit(True))
     new = load(spark, folder, "incoming_articles", "id", "title", "body").withColumn("known", F.lit(False))
-    t = old.unionByName(new).where("body is not null").groupBy("id").agg(F.max("known").alias("known"), F.min("title").alias("title"), F.min("body").alias("body"))
-    docs = t.select(F.col("id").alias("doc"), "body", F.concat_ws(" ", "title", "body").alias("text"), "known")
+    t = old.unionByName(new).where("body is not null").groupBy("id", "title", "body").agg(F.max("known").alias("known"))
+    t = dedup.versions(t, "id", "title", "body", "known")
+    docs = t.select("doc", "body", F.concat_ws(" ", "title", "body").alias("text"), "known")
     return dedup.near_duplicate_removal(docs)
 
 
@@ -231,20 +235,20 @@ def pos_neg_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
     with d as (select id, len(string_split(body, chr(10) || chr(10))) as m, row_number() over (order by id) - 1 as n, count(*) over () as total
-               from (select id, min(body) as body from cleaned_articles where body is not null group by id)),
+               from (select id || '#' || row_number() over (partition by id order by body) as id, body from (select distinct id, body from cleaned_articles where body is not null))),
          s as (select id, n, total, unnest(range(0, 7 - m)) as slot from d where m < 7 and total > 1),
          x as (select id, slot::int as slot, (n + 1 + ('0x' || left(sha1(id || '|' || slot || '|noise'), 7))::bigint % (total - 1)) % total as n from s)
     select x.id, x.slot, d.id as other from x join d on d.n = x.n""")
 def noise_draws(spark: SparkSession, folder: str) -> DataFrame:
-    t = load(spark, folder, "cleaned_articles", "id", "body").where("body is not null").groupBy("id").agg(F.min("body").alias("body"))
+    t = dedup.versions(load(spark, folder, "cleaned_articles", "id", "body").where("body is not null"), "id", "body", out="id")
     return curation.noise_draws(t, "id", F.size(F.split("body", "\n\n")))
 
 
 @query()
 def noise_injection(spark: SparkSession, folder: str) -> DataFrame:
     """Articles with their own chunks, padded with those of others, and of others only, with the summary as answer."""
-    t = load(spark, folder, "cleaned_articles", "id", "body", "summary").where("body is not null").groupBy("id").agg(F.min(F.struct("body", "summary")).alias("r"))
-    return curation.with_noise(t.select("id", "r.*"), "id", F.split("body", "\n\n"), answer=F.col("summary"))
+    t = load(spark, folder, "cleaned_articles", "id", "body", "summary").where("body is not null")
+    return curation.with_noise(dedup.versions(t, "id", "body", "summary", out="id"), "id", F.split("body", "\n\n"), answer=F.col("summary"))
 
 
 @query("""
@@ -277,7 +281,8 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
 def _rouge_sql(n: int) -> str:
     grams = lambda c: f"list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))"
     return f"""
-    with w as (select qa_id as id, regexp_extract_all(lower(min(answerable)), '[a-z0-9]+') as a, regexp_extract_all(lower(min(answer)), '[a-z0-9]+') as b from augmented_qa group by 1),
+    with w as (select qa_id || '#' || row_number() over (partition by qa_id order by answerable, answer) as id, regexp_extract_all(lower(answerable), '[a-z0-9]+') as a, regexp_extract_all(lower(answer), '[a-z0-9]+') as b
+               from (select distinct qa_id, answerable, answer from augmented_qa)),
          x as (select id, g, count(*) as n from (select id, unnest({grams('a')}) as g from w where len(a) >= {n}) group by 1, 2),
          y as (select id, g, count(*) as n from (select id, unnest({grams('b')}) as g from w where len(b) >= {n}) group by 1, 2),
          c as (select x.id, sum(least(x.n, y.n)) as c from x join y using (id, g) group by 1),
@@ -287,7 +292,7 @@ def _rouge_sql(n: int) -> str:
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "augmented_qa", "qa_id", "answerable", "answer")
-    return t.groupBy("qa_id").agg(F.min("answerable").alias("answerable"), F.min("answer").alias("answer"))
+    return dedup.versions(t, "qa_id", "answerable", "answer", out="qa_id")
 
 
 @query(_rouge_sql(1))
@@ -312,8 +317,8 @@ def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
          b as (select *, coalesce(sum(n) over (partition by topic order by prob desc, id rows between unbounded preceding and 1 preceding), 0) as before from n)
     select topic, count(*) as n_titles, sum(n)::bigint as n_tokens, string_agg('Title: ' || title, chr(10) order by prob desc, id) as text from b where before <= 60 group by topic""")
 def topic_title_pack(spark: SparkSession, folder: str) -> DataFrame:
-    model = topics.latest_model(load(spark, folder, "topic_model")).first()["id"]
-    a = load(spark, folder, "article_topic", "article_id", "model", "topic", "topic_prob").where((F.col("model") == model) & F.col("topic_prob").isNotNull())
+    newest = topics.latest_model(load(spark, folder, "topic_model")).select(F.col("id").alias("model"))
+    a = load(spark, folder, "article_topic", "article_id", "model", "topic", "topic_prob").where("topic_prob is not null").join(F.broadcast(newest), "model")  # one row
     c = load(spark, folder, "cleaned_articles", "id", "title").groupBy("id").agg(F.min("title").alias("title")).where("title is not null")
     t = a.join(c, a["article_id"] == c["id"]).select("topic", F.col("topic_prob").alias("prob"), "id", "title").distinct()
     return topics.packed_titles(t, 60)
@@ -321,7 +326,7 @@ def topic_title_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
     with w as (select category as cls, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where category is not null and text is not null),
-         f as (select * from w where term not in (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """)),
+         f as (select * from w where term not in ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'has', 'have', 'he', 'her', 'his', 'if', 'in', 'into', 'is', 'it', 'its', 'no', 'not', 'of', 'on', 'or', 'our', 'she', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'we', 'were', 'which', 'will', 'with', 'you')),
          n as (select cls, term, count(*) as n from f group by 1, 2), c as (select cls, sum(n) as total from n group by 1), t as (select term, sum(n) as f from n group by 1),
          s as (select n.cls, n.term, n.n / c.total * ln(1 + (select avg(total) from c) / t.f) as weight from n join c using (cls) join t using (term))
     select cls, term, round(weight, 6) as weight from (select *, row_number() over (partition by cls order by round(weight, 9) desc, term) as r from s) where r <= 10""")
@@ -340,7 +345,16 @@ def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("url", F.lower(F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1)).alias("host"))
 
 
-@query()
+@query("""
+    with a as (select url from incoming_articles union all select url from cleaned_articles),
+         u as (select url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') as rest from a where url is not null),
+         h as (select url, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '\\.(:|$)', '\\1') as host,
+                      regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as path, regexp_extract(rest, '\\?(.*)$', 1) as q from u),
+         k as (select url, case when regexp_matches(host, '^(www[0-9]?|m)\\.[^.]+\\.') then regexp_replace(host, '^(www[0-9]?|m)\\.', '') else host end as host, path,
+                      list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' and not regexp_matches(lower(split_part(p, '=', 1)),
+                          '^(utm_[a-z0-9_]+|fbclid|gclid|gclsrc|dclid|msclkid|yclid|mc_cid|mc_eid|igshid|twclid|ttclid|wbraid|gbraid|_ga|_gl|ref|ref_src|referrer|cmpid|icid|ncid|ocid|smid|spm|share|source_id|campaign_id|ito|partner)$'))) as p from h),
+         c as (select url, host || path || case when len(p) > 0 then '?' || array_to_string(p, '&') else '' end as page from k)
+    select page, count(*) as n, count(distinct url) as addresses from c group by 1 having count(distinct url) > 1""")
 def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
     """How many articles each page has under its different addresses, where there are several."""
     t = load(spark, folder, "incoming_articles", "url").union(load(spark, folder, "cleaned_articles", "url")).where("url is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,12 +38,18 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and the session is local (tests on one machine) a temporary folder is made and set; it is
+    removed when Python ends. A cluster without a shared folder is refused, since executors do not see each other's disks.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        given = given or "file://" + tempfile.mkdtemp(prefix="newsloom-")
+        if not given:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="newsloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            given = "file://" + folder
         spark.sparkContext.setCheckpointDir(given)
     return given or current
 

@@ -54,6 +54,22 @@ def unseen_urls_within(stream: DataFrame, time: str, delay: str = "1 day", url:
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "5 days") -> DataFrame:
-    """(start, key, n, total): counts per window; rows later than ``late`` behind the newest are dropped."""
+    """(start, key, n): counts per window, given out in append mode once the window is over; rows later than ``late`` behind the newest are dropped."""
     w = F.window(time, width)
     return stream.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def crawl_slices(step: Callable[[DataFrame | None], DataFrame], seconds: float, reset_after: float, until: Callable[[], bool], clock: Callable[[], float]) -> int:
+    """Endless work in slices: ``step`` takes what is known (None at first and after each reset) and gives it back; it is called
+    until ``until`` says so, at most once in ``seconds``, and what is known is forgotten after ``reset_after``. Returns the number of calls."""
+    import time
+
+    known, begun, n = None, clock(), 0
+    while not until():
+        at = clock()
+        if at - begun >= reset_after:
+            known, begun = None, at
+        known = step(known)
+        n += 1
+        time.sleep(max(0.0, seconds - (clock() - at)))
+    return n
