@@ -16,6 +16,8 @@ Stretches are sentences, or parts of a line between them; neighbours of one lang
 close to call takes that of its two nearest languages of which its document has more. The language of a line is that of most of its words. Words are runs of two or more letters that touch no digit and are in
 no address.
 
+Text in another script is of language und, with confidence 0; another language in Latin letters is taken for the nearest.
+
 Cases: null and empty texts have no stretches and a null language; lines without words do not count; ties
 between languages go to the one that comes first in the line; a single short word is judged too, with a low
 confidence; repeated rows are judged each; extra columns are not read.
@@ -38,6 +40,8 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
 #: Most labelled documents per language that the prototypes are fitted on, and their longest text.
 SAMPLE, SAMPLE_CHARS = 400, 4000
 DIMENSION = 8192
+#: Code of stretches in another script than that of LANGUAGES, with confidence 0.
+UNKNOWN = "und"
 #: Confidence below which a stretch is too close to call by itself.
 CLOSE = 0.65
 
@@ -196,6 +200,14 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
     return profiles
 
 
+def foreign(text: str) -> bool:
+    """Whether most letters are of another script than the Latin one, in which all LANGUAGES are written."""
+    if text.isascii():
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(ord(c) > 0x24F and not 0x1E00 <= ord(c) <= 0x1EFF for c in letters) > len(letters)
+
+
 def n_words(text: str) -> int:
     return len(_WORD.findall(_ADDRESS.sub(" ", text)))
 
@@ -252,7 +264,9 @@ def _judge(shared):
             margin = top[:, -1] - top[:, -2] if len(flat) else np.empty(0)
             sure = 1 / (1 + np.exp(-12.0 * margin * np.sqrt(np.maximum(words, 1) / 4))) if len(flat) else np.empty(0)
             best = settled(np.asarray(doc, np.int64), np.asarray(words, np.int64), c, best, sure)
-            lang = pa.array(np.array(LANGUAGES)[best] if len(flat) else [], pa.string())
+            other = np.array([foreign(x) for x in flat], bool)
+            sure = np.where(other, 0.0, sure)
+            lang = pa.array(np.where(other, UNKNOWN, np.array(LANGUAGES)[best]) if len(flat) else [], pa.string())
             seq = np.arange(len(flat)) - np.searchsorted(doc, doc) if len(flat) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -154,7 +154,7 @@ def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     documents, parts = _judged(spark, folder)
     labels = documents.select("doc_id", language.label_language(F.col("lang")).alias("label")).distinct()
-    lines = language.line_languages(parts).withColumnRenamed("id", "doc_id").join(labels, "doc_id")
+    lines = language.line_languages(parts.where(F.col("lang") != language.UNKNOWN)).withColumnRenamed("id", "doc_id").join(labels, "doc_id")
     return lines.where(F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "line_no", "lang").distinct()
 
 

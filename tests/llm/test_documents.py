@@ -184,6 +184,12 @@ def test_held_out_accuracy(spark):
     assert share > 0.9  # some labels are wrong
 
 
+def test_other_scripts_are_of_no_known_language(spark, profiles):
+    texts = ["Совет директоров не будет повышать дивиденды.", "董事会今年不会提高股息。", f"{EN}\nСовет не будет повышать дивиденды."]
+    parts = language.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profiles)
+    assert {(r["id"], r["line_no"]): r["lang"] for r in language.line_languages(parts).collect()} == {(0, 0): "und", (1, 0): "und", (2, 0): "en", (2, 1): "und"}
+
+
 def test_qa_defects(spark):
     import os
 
