@@ -373,6 +373,11 @@ class IncrementalIndex:
             return table.join(keys.toDF(key), key, "left_semi")
         return table.where(F.col(key).isin(sorted(wanted)) if wanted else F.lit(False))
 
+    def drop(self) -> None:
+        """Remove the index's folder. What ``ingest`` gave back does not need it."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     @classmethod
     def build(cls, history: DataFrame, path: str | None = None, id: str = "id", url: str = "url", text: str = "body", threshold: float = 0.5, docs_per_bucket: int = DOCS_PER_BUCKET):
         """A new index over ``history``, the accepted documents."""

@@ -28,6 +28,14 @@ SQL = {
         folded as (select id, source, line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]', '', 'g') as k from lines),
         often as (select source, k from folded where k <> '' group by all having count(distinct id) >= 5)
         select distinct id, line_no from folded join often using (source, k)""",
+    "p2_totals": rf"""
+        select id, len(regexp_extract_all(body, '[{_N}]+'))::bigint as n_words, true as within, true as overlaps_within
+        from (select distinct id, body from scraped_articles where body is not null)""",
+    "p4_sources": r"""
+        with lines as (select distinct id, source, unnest(string_split(body, chr(10))) as line from scraped_articles where source is not null and body is not null),
+        folded as (select id, source, regexp_replace(lower(line), '[^\p{L}\p{N}]', '', 'g') as k from lines),
+        often as (select source, k, count(distinct id) as n from folded where k <> '' group by all having count(distinct id) >= 5)
+        select source, count(*) as n_lines, sum(n)::bigint as n_uses, max(n) as most from often group by 1""",
     "p4_clean": r"""
         with d as (select distinct id, source, body from scraped_articles where body is not null),
         lines as (select id, source, body, unnest(string_split(body, chr(10))) as line, unnest(range(len(string_split(body, chr(10)))))::int as n from d),
@@ -49,6 +57,12 @@ SQL = {
         with n as (select {_TOKENS} as n from documents where text is not null)
         select sum(n)::bigint as tokens, sum(ceil(n / 1024))::bigint as parts, 0::bigint as overfull, true as well_filled,
                count(*) as documents, 0::bigint as divided_needlessly, 0::bigint as placed_twice from n where n > 0""",
+    "p9_sizes": f"""
+        with d as (select source, {_TOKENS} as n from documents where text is not null),
+             n as (select source, count(*) as docs, sum(n)::bigint as n from d group by 1),
+             m as (select m.source, target_share, max_repeats, coalesce(docs, 0) as docs, coalesce(n.n, 0)::bigint as tokens from mix_targets m left join n using (source))
+        select source, docs, tokens, round(target_share * (select sum(tokens) from m))::bigint as target_tokens, max_repeats * tokens as capacity,
+               target_share * (select sum(tokens) from m) <= max_repeats * tokens as reachable from m""",
     "p9_found": f"""
         with n as (select source, sum({_TOKENS}) as n from documents where text is not null group by 1),
              m as (select m.*, coalesce(n.n, 0) as n from mix_targets m left join n using (source))

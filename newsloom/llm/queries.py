@@ -17,12 +17,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Per source, its repeated chunks and how many documents hold them."""
+    """Per source, its repeated lines, in how many documents they stand together, and the most of one."""
     articles = load(spark, folder, "scraped_articles", "id", "source", "body")
     cut = repeated_lines.chunks(articles)
-    sources = cut.select("source", F.explode("chunks").alias("chunk")).distinct()
-    found = repeated_lines.repeated_chunks(cut).join(sources, "chunk")
-    return found.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("n_ids").alias("n_uses"), F.max("n_ids").alias("most"))
+    sources = cut.select("source", F.explode("wholes").alias("line")).distinct()
+    found = repeated_lines.repeated_wholes(cut).join(sources, "line")
+    return found.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum("n_ids").alias("n_uses"), F.max("n_ids").alias("most"))
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +58,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     index = IncrementalIndex.build(history)
     rows = load(spark, folder, "incoming_articles", "batch_no", "arrival_no", "id", "url", "body")
     decided = index.ingest(rows, ["batch_no", "arrival_no"])
+    index.drop()
     return decided.where("repeats").select("batch_no", "id").distinct()
 
 
@@ -90,6 +91,16 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(articles, "body", characters=100_000).select("id", "piece_no", "cut", "n_words", "n_overlap", F.length("text").alias("n_chars"))
 
 
+def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each body keep to: its words once each beside the overlaps, at most 512 in a piece and 64 repeated."""
+    articles = load(spark, folder, "scraped_articles", "id", "body").where("body is not null").distinct()
+    pieces = splitting.pieces(articles.withColumn("key", F.xxhash64("id", "body")), "body")
+    kept = pieces.groupBy("id", "key").agg(
+        F.sum(F.col("n_words") - F.col("n_overlap")).alias("n_words"), (F.max("n_words") <= 512).alias("within"), (F.max("n_overlap") <= 64).alias("overlaps_within"),
+    )
+    return kept.drop("key")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that the packing puts into several containers."""
     packed = packing.pack(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
@@ -121,7 +132,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_placement": p8_placement, "p8_containers": p8_containers}
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_totals": p2_totals, "p8_found": p8_found, "p8_placement": p8_placement, "p8_containers": p8_containers}
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -138,12 +149,17 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p9_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source has, what it should reach and whether it can."""
+    return _mixed(spark, folder)[1].select("source", "docs", "tokens", "target_tokens", "capacity", "reachable")
+
+
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
     """The documents used, and how often."""
     return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
-QUERIES |= {"p9_found": p9_found, "p9_report": p9_report, "p9_selection": p9_selection}
+QUERIES |= {"p9_found": p9_found, "p9_report": p9_report, "p9_sizes": p9_sizes, "p9_selection": p9_selection}
 
 
 def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
