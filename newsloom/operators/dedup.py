@@ -66,12 +66,12 @@ def salted_signatures(docs: DataFrame, n: int = SIGNATURE, k: int = SHINGLE) ->
 
 
 def candidate_pairs(sigs: DataFrame, bands: int = BANDS, n: int = SIGNATURE) -> DataFrame:
-    """(a, b), a < b: texts that agree in a band."""
+    """(a, b), a < b: texts that agree in a band, by a hash of the band and its numbers."""
     rows = n // bands
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.array_join(F.slice("sig", i * rows + 1, rows), " ")))
-    keys = sigs.select("doc", band.alias("band", "bucket"))
+    hashes = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
+    keys = sigs.select("doc", F.explode(hashes).alias("bucket"))
     left, right = keys.withColumnRenamed("doc", "a"), keys.withColumnRenamed("doc", "b")
-    return left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
 
 
 def verified_pairs(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

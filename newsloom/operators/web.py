@@ -43,6 +43,17 @@ def allowed(link: Column, prefixes: list[str]) -> Column:
     return F.lit(False) if not prefixes else link.rlike("^(?:" + "|".join(prefixes) + ")")
 
 
+def permitted(links: DataFrame, rules: DataFrame, link: str = "link") -> DataFrame:
+    """Links that a site's robots may take: rules are (host, prefix, allow); the longest prefix that fits decides, on a tie
+    the one that allows; a site without rules allows all."""
+    parts = links.withColumn("__host", F.lower(F.regexp_extract(link, r"^[a-z]+://([^/?#:]+)", 1))).withColumn("__path", F.regexp_replace(link, r"^[a-z]+://[^/?#]*", ""))
+    path = F.when(F.col("__path").startswith("/"), F.col("__path")).otherwise(F.concat(F.lit("/"), "__path"))
+    r = rules.select(F.lower("host").alias("__host"), "prefix", "allow").distinct()
+    hit = parts.join(r, "__host").where(path.startswith(F.col("prefix")))
+    said = hit.groupBy(link).agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("__allow")).where("not __allow")
+    return links.join(said, link, "left_anti")
+
+
 def frontier(pages: DataFrame, seen: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(link): targets of ``pages`` that are not in ``seen`` (link)."""
     found = pages.select(F.explode(links(F.col(html), F.col(url))).alias("link")).distinct()

@@ -76,7 +76,7 @@ def ir_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BM25 = """
-    with d as (select id || '#' || row_number() over (partition by id order by title, body) as doc_id, title, body from (select distinct id, title, body from cleaned_articles)),
+    with d as (select id || '#' || row_number() over (partition by id order by title nulls first, body nulls first) as doc_id, title, body from (select distinct id, title, body from cleaned_articles)),
          f as (select doc_id, 'title' as field, title as text from d union all select doc_id, 'body', body from d),
          w as (select doc_id, field, regexp_extract_all(lower(text), '[a-z0-9]+') as t from f where text is not null),
          z as (select doc_id, field, len(t) as len, unnest(t) as term from w where len(t) > 0),
@@ -197,6 +197,17 @@ def frontier_new_links(spark: SparkSession, folder: str) -> DataFrame:
     return web.frontier(t.where("html is not null and url is not null"), seen)
 
 
+@query("""
+    with p as (select distinct url as link, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host, regexp_replace(url, '^[a-z]+://[^/?#]*', '') as path from scraped_articles where url is not null)
+    select link from p where not (host like 'www.t%' and starts_with(path, '/2023/')) or (host like 'www.t%' and starts_with(path, '/2023/01/'))""")
+def robots_permitted(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that rules by host and prefix permit: one year of some sites is closed, but for its first month."""
+    t = load(spark, folder, "scraped_articles", "url").where("url is not null").select(F.col("url").alias("link")).distinct()
+    hosts = t.select(F.lower(F.regexp_extract("link", r"^[a-z]+://([^/?#:]+)", 1)).alias("host")).where("host like 'www.t%'").distinct()
+    rules = hosts.select("host", F.inline(F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("allow")) for p, a in (("/2023/", False), ("/2023/01/", True))])))
+    return web.permitted(t, rules)
+
+
 @query("""
     with h as (select id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as headline,
                       nullif(regexp_extract(html, '<meta name="article:published_time" content="([^"]*)"', 1), '') as stamp from scraped_articles where html is not null)

@@ -214,7 +214,20 @@ def dup_components(spark: SparkSession, folder: str) -> DataFrame:
     return connected_components(dedup.similar_pairs(_minhash_docs(spark, folder)))
 
 
-@query()
+_CLEAN = """
+    with recursive o as (select id, title, body, true as known from cleaned_articles where body is not null union all select id, title, body, false from incoming_articles where body is not null),
+         g as (select id, title, body, bool_or(known) as known from o group by all),
+         n as (select id || '#' || row_number() over (partition by id order by title nulls first, body, known) as doc, title, body, known from g),
+         u as (select doc, known, title, body from (select *, row_number() over (partition by body order by known desc, doc) as k from n) where k = 1),
+         w as (select doc, list_filter(string_split(regexp_replace(lower(concat_ws(' ', title, body)), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') as t from u),
+""" + _VERIFIED[_VERIFIED.index("         s as (select doc"):] + """,
+    e as (select a, b from v where similarity >= 0.5 union select b, a from v where similarity >= 0.5),
+    c(node, seen) as (select a, a from e union select e.b, c.seen from c join e on e.a = c.node),
+    z as (select u.doc, u.known, coalesce(q.component, u.doc) as component from u left join (select node, min(seen) as component from c group by node) q on q.node = u.doc)
+    select doc, component from (select *, row_number() over (partition by component order by known desc, doc) as k from z) where k = 1 and not known"""
+
+
+@query(_CLEAN)
 def near_dup_clean(spark: SparkSession, folder: str) -> DataFrame:
     """New articles without near-duplicates among themselves and of the accepted ones."""
     old = load(spark, folder, "cleaned_articles", "id", "title", "body").withColumn("known", F.lit(True))
@@ -281,7 +294,7 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
 def _rouge_sql(n: int) -> str:
     grams = lambda c: f"list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))"
     return f"""
-    with w as (select qa_id || '#' || row_number() over (partition by qa_id order by answerable, answer) as id, regexp_extract_all(lower(answerable), '[a-z0-9]+') as a, regexp_extract_all(lower(answer), '[a-z0-9]+') as b
+    with w as (select qa_id || '#' || row_number() over (partition by qa_id order by answerable nulls first, answer nulls first) as id, regexp_extract_all(lower(answerable), '[a-z0-9]+') as a, regexp_extract_all(lower(answer), '[a-z0-9]+') as b
                from (select distinct qa_id, answerable, answer from augmented_qa)),
          x as (select id, g, count(*) as n from (select id, unnest({grams('a')}) as g from w where len(a) >= {n}) group by 1, 2),
          y as (select id, g, count(*) as n from (select id, unnest({grams('b')}) as g from w where len(b) >= {n}) group by 1, 2),

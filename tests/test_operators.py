@@ -197,3 +197,22 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_slices_are_repeated_and_forgotten():
+    now, seen = [0.0], []
+
+    def step(known):
+        seen.append(known)
+        now[0] += 10
+        return (known or 0) + 1
+
+    assert news.crawl_slices(step, 0, 30, lambda: len(seen) >= 7, lambda: now[0]) == 7
+    assert seen == [None, 1, 2, None, 1, 2, None]
+
+
+def test_rules_of_robots(spark):
+    links = spark.createDataFrame([(x,) for x in ("https://a.example", "https://a.example/p/1", "https://a.example/p/open/2", "https://b.example/p/1")], "link string")
+    rules = spark.createDataFrame([("A.example", "/p/", False), ("a.example", "/p/open", True), ("a.example", "/p/open", False)], "host string, prefix string, allow boolean")
+    got = {r["link"] for r in web.permitted(links, rules).collect()}
+    assert got == {"https://a.example", "https://a.example/p/open/2", "https://b.example/p/1"}
