@@ -223,14 +223,21 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["node", "key"])
 
 
-def alike(texts: DataFrame, least: float) -> DataFrame:
+def alike(texts: DataFrame, least: float, asked: DataFrame | None = None) -> DataFrame:
     """(node, other) of distinct masked texts (node, text): all pairs that share a band and are verified as this similar
-    by their words, in both directions, and each text with itself."""
+    by their words, in both directions, and each text with itself; with ``asked`` (node) only what is alike to these."""
     keys = checkpointed(texts.mapInArrow(_bands, "node long, key long"))
-    pairs = keys.join(keys.withColumnRenamed("node", "other"), "key").where("node < other").select("node", "other").distinct()
+    others = keys.withColumnRenamed("node", "other")
+    if asked is None:
+        pairs = keys.join(others, "key").where("node < other")
+    else:
+        pairs = keys.join(asked, "node", "left_semi").join(others, "key").where("node <> other")
+    pairs = pairs.select("node", "other").distinct()
     words = texts.select("node", F.array_distinct(F.filter(F.split("text", " "), lambda w: ~w.isin("n", "9"))).alias("w"))
     both = pairs.join(words, "node").join(words.select(F.col("node").alias("other"), F.col("w").alias("v")), "other")
     close = both.where(F.size(F.array_intersect("w", "v")) >= least * F.size(F.array_union("w", "v"))).select("node", "other")
+    if asked is not None:
+        return close.unionByName(asked.select("node", F.col("node").alias("other")))
     ends = F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other")))
     return close.select(F.inline(ends)).unionByName(texts.select("node", F.col("node").alias("other")))
 
@@ -257,7 +264,7 @@ def refusals(features: DataFrame) -> DataFrame:
     by_template = uses.groupBy("node", "cluster").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("own"))
     texts = uses.select("node", F.col("template").alias("text")).distinct()
     asked = uses.where("not own").select("node").distinct()
-    near = alike(texts, ALIKE).join(asked, "node", "left_semi")
+    near = alike(texts, ALIKE, asked)
     spread = near.join(by_template.withColumnRenamed("node", "other"), "other").groupBy("node", "cluster").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     spread = spread.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("own").alias("own"))
     chosen = spread.where((F.col("n") >= LEAST_ROWS) & (F.col("most") <= MOST_SHARE * F.col("n")) & (F.col("own") <= MOST_OWN * F.col("n")))
