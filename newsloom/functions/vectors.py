@@ -22,3 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 def rrf(rank: Column, k: int = 60, weight: float = 1.0) -> Column:
     """Reciprocal-rank score of a 1-based rank; absent ranks give 0."""
     return F.coalesce(F.lit(weight) / (F.lit(k) + rank), F.lit(0.0))
+
+
+def unit(a: Column) -> Column:
+    """The vector over its length, in double; null for one of length 0."""
+    n = F.nullif(norm(a), F.lit(0.0))
+    return F.transform(F.arrays_zip(a.alias("a"), F.array_repeat(n, F.size(a)).alias("n")), lambda p: p["a"].cast("double") / p["n"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +76,53 @@ def rouge_l(df: DataFrame, id: str, label: str, predicted: str) -> DataFrame:
     return t.select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
+def union_of_common(sentence: list[str], others: list[list[str]]) -> set[int]:
+    """Places of a sentence's words that lie in its longest common subsequence with any of the others."""
+    out: set[int] = set()
+    for b in others:
+        rows = [[0] * (len(b) + 1)]
+        for x in sentence:
+            last, row = rows[-1], [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+            rows.append(row)
+        i, j = len(sentence), len(b)
+        while i and j:
+            if sentence[i - 1] == b[j - 1]:
+                out.add(i - 1)
+                i, j = i - 1, j - 1
+            elif rows[i - 1][j] >= rows[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
+def rouge_lsum(df: DataFrame, id: str, label: str, predicted: str) -> DataFrame:
+    """(id, precision, recall, f1) by lines: the words of each line of the label in a longest common subsequence with any
+    line of the prediction, each word as often as both have it."""
+
+    @F.pandas_udf("struct<c:int,a:int,b:int>")
+    def common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            mine, theirs = ([re.findall("[a-z0-9]+", line) for line in (t or "").lower().split("\n")] for t in (x, y))
+            have, said = (Counter(w for line in t for w in line) for t in (mine, theirs))
+            size, other, hits = have.total(), said.total(), 0
+            for line in mine:
+                for i in sorted(union_of_common(line, theirs)):
+                    if have[line[i]] > 0 and said[line[i]] > 0:
+                        hits += 1
+                        have[line[i]] -= 1
+                        said[line[i]] -= 1
+            rows.append((hits, size, other))
+        return pd.DataFrame(rows, columns=["c", "a", "b"])
+
+    t = df.select(F.col(id).alias("id"), common(F.col(label), F.col(predicted)).alias("x")).select("id", "x.*")
+    p, r = F.coalesce(F.try_divide("c", "b"), F.lit(0.0)), F.coalesce(F.try_divide("c", "a"), F.lit(0.0))
+    return t.select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+
+
 def ranking_metrics(ranked: DataFrame, n_relevant: DataFrame, ks: tuple[int, ...] = (2, 3)) -> DataFrame:
     """(k, accuracy, precision, recall, ndcg, mrr, map) of (query_id, rank, hit), means over the queries of
     ``n_relevant`` (query_id, n)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import load
 from newsloom.functions.text import STOPWORDS, jaccard, word_tokens
+from newsloom.functions.vectors import dot, unit
 from newsloom.operators import dedup, evaluation, language_tools, retrieval, topics, web
 from newsloom.session import checkpointed, shared_path
 from newsloom.streaming import news
@@ -75,6 +76,17 @@ def ir_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.ranking_metrics(r, n)
 
 
+@query("""
+    select q.vec_id as query_id, d.label, round(avg(list_cosine_similarity(q.embedding::double[], d.embedding::double[])), 6) as similarity
+    from embeddings q join embeddings d on q.vec_id % 50 = 0 group by 1, 2""")
+def mean_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean cosine of each class to each query: the query by the mean of the class's unit vectors, without pairs."""
+    q, d = _vectors(spark, folder)
+    mean = topics.mean_vectors(d.select("label", unit(F.col("dv")).alias("u")), "label", "u")
+    pairs = q.crossJoin(F.broadcast(mean))  # ten classes
+    return pairs.select("query_id", "label", F.round(dot(unit(F.col("qv")), F.col("mean")), 6).alias("similarity"))
+
+
 _BM25 = """
     with d as (select id || '#' || row_number() over (partition by id order by title nulls first, body nulls first) as doc_id, title, body from (select distinct id, title, body from cleaned_articles)),
          f as (select doc_id, 'title' as field, title as text from d union all select doc_id, 'body', body from d),

@@ -45,6 +45,14 @@ def recent_articles_window(spark: SparkSession, folder: str) -> DataFrame:
     return t.where(F.col("scraped_at") >= since).select("id", "source")
 
 
+@query("select distinct id, title from cleaned_articles where epoch_us(published) >= (select max(epoch_us(published)) from cleaned_articles) - 183 * 86400000000::bigint and body is not null")
+def fit_window(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles of the last half year, which a topic model is fitted on."""
+    t = load(spark, folder, "cleaned_articles", "id", "title", "body", "published")
+    since = t.agg((F.max("published") - F.expr("interval 183 days")).alias("since"))
+    return t.where("body is not null").crossJoin(F.broadcast(since)).where("published >= since").select("id", "title").distinct()  # one row
+
+
 @query("""
     select a.id, exists(select 1 from article_topic t where t.article_id = a.id) as known
     from (select distinct id from cleaned_articles where epoch_us(published) < 1732665600000000) a""")
@@ -312,6 +320,13 @@ def ids_after_max(spark: SparkSession, folder: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(top)).select("doc_id", (F.col("top") + F.col("n") + 1).alias("new_id"))  # one row
 
 
+@query("select doc_id, row_number() over (order by sha1(doc_id::varchar || '|93')) - 1 as place from documents")
+def full_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows in the order of a seeded hash, with their places."""
+    t = load(spark, folder, "documents", "doc_id").withColumn("h", F.sha1(F.concat(F.col("doc_id").cast("string"), F.lit("|93"))))
+    return curation.numbered(t, "h").select("doc_id", F.col("n").alias("place"))
+
+
 @query("select doc_id from documents order by sha1(doc_id::varchar || '|93'), doc_id limit 100")
 def capped_sample(spark: SparkSession, folder: str) -> DataFrame:
     """An exact-size sample without replacement, in the order of a seeded hash (a sampling operator)."""
@@ -377,6 +392,18 @@ def nested_explode(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("l_orderkey", F.posexplode("parts").alias("p", "x")).select("l_orderkey", (F.col("p") + 1).alias("pos"), F.col("x.l_partkey").alias("part"))
 
 
+@query("""
+    with p as (select l_orderkey, l_linenumber % 3 as ord, arg_max(l_partkey::varchar, (l_linenumber, l_partkey::varchar)) as part from lineitem group by 1, 2)
+    select l_orderkey, concat_ws(' ', max(part) filter (ord = 2), max(part) filter (ord = 0)) as said from p group by 1""")
+def nested_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Within each document, the paragraphs that a question names by their order, the last of equal ones, as one text."""
+    t = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    paragraph = F.struct("l_linenumber", (F.col("l_linenumber") % 3).alias("ord"), F.col("l_partkey").cast("string").alias("text"))
+    docs = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(paragraph)).alias("paragraphs"))  # the lines of an order
+    named = F.transform(F.array(F.lit(2), F.lit(0)), lambda r: F.try_element_at(F.filter("paragraphs", lambda p: p["ord"] == r), F.lit(-1))["text"])
+    return docs.select("l_orderkey", F.array_join(named, " ").alias("said"))
+
+
 @query("""
     select id, model, topic, model || '-' || topic as key from (
         select topic_model.id, s.model, s.topic from topic_summary s join topic_model on topic_model.id = s.model where s.summary is not null)""")

@@ -323,6 +323,14 @@ def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.rouge_l(_pairs(spark, folder), "qa_id", "answerable", "answer")
 
 
+@query()
+def rouge_lsum(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries against the beginning of their articles, line by line."""
+    t = load(spark, folder, "cleaned_articles", "id", "summary", "title", "body").where("summary is not null and body is not null")
+    t = dedup.versions(t, "id", "summary", "title", "body", out="id")
+    return evaluation.rouge_lsum(t.withColumn("lead", F.concat_ws("\n", "title", F.substring_index("body", "\n\n", 2))), "id", "summary", "lead")
+
+
 @query("""
     with t as (select distinct t.topic, t.topic_prob as prob, c.id, c.title from article_topic t join (select id, min(title) as title from cleaned_articles group by id) c on c.id = t.article_id
                where t.model = (select id from topic_model order by fit_date desc, id limit 1) and t.topic_prob is not null and c.title is not null),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import quantiles
-from newsloom.operators import blocks, coref, curation, english, generation, language_tools, market, retrieval, topics, web
+from newsloom.operators import blocks, coref, curation, english, evaluation, generation, language_tools, market, retrieval, topics, web
 from newsloom.session import shared_path
 from newsloom.sources import tables
 from newsloom.streaming import news
@@ -216,3 +216,27 @@ def test_rules_of_robots(spark):
     rules = spark.createDataFrame([("A.example", "/p/", False), ("a.example", "/p/open", True), ("a.example", "/p/open", False)], "host string, prefix string, allow boolean")
     got = {r["link"] for r in web.permitted(links, rules).collect()}
     assert got == {"https://a.example", "https://a.example/p/open/2", "https://b.example/p/1"}
+
+
+def test_rouge_by_lines_and_longest_common():
+    import random
+
+    rng = random.Random(1)
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        assert evaluation.longest_common(a, b) == brute(a, b) == len(evaluation.union_of_common(a, [b]))
+
+
+def test_rouge_lsum(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e", "d e\na c"), (2, None, "x"), (3, "a a b", "a\na")], "id int, y string, p string")
+    got = {r["id"]: (r["precision"], r["recall"]) for r in evaluation.rouge_lsum(df, "id", "y", "p").collect()}
+    assert got == {1: (1.0, 0.8), 2: (0.0, 0.0), 3: (0.5, 0.333333)}
