@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,23 @@ from newsloom.llm import textvec as V
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of text and binary values in a slice, about; a longer text is a slice by itself.
+SLICE_BYTES = 16 << 20
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that flat arrays over their texts stay small; whole texts in any case."""
+    """Smaller batches by rows and by bytes, so that flat arrays over their texts stay small; whole texts in any case."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto, i = np.cumsum(size), 0
+        while i < b.num_rows:
+            before = upto[i - 1] if i else 0
+            j = min(i + rows, max(i + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right"))), b.num_rows)
+            yield b.slice(i, j - i)
+            i = j
 
 
 def set_hash(h: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -56,3 +56,15 @@ def test_long_text():
     t = " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(200_000))
     h, off = V.words([t, "x"])
     assert off.tolist() == [0, 200_000, 200_001]
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from newsloom.llm import similarity
+
+    texts = ["x" * n for n in (1, 30 << 20, 5, 9 << 20, 9 << 20, 0, 1)] + [None] + ["y"] * 20
+    b = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    got = list(similarity.slices(iter([b, b.slice(0, 0)]), 10))
+    assert [x for s in got for x in s.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(s.num_rows <= 10 and (s.num_rows == 1 or sum(len(t or "") for t in s.column(1).to_pylist()) <= similarity.SLICE_BYTES) for s in got)
