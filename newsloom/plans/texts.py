@@ -274,6 +274,15 @@ def aug_docs_qrels(spark: SparkSession, folder: str) -> DataFrame:
     return curation.augmented_docs(d, rels, F.upper("doc_text"))[1]
 
 
+@query("""
+    with d as (select doc_id, text, row_number() over (order by doc_id) as n, (select max(doc_id) from documents where text is not null) as top from documents where text is not null)
+    select doc_id, text as doc_text from d union all select top + n, text || ' again' from d""")
+def aug_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and their rewritten copies under new ids."""
+    d = load(spark, folder, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.col("text").alias("doc_text"))
+    return curation.augmented_docs(d, d.select("doc_id", F.lit(1.0).alias("relevance")), F.concat("doc_text", F.lit(" again")))[0]
+
+
 @query("select json_object('input_text', answerable, 'output_text', answer)::varchar as value from augmented_qa where answer is not null and answerable is not null")
 def jsonl_export(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "augmented_qa", "answerable", "answer").where("answer is not null and answerable is not null")
