@@ -14,6 +14,10 @@ from newsloom.session import checkpointed
 
 SHINGLE, SIGNATURE, BANDS, THRESHOLD, SEED = 10, 50, 10, 0.5, 1631996
 PRIME = 2_147_483_647
+#: Members of a key in a block, about: a task joins one block with another.
+SPLIT = 2_000
+#: Up to so many rows a table of keys is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -65,13 +69,34 @@ def salted_signatures(docs: DataFrame, n: int = SIGNATURE, k: int = SHINGLE) ->
     return each.groupBy("doc").agg(*mins).select("doc", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 
 
+def bucket_pairs(keys: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(a, b), a < b: the pairs of docs that share a key, each once, of distinct rows (key, doc).
+
+    Members are counted before they are joined. Most keys have one member and go; one of two gives its pair at once; of
+    the keys with the very same members, as the many keys that near copies share, one is kept. The members of what is left
+    are dealt to blocks of about ``split`` and each block is joined with each, so that a hot key is spread over tasks.
+    """
+    each = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"),
+        F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"),
+    ).where("n > 1")
+    each = checkpointed(each)
+    two = each.where("n = 2").select("a", "b")
+    kept = checkpointed(each.where("n > 2").groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+    small = kept.count() <= BROADCAST_ROWS
+    members = keys.join(F.broadcast(kept) if small else kept, "key").withColumn("blocks", F.ceil(F.col("n") / split).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    left = members.select("key", F.col("doc").alias("u"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = members.select("key", F.col("doc").alias("v"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    more = left.join(right, ["key", "i", "j"]).where("u <> v and (i < j or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return two.unionByName(more).distinct()
+
+
 def candidate_pairs(sigs: DataFrame, bands: int = BANDS, n: int = SIGNATURE) -> DataFrame:
     """(a, b), a < b: texts that agree in a band, by a hash of the band and its numbers."""
     rows = n // bands
     hashes = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
-    keys = sigs.select("doc", F.explode(hashes).alias("bucket"))
-    left, right = keys.withColumnRenamed("doc", "a"), keys.withColumnRenamed("doc", "b")
-    return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
+    return bucket_pairs(sigs.select("doc", F.explode(hashes).alias("key")))
 
 
 def verified_pairs(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

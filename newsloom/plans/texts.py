@@ -11,6 +11,7 @@ from newsloom.functions.stage import staged
 from newsloom.operators import curation, dedup, evaluation, topics
 from newsloom.operators.graphs import connected_components
 from newsloom.operators.urls import canonical_url
+from newsloom.session import checkpointed
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -194,7 +195,7 @@ _BANDED = _MINHASH + ", k as (" + " union all ".join(
 
 @query(_BANDED + " select a, b from p")
 def lsh_candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.candidate_pairs(dedup.signatures(_minhash_docs(spark, folder)))
+    return dedup.candidate_pairs(checkpointed(dedup.signatures(_minhash_docs(spark, folder))))
 
 
 _VERIFIED = _BANDED + ", l as (select doc, [" + ", ".join(f"m{i}" for i in range(50)) + """] as sig from m),

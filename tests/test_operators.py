@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import quantiles
-from newsloom.operators import blocks, coref, curation, english, evaluation, generation, language_tools, market, retrieval, topics, web
+from newsloom.operators import blocks, coref, curation, dedup, english, evaluation, generation, language_tools, market, retrieval, topics, web
 from newsloom.session import shared_path
 from newsloom.sources import tables
 from newsloom.streaming import news
@@ -240,3 +240,18 @@ def test_rouge_lsum(spark):
     df = spark.createDataFrame([(1, "a b c\nd e", "d e\na c"), (2, None, "x"), (3, "a a b", "a\na")], "id int, y string, p string")
     got = {r["id"]: (r["precision"], r["recall"]) for r in evaluation.rouge_lsum(df, "id", "y", "p").collect()}
     assert got == {1: (1.0, 0.8), 2: (0.0, 0.0), 3: (0.5, 0.333333)}
+
+
+def test_bucket_pairs(spark):
+    """Keys of one, two, equal and many members, the last in blocks; of numbers and of strings."""
+    import random
+
+    rng = random.Random(5)
+    buckets = {0: {1}, 1: {1, 2}, 2: {1, 2}, 3: {3, 4, 5}, 4: {3, 4, 5}, **{k: {rng.randrange(-40, 40) for _ in range(rng.randrange(1, 25))} for k in range(10, 40)}}
+    want = {(a, b) for m in buckets.values() for a in m for b in m if a < b}
+    keys = spark.createDataFrame([(k, d) for k, m in buckets.items() for d in m], "key long, doc long")
+    got = [(r["a"], r["b"]) for r in dedup.bucket_pairs(keys, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    named = {(r["a"], r["b"]) for r in dedup.bucket_pairs(keys.withColumn("doc", F.col("doc").cast("string")), 3).collect()}
+    assert named == {tuple(sorted((str(a), str(b)))) for a, b in want}
+    assert dedup.bucket_pairs(keys.limit(0)).count() == 0
