@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import textvec as V
 from newsloom.llm.similarity import BROADCAST_ROWS, set_hash, slices, verified
+from newsloom.operators.dedup import bucket_pairs
 from newsloom.operators.graphs import connected_components
 from newsloom.session import checkpointed
 
 CHUNKS, CHUNK, ERRORS = 32, 5, 1
 SYMBOLS = CHUNKS * CHUNK
-#: Members of a key in a block, about: a task joins one block with another.
-SPLIT = 2_000
 _SEEDS = V.mix(np.arange(1, SYMBOLS + 1, dtype=V.U) * V.P1)
 _FACTOR = (_SEEDS >> V.U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = _SEEDS.astype(np.uint32)
@@ -108,28 +107,6 @@ def describe(df: DataFrame, id: str, text) -> DataFrame:
     return rows.mapInArrow(_describe, "id string, doc long, sig binary")
 
 
-def bucket_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of docs that share a key, of rows (key, doc), each once per key.
-
-    Members are counted before they are joined. Most keys have one member and go; one of two gives its pair at once; of
-    the keys with the very same members, as the many keys that near copies share, one is kept. The members of what is left are dealt to
-    blocks of about SPLIT and each block is joined with each, so that a hot key is spread over tasks.
-    """
-    each = keys.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.bit_xor("doc").alias("x"), F.bit_xor(F.xxhash64("doc")).alias("y"),
-    ).where("n > 1")
-    each = checkpointed(each)
-    two = each.where("n = 2").select("a", "b")
-    kept = checkpointed(each.where("n > 2").groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
-    small = kept.count() <= BROADCAST_ROWS
-    members = keys.join(F.broadcast(kept) if small else kept, "key").withColumn("blocks", F.ceil(F.col("n") / SPLIT).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    left = members.select("key", F.col("doc").alias("u"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = members.select("key", F.col("doc").alias("v"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-    more = left.join(right, ["key", "i", "j"]).where("u <> v and (i < j or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    return two.unionByName(more).distinct()
-
-
 def class_pairs(described: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) between representatives of different classes. ``texts``: (id, text)."""
     classes = described.groupBy("doc").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))

@@ -3,7 +3,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import near_duplicates
 from newsloom.llm.incremental import IncrementalIndex
 from newsloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 
@@ -48,18 +47,6 @@ def test_pairs_against_brute_force(spark):
     assert near_duplicate_pairs(df.limit(0), "id", F.col("body")).count() == 0
 
 
-def test_bucket_pairs(spark, monkeypatch):
-    """Keys of one, two, equal and many members, the last in blocks."""
-    monkeypatch.setattr(near_duplicates, "SPLIT", 3)
-    rng = random.Random(5)
-    buckets = {0: {1}, 1: {1, 2}, 2: {1, 2}, 3: {3, 4, 5}, 4: {3, 4, 5}, **{k: {rng.randrange(-40, 40) for _ in range(rng.randrange(1, 25))} for k in range(10, 40)}}
-    want = {(a, b) for m in buckets.values() for a in m for b in m if a < b}
-    keys = spark.createDataFrame([(k, d) for k, m in buckets.items() for d in m], "key long, doc long")
-    got = [(r["a"], r["b"]) for r in near_duplicates.bucket_pairs(keys).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert near_duplicates.bucket_pairs(keys.limit(0)).count() == 0
-
-
 def test_groups(spark):
     t = text(100)
     rows = [("a", t), ("b", t), ("c", t + " and more"), ("d", text(100)), ("e", None)]
