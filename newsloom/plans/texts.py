@@ -258,7 +258,20 @@ def noise_draws(spark: SparkSession, folder: str) -> DataFrame:
     return curation.noise_draws(t, "id", F.size(F.split("body", "\n\n")))
 
 
-@query()
+@query("""
+    with d as (select id || '#' || row_number() over (partition by id order by body, summary nulls first) as id, string_split(body, chr(10) || chr(10)) as chunks, summary as response
+               from (select distinct id, body, summary from cleaned_articles where body is not null)),
+         r as (select *, row_number() over (order by id) - 1 as n, count(*) over () as total from d),
+         s as (select id, n, total, unnest(range(0, 7 - len(chunks))) as slot from r where len(chunks) < 7 and total > 1),
+         x as (select s.id, o.chunks[('0x' || left(sha1(s.id || '|' || s.slot || '|noise-chunk'), 7))::bigint % len(o.chunks) + 1] as chunk
+               from s join r o on o.n = (s.n + 1 + ('0x' || left(sha1(s.id || '|' || s.slot || '|noise'), 7))::bigint % (s.total - 1)) % s.total),
+         l as (select id, list(chunk) as noise from x group by 1),
+         p as (select id, n, total, unnest(range(1, 2 + ('0x' || left(sha1(id || '|noise-count'), 7))::bigint % 7)) as slot from r where ('0x' || left(sha1(id || '|noise-pure'), 7))::bigint < 0.1 * 268435456 and total > 1),
+         y as (select p.id, p.slot, o.chunks[('0x' || left(sha1(p.id || '|' || p.slot || '|noise-pure-chunk'), 7))::bigint % len(o.chunks) + 1] as chunk
+               from p join r o on o.n = (p.n + 1 + ('0x' || left(sha1(p.id || '|' || p.slot || '|noise-pure-other'), 7))::bigint % (p.total - 1)) % p.total)
+    select id, 'og' as kind, array_to_string(list_transform(list_sort(list_transform(chunks[1:7], lambda x: {'h': sha1(x || 'og'), 'x': x})), lambda s: s.x), chr(10) || chr(10)) as body, response from r
+    union all select r.id, 'aug', array_to_string(list_transform(list_sort(list_transform(list_concat(chunks[1:7], noise), lambda x: {'h': sha1(x || 'aug'), 'x': x})), lambda s: s.x), chr(10) || chr(10)), response from r join l using (id)
+    union all select id, 'noise', string_agg(chunk, chr(10) || chr(10) order by slot), 'Impossible to answer with given information' from y group by 1""")
 def noise_injection(spark: SparkSession, folder: str) -> DataFrame:
     """Articles with their own chunks, padded with those of others, and of others only, with the summary as answer."""
     t = load(spark, folder, "cleaned_articles", "id", "body", "summary").where("body is not null")
@@ -328,7 +341,15 @@ def rouge_2(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.rouge_n(_pairs(spark, folder), "qa_id", "answerable", "answer", 2)
 
 
-@query()
+@query("""
+    with w as (select qa_id || '#' || row_number() over (partition by qa_id order by answerable nulls first, answer nulls first) as id,
+                      regexp_extract_all(lower(coalesce(answerable, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(answer, '')), '[a-z0-9]+') as b
+               from (select distinct qa_id, answerable, answer from augmented_qa)),
+         e as (select id, len(a) as na, len(b) as nb, list_transform(a, lambda x: list_transform(b, lambda y: (y = x)::int)) as same, list_transform(b, lambda y: 0) as zero from w),
+         c as (select id, na, nb, coalesce(list_max(list_reduce(same, lambda row, eq: list_transform(range(1, len(row) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+                      lambda k: case when eq[k] = 1 then coalesce(row[k - 1], 0) + 1 else row[k] end))), zero)), 0) as c from e),
+         r as (select id, coalesce(c / nullif(nb, 0), 0) as p, coalesce(c / nullif(na, 0), 0) as r from c)
+    select id, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from r""")
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.rouge_l(_pairs(spark, folder), "qa_id", "answerable", "answer")
 
