@@ -351,6 +351,15 @@ def _chain(rows: pa.Table, near: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([x for x, _ in out], pa.string()), "verdict": pa.array([x for _, x in out], pa.bool_())})
 
 
+def _page_key(page):
+    return F.xxhash64(F.lit("page"), page)
+
+
+def _keys():
+    """What a row shares with others: its class of equal texts and its page."""
+    return F.array_compact(F.array(F.col("doc"), F.when(F.col("page").isNotNull(), _page_key(F.col("page")))))
+
+
 class IncrementalIndex:
     """The index of what is accepted, in ``path``; ``threshold`` is the similarity that makes a repeat."""
 
@@ -418,13 +427,30 @@ class IncrementalIndex:
         """Posting blocks of rows with doc, shingles and part."""
         return sets.where("shingles is not null").select("doc", "shingles", "part").mapInArrow(_post(self.order, self.buckets, self.threshold), _BLOCK)
 
+    def _grid(self, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(stored blocks of the probe's buckets, (bucket, np, ni): into how many sub-buckets probe and all blocks are dealt).
+
+        The sizes of NAMED buckets at most pass through the driver as numbers; beyond, they are joined."""
+        schema = _BLOCK.replace("bucket int, ", "")
+        mine = probe.groupBy("bucket").agg(F.sum("held").alias("m"))
+        sizes = {r[0]: r[1] for r in mine.limit(NAMED + 1).collect()}
+        if len(sizes) > NAMED:
+            stored = self.hit("postings", schema, "bucket", probe.select("bucket"))
+            other = stored.groupBy("bucket").agg(F.sum("held").alias("o"))
+            n = lambda c: F.ceil(c / LIMIT).cast("int")
+            both = mine.join(other, "bucket", "left")
+            return stored, both.select("bucket", n(F.col("m")).alias("np"), n(F.col("m") + F.coalesce("o", F.lit(0))).alias("ni"))
+        table = self.read("postings", f"{schema}, bucket int")
+        stored = table.where(F.col("bucket").isin(sorted(sizes)) if sizes else F.lit(False))
+        other = {r[0]: r[1] for r in stored.groupBy("bucket").agg(F.sum("held")).collect()}
+        rows = [(b, -(-m // LIMIT), -(-(m + other.get(b, 0)) // LIMIT)) for b, m in sizes.items()]
+        return stored, F.broadcast(self.spark.createDataFrame(rows, "bucket int, np int, ni int"))
+
     def candidates(self, probe: DataFrame) -> DataFrame:
         """(a, b, pa, pb, stored): classes of the probe blocks and of stored or other probe blocks that share a prefix
         token and fit, and their parts."""
-        stored = self.hit("postings", _BLOCK.replace("bucket int, ", ""), "bucket", probe.select("bucket"))
+        stored, grid = self._grid(probe)
         every = stored.withColumn("stored", F.lit(True)).unionByName(probe.withColumn("stored", F.lit(False)))
-        n = lambda c: F.ceil(F.sum("held") / LIMIT).cast("int").alias(c)
-        grid = probe.groupBy("bucket").agg(n("np")).join(every.groupBy("bucket").agg(n("ni")), "bucket")
         deal = lambda c: F.pmod(F.xxhash64("token"), F.col(c)).cast("int")
         to_all = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = probe.withColumn("stored", F.lit(False)).join(grid, "bucket").withColumn("p", deal("np")).withColumn("i", to_all("ni"))
@@ -469,13 +495,12 @@ class IncrementalIndex:
         hits, near = self.near(cut)
         near = checkpointed(near)
 
-        hits = hits.select("doc", F.lit(True).alias("old_doc"))
         asked = facts.where("page is not null").select("page").distinct()
         taken = self.hit("pages", "page string", "slice", asked.select(self._slice(F.col("page"))))
-        taken = taken.select("page").join(asked, "page", "left_semi").distinct().select("page", F.lit(True).alias("old_page"))
-        state = facts.join(hits, "doc", "left").join(taken, "page", "left")
-        rejected = F.col("old_doc").isNotNull() | F.col("old_page").isNotNull()
-        state = state.select("seq", "id", "doc", "page", F.when(rejected, F.lit(True)).alias("repeats"))
+        taken = taken.select("page").join(asked, "page", "left_semi").select(_page_key(F.col("page")).alias("key"))
+        old = hits.select(F.col("doc").alias("key")).union(taken).distinct().withColumn("old", F.lit(True))
+        each = facts.select("seq", "id", "doc", "page", F.explode_outer(_keys()).alias("key")).join(old, "key", "left")
+        state = each.groupBy("seq", "id", "doc", "page").agg(F.max("old").alias("repeats"))
         decided = self._decide(state, near)
         fresh = decided.where("not repeats")
         self._accept(cut.join(fresh.select("doc").distinct(), "doc", "left_semi"), fresh.select("page"))
@@ -487,16 +512,15 @@ class IncrementalIndex:
         What is open after ROUNDS of them is decided in order, each connected chain in one task, unless one is over CHAIN
         rows: then more rounds shorten it first."""
         near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = 0
+        state = checkpointed(state)
         while True:
             for _ in range(ROUNDS):
                 state = checkpointed(IncrementalIndex._round(state, near))
-                done += 1
                 if state.where("repeats is null").isEmpty():
                     return state
             state = checkpointed(IncrementalIndex._round(state, near, False))  # none left open has an accepted relative before it
             left = state.where("repeats is null")
-            page = F.xxhash64(F.lit("page"), "page")
+            page = _page_key(F.col("page"))
             open_docs = left.where("doc is not null").select("doc").distinct()
             links = near.join(open_docs.select(F.col("doc").alias("a")), "a", "left_semi").join(open_docs.select(F.col("doc").alias("b")), "b", "left_semi")
             node = F.xxhash64(F.lit("row"), "id")
@@ -516,17 +540,12 @@ class IncrementalIndex:
     @staticmethod
     def _round(state: DataFrame, near: DataFrame, accept: bool = True) -> DataFrame:
         acc, unk = F.col("repeats") == False, F.col("repeats").isNull()  # noqa: E712
-
-        def least(key: str, prefix: str) -> DataFrame:
-            return state.where(F.col(key).isNotNull()).groupBy(key).agg(
-                F.min(F.when(acc, F.col("seq"))).alias(f"{prefix}_acc"), F.min(F.when(unk, F.col("seq"))).alias(f"{prefix}_unk")
-            )
-
-        docs = least("doc", "d")
-        via = near.join(docs.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("d_acc").alias("n_acc"), F.min("d_unk").alias("n_unk"))
-        seen = state.where(unk).join(docs, "doc", "left").join(least("page", "p"), "page", "left").join(via, "doc", "left")
+        each = state.select("seq", "repeats", F.explode(_keys()).alias("key"))
+        least = each.groupBy("key").agg(F.min(F.when(acc, F.col("seq"))).alias("acc"), F.min(F.when(unk, F.col("seq"))).alias("unk"))
+        via = near.join(least.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), "acc", "unk")
+        told = least.unionByName(via).groupBy("key").agg(F.min("acc").alias("acc"), F.min("unk").alias("unk"))
+        seen = state.where(unk).select("seq", "id", "doc", "page", F.explode_outer(_keys()).alias("key")).join(told, "key", "left")
+        seen = seen.groupBy("seq", "id", "doc", "page").agg(F.min("acc").alias("acc"), F.min("unk").alias("unk"))
         before = lambda x: F.coalesce(F.col(x) < F.col("seq"), F.lit(False))
-        repeats = before("d_acc") | before("p_acc") | before("n_acc")
-        open_ = before("d_unk") | before("p_unk") | before("n_unk")
-        now = seen.select("seq", "id", "doc", "page", F.when(repeats, F.lit(True)).when(~open_ & F.lit(accept), F.lit(False)).alias("repeats"))
-        return state.where(~unk).unionByName(now)
+        verdict = F.when(before("acc"), F.lit(True)).when(~before("unk") & F.lit(accept), F.lit(False))
+        return state.where(~unk).unionByName(seen.select("seq", "id", "doc", "page", verdict.alias("repeats")))
