@@ -109,11 +109,19 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25(docs, q)
 
 
+def _top(spark: SparkSession, folder: str, k: int, *names: str) -> DataFrame:
+    t = load(spark, folder, "cleaned_articles", "id", "title", "body").repartition("id")  # versions shuffles no more
+    d = dedup.versions(t, "id", "title", "body", out="id")
+    fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in names]))
+    docs = d.select(F.col("id").alias("doc_id"), fields).where("text is not null")
+    q = load(spark, folder, "incoming_articles", "arrival_no", "title").where("arrival_no % 50 = 0").select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
+    return retrieval.bm25_top(docs, q, k)
+
+
 @query(_BM25 + """ select query_id, doc_id, rank::int as rank, round(score, 5) as score from (
     select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank from sc where field = 'body') where rank <= 10""")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    s = _scores(spark, folder).where("field = 'body'")
-    return retrieval.ranked(s, ["query_id"], F.round("score", 8), ["doc_id"], 10).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _top(spark, folder, 10, "body").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(_BM25 + """, b as (select query_id, doc_id, max(score) as score from sc group by 1, 2)

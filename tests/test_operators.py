@@ -255,3 +255,57 @@ def test_bucket_pairs(spark):
     named = {(r["a"], r["b"]) for r in dedup.bucket_pairs(keys.withColumn("doc", F.col("doc").cast("string")), 3).collect()}
     assert named == {tuple(sorted((str(a), str(b)))) for a, b in want}
     assert dedup.bucket_pairs(keys.limit(0)).count() == 0
+
+
+def _articles(folder, copies=1):
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(f"a{i:02d}", f"Grain price {('up', 'down')[i % 2]} in port {i % 5}", f"Grain and wheat {'wheat ' * (i % 4)}prices at port {i % 3}. " + "İt rose. " * (i % 2)) for i in range(30)]
+    rows += [("a01", "Second grain version", "wheat"), ("a02", None, "port"), ("b", "Grain", None), ("c", "—", "…")]
+    pq.write_table(pa.table(dict(zip(("id", "title", "body"), map(list, zip(*rows))))), f"{folder}/cleaned_articles.parquet")
+    asked = [(0, "Wheat and grain at the port"), (50, "the of"), (100, None), (150, "PORT 3 prices"), (151, "wheat")]
+    asked = (asked + [(0, "grain, wheat!")]) * copies  # the same arrival twice adds its terms
+    pq.write_table(pa.table({"arrival_no": pa.array([a for a, _ in asked], pa.int64()), "title": [t for _, t in asked], "at": [datetime.datetime(2024, 1, 1)] * len(asked)}), f"{folder}/incoming_articles.parquet")
+
+
+def _by_sql(folder, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("cleaned_articles", "incoming_articles"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    return sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def _no_pairs(df):
+    """Whether no pair of query and document is joined."""
+    return "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bm25_topk_scores_without_joining_pairs(spark, tmp_path):
+    from newsloom.plans import search
+
+    _articles(tmp_path)
+    got = search.bm25_topk(spark, str(tmp_path))
+    assert _no_pairs(got)
+    assert sorted(map(tuple, got.collect())) == _by_sql(tmp_path, "bm25_topk") != []
+
+
+def test_bm25_top_equals_the_ranks_of_all_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f, f"{'x ' * (i % 7 + 1)}y{i % 3} z") for i in range(90) for f in ("one", "two")] + [(90, "one", None), (91, "two", "!")], "doc_id long, field string, text string").repartition(3)
+    queries = spark.createDataFrame([(q, f"x y{q % 3} the") for q in range(12)] + [(12, "none of it"), (13, None)], "query_id int, text string")
+    want = retrieval.ranked(retrieval.bm25(docs, queries), ["query_id", "field"], F.round("score", 8), ["doc_id"], 4)
+    want = {(*r[:3], r["rank"]) for r in want.select("query_id", "field", "doc_id", "rank").collect()}
+    assert len(want) == 12 * 2 * 4
+    for terms, kept, some in ((300_000, 250_000, 16_384), (10, 20, 8)):  # in one, in several blocks of queries and slices of texts
+        monkeypatch.setattr(retrieval, "TERMS", terms)
+        monkeypatch.setattr(retrieval, "KEPT", kept)
+        monkeypatch.setattr(retrieval, "SLICE", some)
+        got = retrieval.bm25_top(docs, queries, 4).select("query_id", "field", "doc_id", "rank").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert retrieval.bm25_top(docs, queries.limit(0), 4).count() == retrieval.bm25_top(docs.limit(0), queries, 4).count() == 0
