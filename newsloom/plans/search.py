@@ -127,7 +127,7 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(_BM25 + """, b as (select query_id, doc_id, max(score) as score from sc group by 1, 2)
     select query_id, doc_id, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank from b) where rank <= 10""")
 def bm25_best_field(spark: SparkSession, folder: str) -> DataFrame:
-    s = retrieval.best_field(_scores(spark, folder))
+    s = retrieval.best_field(_top(spark, folder, 10, "title", "body"))  # the ten best are among those of their best field
     return retrieval.ranked(s, ["query_id"], F.round("score", 8), ["doc_id"], 10).select("query_id", "doc_id", "rank")
 
 

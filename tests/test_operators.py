@@ -309,3 +309,12 @@ def test_bm25_top_equals_the_ranks_of_all_scores(spark, monkeypatch):
         got = retrieval.bm25_top(docs, queries, 4).select("query_id", "field", "doc_id", "rank").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert retrieval.bm25_top(docs, queries.limit(0), 4).count() == retrieval.bm25_top(docs.limit(0), queries, 4).count() == 0
+
+
+def test_bm25_best_field_scores_without_joining_pairs(spark, tmp_path):
+    from newsloom.plans import search
+
+    _articles(tmp_path)
+    got = search.bm25_best_field(spark, str(tmp_path))
+    assert _no_pairs(got)
+    assert sorted(map(tuple, got.collect())) == _by_sql(tmp_path, "bm25_best_field") != []
