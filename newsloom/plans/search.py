@@ -101,14 +101,6 @@ _BM25 = """
                 from q join tf using (term) join df using (field, term) join st on st.field = tf.field group by 1, 2, 3)"""
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    d = dedup.versions(load(spark, folder, "cleaned_articles", "id", "title", "body"), "id", "title", "body", out="id")
-    fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in ("title", "body")]))
-    docs = d.select(F.col("id").alias("doc_id"), fields).where("text is not null")
-    q = load(spark, folder, "incoming_articles", "arrival_no", "title").where("arrival_no % 50 = 0").select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
-    return retrieval.bm25(docs, q)
-
-
 def _top(spark: SparkSession, folder: str, k: int, *names: str) -> DataFrame:
     t = load(spark, folder, "cleaned_articles", "id", "title", "body").repartition("id")  # versions shuffles no more
     d = dedup.versions(t, "id", "title", "body", out="id")
@@ -136,7 +128,7 @@ def bm25_best_field(spark: SparkSession, folder: str) -> DataFrame:
     select query_id, doc_id, round(score, 8) as score from (select *, row_number() over (partition by query_id order by round(score, 12) desc, doc_id) as n from u) where n <= 10""")
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Two ranked arms joined by reciprocal ranks."""
-    arms = retrieval.ranked(_scores(spark, folder), ["query_id", "field"], F.round("score", 8), ["doc_id"], 50)
+    arms = _top(spark, folder, 50, "title", "body")
     f = retrieval.fused(arms.select("query_id", "doc_id", "rank"))
     return retrieval.ranked(f, ["query_id"], F.round("score", 12), ["doc_id"], 10).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 

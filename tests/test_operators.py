@@ -318,3 +318,12 @@ def test_bm25_best_field_scores_without_joining_pairs(spark, tmp_path):
     got = search.bm25_best_field(spark, str(tmp_path))
     assert _no_pairs(got)
     assert sorted(map(tuple, got.collect())) == _by_sql(tmp_path, "bm25_best_field") != []
+
+
+def test_hybrid_rrf_fuses_without_joining_pairs(spark, tmp_path):
+    from newsloom.plans import search
+
+    _articles(tmp_path)
+    got = search.hybrid_rrf(spark, str(tmp_path))
+    assert _no_pairs(got)
+    assert sorted(map(tuple, got.collect())) == _by_sql(tmp_path, "hybrid_rrf") != []
