@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from newsloom.llm import main_content, repeated_lines
 
 NAV = "<nav><ul><li><a href='/a'>Markets</a></li><li>Cookies are used on this site. You can object.</li></ul></nav>"
@@ -123,3 +125,19 @@ def test_repeated_lines_against_brute_force(spark):
     clean = {r["id"]: r["clean_body"] for r in repeated_lines.without_repeated_lines(df).collect()}
     assert clean["z"] == "Share!\nShare!" and clean["n"] is None and clean["0"].startswith("Unique") and "legal" not in clean["0"]
     assert repeated_lines.repeated_lines(repeated_lines.chunks(df.limit(0))).count() == 0
+
+
+def test_chunks_settle_the_lines_that_are_one_chunk(spark, monkeypatch):
+    often, whole = repeated_lines._often, []
+    monkeypatch.setattr(repeated_lines, "_often", lambda pairs, key, least: (whole.append(pairs) if key == "line" else None) or often(pairs, key, least))
+    shared = " ".join(f"word{i * i}" for i in range(900))
+    rows = [(str(i), "s", "\n".join(["Share!", f"{shared} only here {i}", shared if i < 4 else "x" * i, f"share {i}"])) for i in range(6)]
+    rows += [("p", "s", "Only a part: Share!"), ("t", "t", "Share!")]
+    cut = repeated_lines.chunks(spark.createDataFrame(rows, "id string, source string, body string"))
+    assert {tuple(r) for r in repeated_lines.repeated_lines(cut).collect()} == {(str(i), 0) for i in range(6)}
+    assert [r["n_ids"] for r in repeated_lines.repeated_wholes(cut).collect()] == [6]
+    counted = {r["line"] for r in whole[0].collect()}
+    one = {r["line"] for r in cut.select(F.inline(F.arrays_zip("chunks", "wholes")).alias("chunk", "line")).where("chunk = line").collect()}
+    # of the lines only those of several chunks are counted whole: the shared text, alone and with six endings
+    assert len(counted) == 7 and len(one) > 7 and not counted & one
+    assert repeated_lines.repeated_chunks(cut).count() > 3 and repeated_lines.repeated_chunks(cut, alone=True).count() == 1
