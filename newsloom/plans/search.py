@@ -100,23 +100,26 @@ _BM25 = """
          sc as (select query_id, doc_id, tf.field, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
                 from q join tf using (term) join df using (field, term) join st on st.field = tf.field group by 1, 2, 3)"""
 
+_BM25_ALL = _BM25.replace(" where arrival_no % 50 = 0", "")  # every arrival asks
 
-def _top(spark: SparkSession, folder: str, k: int, *names: str) -> DataFrame:
+
+def _top(spark: SparkSession, folder: str, k: int, *names: str, asked: str = "true") -> DataFrame:
+    """The best ``k`` articles in each field for the titles of the arrivals that ``asked`` names."""
     t = load(spark, folder, "cleaned_articles", "id", "title", "body").repartition("id")  # versions shuffles no more
     d = dedup.versions(t, "id", "title", "body", out="id")
     fields = F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in names]))
     docs = d.select(F.col("id").alias("doc_id"), fields).where("text is not null")
-    q = load(spark, folder, "incoming_articles", "arrival_no", "title").where("arrival_no % 50 = 0").select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
+    q = load(spark, folder, "incoming_articles", "arrival_no", "title").where(asked).select(F.col("arrival_no").alias("query_id"), F.col("title").alias("text"))
     return retrieval.bm25_top(docs, q, k)
 
 
 @query(_BM25 + """ select query_id, doc_id, rank::int as rank, round(score, 5) as score from (
     select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank from sc where field = 'body') where rank <= 10""")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(spark, folder, 10, "body").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _top(spark, folder, 10, "body", asked="arrival_no % 50 = 0").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
-@query(_BM25 + """, b as (select query_id, doc_id, max(score) as score from sc group by 1, 2)
+@query(_BM25_ALL + """, b as (select query_id, doc_id, max(score) as score from sc group by 1, 2)
     select query_id, doc_id, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank from b) where rank <= 10""")
 def bm25_best_field(spark: SparkSession, folder: str) -> DataFrame:
     s = retrieval.best_field(_top(spark, folder, 10, "title", "body"))  # the ten best are among those of their best field
@@ -128,7 +131,7 @@ def bm25_best_field(spark: SparkSession, folder: str) -> DataFrame:
     select query_id, doc_id, round(score, 8) as score from (select *, row_number() over (partition by query_id order by round(score, 12) desc, doc_id) as n from u) where n <= 10""")
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Two ranked arms joined by reciprocal ranks."""
-    arms = _top(spark, folder, 50, "title", "body")
+    arms = _top(spark, folder, 50, "title", "body", asked="arrival_no % 50 = 0")
     f = retrieval.fused(arms.select("query_id", "doc_id", "rank"))
     return retrieval.ranked(f, ["query_id"], F.round("score", 12), ["doc_id"], 10).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 

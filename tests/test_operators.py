@@ -327,3 +327,27 @@ def test_hybrid_rrf_fuses_without_joining_pairs(spark, tmp_path):
     got = search.hybrid_rrf(spark, str(tmp_path))
     assert _no_pairs(got)
     assert sorted(map(tuple, got.collect())) == _by_sql(tmp_path, "hybrid_rrf") != []
+
+
+def test_bm25_best_field_asks_for_every_arrival(spark, tmp_path):
+    from newsloom.plans import search
+
+    _articles(tmp_path)
+    got = search.bm25_best_field(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {0, 150, 151}  # 151 is no multiple of 50; 50 and 100 ask for nothing
+    assert sorted(map(tuple, got)) == _by_sql(tmp_path, "bm25_best_field")
+
+
+def test_bm25_top_by_parts_of_the_queries(spark, monkeypatch):
+    """Queries in parts over all texts, frequent terms as rows, queries of the same terms, more texts than four times k."""
+    docs = spark.createDataFrame([(f"d{i:03d}", f, f"{'x ' * (i % 7 + 1)}y{i % 3} z w{i % 50}") for i in range(400) for f in ("one", "two")], "doc_id string, field string, text string").repartition(3)
+    queries = spark.createDataFrame([(q, f"x y{q % 3} w{q % 25}") for q in range(60)] + [(90, "w7 nothing"), (91, "nothing")], "query_id int, text string")
+    want = retrieval.ranked(retrieval.bm25(docs, queries), ["query_id", "field"], F.round("score", 8), ["doc_id"], 5)
+    want = sorted((*r[:3], r["rank"], round(r["score"], 6)) for r in want.select("query_id", "field", "doc_id", "rank", "score").collect())
+    assert len(want) == 61 * 2 * 5
+    monkeypatch.setattr(retrieval, "PART", 10)
+    for hot, some in ((0, 10_000), (2, 130), (400, 60)):
+        monkeypatch.setattr(retrieval, "HOT", hot)
+        monkeypatch.setattr(retrieval, "SLICE", some)
+        got = retrieval.bm25_top(docs, queries, 5).select("query_id", "field", "doc_id", "rank", "score").collect()
+        assert sorted((*r[:4], round(r["score"], 6)) for r in got) == want
