@@ -126,12 +126,12 @@ def bm25_best_field(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.ranked(s, ["query_id"], F.round("score", 8), ["doc_id"], 10).select("query_id", "doc_id", "rank")
 
 
-@query(_BM25 + """, t as (select *, row_number() over (partition by query_id, field order by round(score, 8) desc, doc_id) as rank from sc),
+@query(_BM25_ALL + """, t as (select *, row_number() over (partition by query_id, field order by round(score, 8) desc, doc_id) as rank from sc),
     u as (select query_id, doc_id, sum(1.0::double / (20 + rank)) as score from t where rank <= 50 group by 1, 2)
     select query_id, doc_id, round(score, 8) as score from (select *, row_number() over (partition by query_id order by round(score, 12) desc, doc_id) as n from u) where n <= 10""")
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Two ranked arms joined by reciprocal ranks."""
-    arms = _top(spark, folder, 50, "title", "body", asked="arrival_no % 50 = 0")
+    arms = _top(spark, folder, 50, "title", "body")
     f = retrieval.fused(arms.select("query_id", "doc_id", "rank"))
     return retrieval.ranked(f, ["query_id"], F.round("score", 12), ["doc_id"], 10).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 

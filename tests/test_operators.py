@@ -351,3 +351,12 @@ def test_bm25_top_by_parts_of_the_queries(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "SLICE", some)
         got = retrieval.bm25_top(docs, queries, 5).select("query_id", "field", "doc_id", "rank", "score").collect()
         assert sorted((*r[:4], round(r["score"], 6)) for r in got) == want
+
+
+def test_hybrid_rrf_asks_for_every_arrival(spark, tmp_path):
+    from newsloom.plans import search
+
+    _articles(tmp_path)
+    got = search.hybrid_rrf(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {0, 150, 151}
+    assert sorted(map(tuple, got)) == _by_sql(tmp_path, "hybrid_rrf")
